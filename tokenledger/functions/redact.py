@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .settle import settle
+
 # Labels and patterns, in the order in which they run.
 DEFAULT_PATTERNS: tuple[tuple[str, str], ...] = (
     ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
@@ -84,6 +86,7 @@ def redact_columns(
             {count: hits, **{c: F.col(f"_redacted_{c}.text") for c in columns}}
         ).drop(*[f"_redacted_{c}" for c in columns])
 
+    made: dict[str, Column] = {}
     for label, pattern in (*DEFAULT_PATTERNS, *redactor.extra_patterns):
         regex = F.lit("(?U)" + pattern)
         guard = _GUARDS.get(label, F.isnotnull) if (label, pattern) in DEFAULT_PATTERNS else F.isnotnull
@@ -101,4 +104,5 @@ def redact_columns(
         if per_label:
             stage[f"{count}_{label}"] = found
         df = df.withColumns(stage)
-    return df
+        made.update(stage)
+    return settle(df, list(made))

@@ -12,6 +12,7 @@ from ..functions import json as J
 from ..functions.classify import captured_error, status_error
 from ..functions.enrich import elapsed_ms
 from ..functions.redact import Redactor, redact_columns
+from ..functions.settle import settle
 from ..functions.text import preview, strip, strip_ascii
 
 SDK_VERSION = "0.4.0"
@@ -324,19 +325,14 @@ def parse_requests(
     A body that is not JSON counts as empty. A body that is JSON but neither an
     object nor empty cannot be read, and the exchange is left out.
     """
-    doc = routed.withColumn("_body", J.strict_json(F.col("request_body")))
+    doc = settle(routed.withColumn("_body", J.strict_json(F.col("request_body"))), ["_body"])
     readable = F.coalesce(J.is_object(F.col("_body")) | ~J.is_truthy(F.col("_body")), F.lit(True))
     parsed = {h.name: h.request(F.col("_body")) for h in handlers}
-    return (
-        doc.filter(readable)
-        .withColumns(
-            {
-                n: _per_handler(handlers, lambda h: parsed[h.name][n])
-                for n in ("model", "streaming", "input_text")
-            }
-        )
-        .drop("_body")
+    names = ["model", "streaming", "input_text"]
+    read = doc.filter(readable).withColumns(
+        {n: _per_handler(handlers, lambda h: parsed[h.name][n]) for n in names}
     )
+    return settle(read.drop("_body"), names)
 
 
 _META = ("output_text", "prompt_tokens", "completion_tokens", "total_tokens")
@@ -349,9 +345,10 @@ def parse_responses(
     null when it cannot be read."""
     doc = exchanges.withColumn("_body", J.strict_json(F.col("response_body")))
     parsed = {h.name: h.response(F.col("_body")) for h in handlers}
-    return doc.withColumns(
+    read = doc.withColumns(
         {n: _per_handler(handlers, lambda h: parsed[h.name][n]) for n in _META}
-    ).drop("_body")
+    )
+    return settle(read.drop("_body"), _META)
 
 
 def join_chunks(chunks: DataFrame) -> DataFrame:
@@ -433,16 +430,16 @@ def fold_streams(
         ),
         lambda acc: acc["at"],
     )
-    return df.withColumns(
-        {
+    made = {
             "output_text": F.nullif(F.array_join("_pieces", ""), F.lit("")),
             "prompt_tokens": F.col("_usage.prompt"),
             "completion_tokens": F.col("_usage.completion"),
             "total_tokens": F.col("_usage.total"),
             "completed": F.col("_completed"),
             "first_text_at": F.when(F.col("_needed").isNotNull(), arrival),
-        }
-    ).drop("_lines", "_payloads", "_docs", "_pieces", "_usage", "_completed", "_needed")
+    }
+    used = ["_lines", "_payloads", "_docs", "_pieces", "_usage", "_completed", "_needed"]
+    return settle(df.withColumns(made).drop(*used), list(made))
 
 
 def stream_status(ended: Column, completed: Column, exception_class: Column) -> Column:

@@ -120,7 +120,7 @@ def _whole(value: Column) -> Column:
 _QUANTILES = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
 
 
-def _fold(groups: GroupedData, *more: Column) -> DataFrame:
+def fold(groups: GroupedData, *more: Column) -> DataFrame:
     """Every measure of a grouped profile; without keys exactly one row."""
     folded = groups.agg(
         *more,
@@ -152,7 +152,7 @@ _BY_MODEL = ("provider", "model", "requests", "errors", "avg_latency_ms", "token
 def summary(logs: DataFrame, window_minutes: int = 60, as_of: AsOf = None) -> DataFrame:
     """Totals of the window, always one row, zeros when it is empty."""
     profile = latency_profile(in_window(logs, window_minutes, as_of))
-    return _fold(profile.groupBy()).select(*[F.col(c).alias(n) for n, c in _SUMMARY.items()])
+    return fold(profile.groupBy()).select(*[F.col(c).alias(n) for n, c in _SUMMARY.items()])
 
 
 def by_model(logs: DataFrame, window_minutes: int = 60, as_of: AsOf = None) -> DataFrame:
@@ -181,7 +181,7 @@ def summary_payload(logs: DataFrame, window_minutes: int = 60, as_of: AsOf = Non
     """
     profile = latency_profile(in_window(logs, window_minutes, as_of), ["provider", "model"])
     level = F.grouping_id().alias("_level")
-    measured = _fold(
+    measured = fold(
         profile.groupingSets([["provider", "model"], []], "provider", "model"), level
     )
     is_total = F.col("_level") > 0
@@ -217,7 +217,7 @@ _SERIES = ("requests", "errors", "cancelled", "avg_latency_ms", "p95_latency_ms"
 
 def fold_series(profile: DataFrame, keys: Sequence[str] = ("bucket",)) -> DataFrame:
     """Time series measures of a profile that is keyed by bucket."""
-    return _fold(profile.groupBy(*keys)).select(*keys, *_SERIES)
+    return fold(profile.groupBy(*keys)).select(*keys, *_SERIES)
 
 
 def timeseries(

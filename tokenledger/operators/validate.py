@@ -1,8 +1,8 @@
 """Validation of JSON events with the lax type rules of the ingest contract.
 
 Every field goes through the same steps, one projection each so that no
-expression is evaluated twice: take the variant, name its JSON type and text,
-coerce to a typed value, list what is wrong.
+expression is evaluated twice: read its JSON type and text, take the value if it
+is spelled the usual way, coerce it otherwise, list what is wrong.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import json as J
+from ..functions.settle import settle
 from ..functions.text import strip
 from ..schemas import LOG_STATUSES
 
@@ -56,6 +57,9 @@ FIELDS: tuple[Field, ...] = (
     Field("received_at", "time"),
 )
 
+# Parsed behind the event: text after the event's end makes it unreachable.
+_TAIL = "end of event"
+
 _LONG_MAX = 9223372036854775807
 _INT_MAX = 2147483647
 
@@ -65,6 +69,8 @@ _FALSE_WORDS = ("0", "off", "f", "false", "n", "no")
 _UUID = r"^(?:[0-9a-f]{32}|H|urn:uuid:H|\{H\})$".replace(
     "H", "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 )
+_PLAIN_UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+_PLAIN_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:\d{2})?$"
 _INT_TEXT = r"^[+-]?\d+(?:_\d+)*(?:\.0+)?$"
 _NUMBER_TEXT = r"^[+-]?\d+(?:\.\d+)?$"
 _ISO_TIME = (
@@ -87,21 +93,25 @@ def lax_int(name: Column, text: Column) -> Column:
     the row is stored.
     """
     trimmed = strip(text)
-    digits = (
-        F.when((name == "STRING") & trimmed.rlike(_INT_TEXT),
-               F.regexp_replace(trimmed, r"_|\.0+$", ""))
-        .when(name.rlike("^(BIGINT|DECIMAL)") & text.rlike(r"^-?\d+(?:\.0+)?$"),
-              F.regexp_replace(text, r"\.0+$", ""))
-        .when(name == "BOOLEAN", F.when(text == "true", "1").otherwise("0"))
+    digits = F.when(
+        (name == "STRING") & trimmed.rlike(_INT_TEXT), F.regexp_replace(trimmed, r"_|\.0+$", "")
+    ).when(name.rlike("^(BIGINT|DECIMAL)") & text.rlike(r"^-?\d+$"), text)
+    real = text.try_cast("double")
+    return (
+        F.when((name == "BIGINT"), text.try_cast("long"))
+        .when(name == "BOOLEAN", (text == "true").cast("long"))
+        .when(
+            name.rlike("^(DOUBLE|FLOAT)"),
+            F.when((real == F.floor(real)) & (F.abs(real) < F.lit(9.2e18)), real).try_cast("long"),
+        )
+        .when(
+            digits.isNotNull(),
+            F.coalesce(
+                digits.try_cast("long"),
+                F.when(F.startswith(digits, F.lit("-")), F.lit(-_LONG_MAX)).otherwise(F.lit(_LONG_MAX)),
+            ),
+        )
     )
-    real = F.when(name.rlike("^(DOUBLE|FLOAT)"), text.try_cast("double"))
-    whole = F.when(
-        (real == F.floor(real)) & (F.abs(real) < F.lit(9.2e18)), real
-    ).try_cast("long")
-    saturated = F.when(
-        F.startswith(digits, F.lit("-")), F.lit(-_LONG_MAX)
-    ).when(digits.isNotNull(), F.lit(_LONG_MAX))
-    return F.coalesce(digits.try_cast("long"), whole, saturated)
 
 
 def lax_bool(name: Column, text: Column) -> Column:
@@ -148,22 +158,51 @@ def lax_time(name: Column, text: Column) -> Column:
     )
 
 
-def _coerced(f: Field) -> Column:
-    name, text, raw = F.col(f"_t_{f.name}"), F.col(f"_s_{f.name}"), F.col(f"_x_{f.name}")
+# Types whose coercion is long, with the usual spelling that needs none of it.
+_COERCIONS = {"int": lax_int, "uuid": lax_uuid, "time": lax_time}
+
+
+def _usual(f: Field) -> Column:
+    """The value when it is spelled the usual way, else null."""
+    name, text = F.col(f"_t_{f.name}"), F.col(f"_s_{f.name}")
     if f.type == "int":
-        value = lax_int(name, text)
+        return F.when(name == "BIGINT", text.try_cast("long"))
+    if f.type == "uuid":
+        return F.when((name == "STRING") & text.rlike(_PLAIN_UUID), text)
+    return F.when((name == "STRING") & text.rlike(_PLAIN_TIME), text.try_cast("timestamp"))
+
+
+def _unusual(type_: str) -> Column:
+    """Array of the values of all fields of a type, null for events that spell
+    every one of them the usual way."""
+    fields = [f for f in FIELDS if f.type == type_]
+    needed = F.lit(False)
+    for f in fields:
+        present = F.coalesce(F.col(f"_t_{f.name}") != "VOID", F.lit(False))
+        needed = needed | (present & F.col(f"_f_{f.name}").isNull())
+    pairs = F.array(
+        *[
+            F.struct(F.col(f"_t_{f.name}").alias("t"), F.col(f"_s_{f.name}").alias("s"))
+            for f in fields
+        ]
+    )
+    return F.when(needed, F.transform(pairs, lambda x: _COERCIONS[type_](x["t"], x["s"])))
+
+
+def _coerced(f: Field) -> Column:
+    name, text = F.col(f"_t_{f.name}"), F.col(f"_s_{f.name}")
+    if f.type in _COERCIONS:
+        index = [g.name for g in FIELDS if g.type == f.type].index(f.name)
+        value = F.coalesce(F.col(f"_f_{f.name}"), F.col(f"_v_{f.type}")[index])
         return value if f.default is None else F.when(name.isNull(), f.default).otherwise(value)
     if f.type == "bool":
         return lax_bool(name, text)
-    if f.type == "uuid":
-        return lax_uuid(name, text)
-    if f.type == "time":
-        return lax_time(name, text)
     if f.type == "dict":
         empty = F.map_from_arrays(
             F.array().cast("array<string>"), F.array().cast("array<variant>")
         )
-        return F.coalesce(F.try_variant_get(raw, "$", "map<string,variant>"), empty)
+        given = F.try_variant_get(F.col(f"_doc.event.{f.name}"), "$", "map<string,variant>")
+        return F.coalesce(given, empty)
     return F.when(name == "STRING", text)
 
 
@@ -201,44 +240,44 @@ def validate(bronze: DataFrame) -> DataFrame:
     names = [f.name for f in FIELDS]
     keep = [c for c in bronze.columns if c not in names]
     stamped = "received_at" in bronze.columns
+    fields = ", ".join(f"{n}: variant" for n in names)
+    parsed = F.from_json(
+        F.concat(F.lit('{"event":'), F.col("value"), F.lit(f',"tail":"{_TAIL}"}}')),
+        f"event struct<{fields}>, tail string",
+    )
     df = bronze.select(
         *keep,
         *([F.col("received_at").alias("_stamp")] if stamped else []),
-        J.strict_json(F.col("value")).alias("_doc"),
+        parsed.alias("_doc"),
     )
-    df = df.withColumns({f"_x_{n}": J.field(F.col("_doc"), f"$.{n}") for n in names})
     df = df.withColumns(
         {
-            "_root": J.kind(F.col("_doc")),
-            **{f"_t_{n}": J.kind(F.col(f"_x_{n}")) for n in names},
-            **{f"_s_{n}": F.try_variant_get(F.col(f"_x_{n}"), "$", "string") for n in names},
+            "_root": F.when(~F.col("_doc.tail").eqNullSafe(_TAIL), F.lit("unparseable")).when(
+                F.col("_doc.event").isNull(), F.lit("type")
+            ),
+            **{f"_t_{n}": J.kind(F.col(f"_doc.event.{n}")) for n in names},
+            **{f"_s_{n}": F.try_variant_get(F.col(f"_doc.event.{n}"), "$", "string") for n in names},
         }
     )
+    df = df.withColumns({f"_f_{f.name}": _usual(f) for f in FIELDS if f.type in _COERCIONS})
+    df = df.withColumns({f"_v_{t}": _unusual(t) for t in _COERCIONS})
     df = df.withColumns({f.name: _coerced(f) for f in FIELDS})
-    root = (
-        F.when(F.col("_root").isNull(), F.lit("unparseable"))
-        .when(~F.startswith(F.col("_root"), F.lit("OBJECT")), F.lit("type"))
-    )
-    found = F.array(
-        F.struct(F.lit("$").alias("field"), root.alias("code")),
-        *[F.struct(F.lit(f.name).alias("field"), _violation(f).alias("code")) for f in FIELDS],
-    )
-    df = df.withColumn("errors", F.filter(found, lambda e: e["code"].isNotNull()))
+    named = [("$", F.col("_root")), *[(f.name, _violation(f)) for f in FIELDS]]
+    found = F.concat_ws("; ", *[F.concat(F.lit(f"{n}: "), code) for n, code in named])
     if stamped:
         df = df.withColumn("received_at", F.coalesce("_stamp", "received_at"))
-    return df.withColumn(
-        "error",
-        F.when(
-            F.size("errors") > 0,
-            F.concat(
-                F.lit("validation error: "),
-                F.array_join(
-                    F.transform("errors", lambda e: F.concat_ws(": ", e["field"], e["code"])),
-                    "; ",
-                ),
+    df = settle(df.select(*keep, *names, found.alias("_found")), [*names, "_found"])
+    bad = F.col("_found") != ""
+    parts = F.transform(F.split("_found", "; "), lambda e: F.split(e, ": "))
+    listed = F.transform(parts, lambda e: F.struct(e[0].alias("field"), e[1].alias("code")))
+    return df.withColumns(
+        {
+            "errors": F.when(bad, listed).otherwise(
+                F.array().cast("array<struct<field:string,code:string>>")
             ),
-        ),
-    ).select(*keep, *names, "errors", "error")
+            "error": F.when(bad, F.concat(F.lit("validation error: "), F.col("_found"))),
+        }
+    ).drop("_found")
 
 
 def storage_error(df: DataFrame) -> Column:

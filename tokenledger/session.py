@@ -17,6 +17,9 @@ RUNTIME_CONF = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # A repeated JSON key keeps its last value instead of failing the parse.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Generated methods the JVM would refuse to compile are slower than
+    # interpreted expressions.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -36,6 +39,7 @@ def local_session(app: str = "tokenledger", cpus: int | str = "*") -> SparkSessi
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TOKENLEDGER_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

@@ -72,7 +72,7 @@ def is_truthy(value: Column) -> Column:
     raw = F.try_variant_get(value, "$", "string")
     name = kind(value)
     return F.coalesce(
-        F.when(name == "VOID", F.lit(False))
+        F.when(name.isNull() | (name == "VOID"), F.lit(False))
         .when(name == "BOOLEAN", raw == "true")
         .when(name == "STRING", raw != "")
         .when(name.rlike("^(ARRAY|OBJECT)"), ~raw.isin("[]", "{}"))

@@ -3,8 +3,8 @@
 All aggregates go through a latency profile: one row per group and distinct
 latency, holding plain counters. It is built by an ordinary hash aggregation
 (combined before the shuffle, spread over all reducers) and is bounded by the
-number of distinct whole-millisecond latencies. Exact percentiles are then
-weighted percentiles over the profile, so no task ever holds the latencies of a
+number of distinct whole-millisecond latencies. Exact percentiles are then read
+off the running counts of the profile, so no task ever holds the latencies of a
 whole group, however large the group is. Profiles of disjoint sets of logs add
 up, which is what the streaming rollup stores.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RECENT_ERRORS = 20
@@ -100,43 +100,58 @@ def _mean(total: Column, count: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(total, count)).cast("int"), F.lit(0))
 
 
-def _avg_latency() -> Column:
-    weighted = F.col("latency_ms").cast("long") * F.col("requests")
-    return _mean(
-        F.sum(weighted),
-        F.sum(F.when(F.col("latency_ms").isNotNull(), F.col("requests"))),
-    )
-
-
-def _quantiles(*q: float) -> Column:
-    return F.percentile("latency_ms", F.array(*[F.lit(x) for x in q]), F.col("requests"))
+_QUANTILES = (("p50_latency_ms", 0.5), ("p95_latency_ms", 0.95), ("p99_latency_ms", 0.99))
 
 
-def _whole(value: Column) -> Column:
-    """Percentile rounded half to even, 0 when there is none."""
-    return F.coalesce(F.bround(value).cast("int"), F.lit(0))
+def fold(profile: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Every measure of a profile per ``keys``; without keys exactly one row.
 
+    A percentile is interpolated between the two latencies around its rank and
+    rounded half to even. The ranks come from running counts over the profile,
+    whose window shares the partitioning of the aggregation.
+    """
+    latency = F.col("latency_ms")
+    weight = F.when(latency.isNotNull(), F.col("requests")).otherwise(F.lit(0))
+    group = Window.partitionBy(*keys)
+    so_far = group.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = profile.withColumns(
+        {
+            "_weight": weight,
+            "_n": F.sum(weight).over(group),
+            "_upto": F.sum(weight).over(so_far),
+        }
+    )
 
-_QUANTILES = (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
-
+    def at(rank: Column) -> Column:
+        here = (F.col("_upto") - F.col("_weight") <= rank) & (rank < F.col("_upto"))
+        return F.max(F.when(here, latency))
 
-def fold(groups: GroupedData, *more: Column) -> DataFrame:
-    """Every measure of a grouped profile; without keys exactly one row."""
-    folded = groups.agg(
-        *more,
+    bounds = []
+    for name, q in _QUANTILES:
+        rank = F.lit(q) * (F.col("_n") - 1)
+        bounds += [at(F.floor(rank)).alias(f"_lo_{name}"), at(F.ceil(rank)).alias(f"_hi_{name}")]
+    folded = ranked.groupBy(*keys).agg(
         _total("requests").alias("requests"),
         _total("success").alias("success"),
         _total("errors").alias("errors"),
         _total("cancelled").alias("cancelled"),
-        _avg_latency().alias("avg_latency_ms"),
-        _quantiles(*[q for _, q in _QUANTILES]).alias("_q"),
+        _mean(F.sum(latency.cast("long") * F.col("requests")), F.sum("_weight")).alias("avg_latency_ms"),
+        F.max("_n").alias("_n"),
+        *bounds,
         _mean(F.sum("ttft_sum"), F.sum("ttft_count")).alias("avg_ttft_ms"),
         _total("tokens").alias("tokens"),
         (_total("cost_micros") / F.lit(1e6)).alias("cost_usd"),
     )
-    return folded.withColumns(
-        {f"{n}_latency_ms": _whole(F.col("_q")[i]) for i, (n, _) in enumerate(_QUANTILES)}
-    ).drop("_q")
+
+    def between(name: str, q: float) -> Column:
+        rank = F.lit(q) * (F.col("_n") - 1)
+        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        value = low + (high - low) * (rank - F.floor(rank))
+        return F.coalesce(F.bround(value).cast("int"), F.lit(0))
+
+    return folded.withColumns({n: between(n, q) for n, q in _QUANTILES}).drop(
+        "_n", *[f"_{side}_{n}" for n, _ in _QUANTILES for side in ("lo", "hi")]
+    )
 
 
 _SUMMARY = {
@@ -152,7 +167,7 @@ _BY_MODEL = ("provider", "model", "requests", "errors", "avg_latency_ms", "token
 def summary(logs: DataFrame, window_minutes: int = 60, as_of: AsOf = None) -> DataFrame:
     """Totals of the window, always one row, zeros when it is empty."""
     profile = latency_profile(in_window(logs, window_minutes, as_of))
-    return fold(profile.groupBy()).select(*[F.col(c).alias(n) for n, c in _SUMMARY.items()])
+    return fold(profile).select(*[F.col(c).alias(n) for n, c in _SUMMARY.items()])
 
 
 def by_model(logs: DataFrame, window_minutes: int = 60, as_of: AsOf = None) -> DataFrame:
@@ -176,14 +191,18 @@ def by_model(logs: DataFrame, window_minutes: int = 60, as_of: AsOf = None) -> D
 def summary_payload(logs: DataFrame, window_minutes: int = 60, as_of: AsOf = None) -> DataFrame:
     """The summary with the per-model breakdown nested in ``by_model``.
 
-    Both come from one scan: the profile is kept per model, and grouping sets
-    over that small profile give the models and the grand total.
+    Both come from one scan: the profile is kept per model, and its few rows
+    count once for their model and once for the grand total.
     """
     profile = latency_profile(in_window(logs, window_minutes, as_of), ["provider", "model"])
-    level = F.grouping_id().alias("_level")
-    measured = fold(
-        profile.groupingSets([["provider", "model"], []], "provider", "model"), level
+    nobody = F.lit(None).cast("string")
+    scopes = F.array(
+        F.struct(F.lit(0).alias("_level"), "provider", "model"),
+        F.struct(F.lit(1).alias("_level"), nobody.alias("provider"), nobody.alias("model")),
     )
+    counters = [c for c in profile.columns if c not in ("provider", "model")]
+    both = profile.select(*counters, F.inline(scopes))
+    measured = fold(both, ["_level", "provider", "model"])
     is_total = F.col("_level") > 0
     total = F.struct(*[F.col(c).alias(n) for n, c in _SUMMARY.items()])
     model = F.struct((-F.col("requests")).alias("_rank"), *_BY_MODEL)
@@ -217,7 +236,7 @@ _SERIES = ("requests", "errors", "cancelled", "avg_latency_ms", "p95_latency_ms"
 
 def fold_series(profile: DataFrame, keys: Sequence[str] = ("bucket",)) -> DataFrame:
     """Time series measures of a profile that is keyed by bucket."""
-    return fold(profile.groupBy(*keys)).select(*keys, *_SERIES)
+    return fold(profile, keys).select(*keys, *_SERIES)
 
 
 def timeseries(

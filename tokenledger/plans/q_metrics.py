@@ -18,7 +18,14 @@ def _avg(x):
 
 
 def _pct(q):
-    return f"coalesce(round_even(quantile_cont(latency_ms, {q}), 0), 0)::INTEGER"
+    """Interpolated percentile, rounded half to even.
+
+    Written out as ``low + (high - low) * fraction``, the formula whose rounding
+    of exact halves is wanted; the built-in function weighs both sides instead.
+    """
+    rank, values = f"({q}::DOUBLE * (count(latency_ms) - 1))", "list_sort(list(latency_ms))"
+    low, high = f"{values}[(floor({rank}) + 1)::INT]", f"{values}[(ceil({rank}) + 1)::INT]"
+    return f"coalesce(round_even({low} + ({high} - {low}) * ({rank} - floor({rank})), 0), 0)::INTEGER"
 
 
 def _count(status):
@@ -67,14 +74,14 @@ def _(spark, sf):
 
 @query("h3_percentiles", f"WITH {I.LOGS_SQL} SELECT model, {_pct(0.5)} AS p50_latency_ms, {_pct(0.95)} AS p95_latency_ms, {_pct(0.99)} AS p99_latency_ms FROM logs GROUP BY 1")
 def _(spark, sf):
-    folded = M.fold(M.latency_profile(_logs(spark, sf), ["model"]).groupBy("model"))
+    folded = M.fold(M.latency_profile(_logs(spark, sf), ["model"]), ["model"])
     return folded.select("model", "p50_latency_ms", "p95_latency_ms", "p99_latency_ms")
 
 
 @query("h4_averages", f"WITH {I.LOGS_SQL} SELECT status, {_avg('latency_ms')} AS avg_latency_ms, {_avg('ttft_ms')} AS avg_ttft_ms FROM logs GROUP BY 1")
 def _(spark, sf):
-    folded = M.fold(M.latency_profile(_logs(spark, sf), [F.col("status").alias("_s")]).groupBy("_s"))
-    return folded.select(F.col("_s").alias("status"), "avg_latency_ms", "avg_ttft_ms")
+    folded = M.fold(M.latency_profile(_logs(spark, sf), ["status"]), ["status"])
+    return folded.select("status", "avg_latency_ms", "avg_ttft_ms")
 
 
 @query("h5_by_model", f"WITH {_RECENT} SELECT {_MODEL_SQL} FROM recent GROUP BY provider, model")

@@ -97,14 +97,7 @@ def _(spark, sf):
 @query("j3_live_series", _SERIES)
 def _(spark, sf):
     root = shared_dir(spark, "series")
-    _finish(
-        R.live_series(_log_stream(spark, sf), 3600)
-        .writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/out"))
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    _finish(R.start_live_series(_log_stream(spark, sf), f"{root}/out", f"{root}/checkpoint", 3600))
     return spark.read.parquet(f"{root}/out")
 
 

@@ -38,29 +38,35 @@ def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     return fold_series(profile).orderBy("bucket")
 
 
-def live_series(
+def live_profile(
     logs: DataFrame, bucket_seconds: int = 60, watermark: str | None = None
 ) -> DataFrame:
-    """The same measures as a stateful streaming aggregation.
+    """The latency profile as a stateful streaming aggregation.
 
-    Without a watermark late events always count and state grows with the number
-    of buckets; a watermark bounds the state and drops later events.
+    State is one row of counters per bucket and latency, so a busy bucket is
+    spread over all state partitions. Without a watermark late events always
+    count and state grows with the number of buckets; a watermark bounds the
+    state and drops later events.
     """
     if watermark is not None:
         logs = logs.withWatermark("started_at", watermark)
-    latency = F.col("latency_ms")
+    window = F.window("started_at", f"{bucket_seconds} seconds").alias("_w")
+    return latency_profile(logs, [window]).withColumn("bucket", F.col("_w.start")).drop("_w")
+
+
+def start_live_series(
+    logs: DataFrame,
+    path: str,
+    checkpoint: str,
+    bucket_seconds: int = 60,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Keep the whole time series at ``path``, rewritten by every trigger."""
     return (
-        logs.groupBy(F.window("started_at", f"{bucket_seconds} seconds").alias("_w"))
-        .agg(
-            F.count(F.lit(1)).alias("requests"),
-            F.count_if(F.col("status") == "error").alias("errors"),
-            F.count_if(F.col("status") == "cancelled").alias("cancelled"),
-            F.coalesce(F.round(F.avg(latency)).cast("int"), F.lit(0)).alias("avg_latency_ms"),
-            F.coalesce(
-                F.bround(F.percentile(latency, F.lit(0.95))).cast("int"), F.lit(0)
-            ).alias("p95_latency_ms"),
-            F.coalesce(F.sum(F.col("total_tokens").cast("long")), F.lit(0)).alias("tokens"),
-        )
-        .select(F.col("_w.start").alias("bucket"), "requests", "errors", "cancelled",
-                "avg_latency_ms", "p95_latency_ms", "tokens")
+        live_profile(logs, bucket_seconds)
+        .writeStream.outputMode("complete")
+        .foreachBatch(lambda batch, _: fold_series(batch).write.mode("overwrite").parquet(path))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 import pytest
@@ -72,15 +73,14 @@ def test_field_rules(spark, event):
 
 
 def test_map_size_counts_escaped_bytes(spark, event):
-    # {"k": "…"} has 9 bytes around the text; é takes 6 and 😀 takes 12.
-    fits, long, emoji, nested = _errors(
-        spark,
-        event(tags={"k": "é" * 1363}), event(tags={"k": "é" * 1364}), event(tags={"k": "😀" * 682}),
-        event(tags={"k": "x" * 8160, "l": {"a:b": [1, 2]}}),
-    )
-    assert fits is None and long is not None
-    assert emoji is None or "size" in emoji
-    assert nested is not None
+    maps = [
+        {"k": "é" * 1363}, {"k": "é" * 1364}, {"k": "😀" * 681}, {"k": "😀" * 682}, {"k": "\x7f" * 1364},
+        *[{"k": "x" * n, "l": {"a:b": [1, 2]}, "m": '",:'} for n in (8140, 8145, 8146, 8147, 8148, 8150, 8160)],
+    ]
+    got = _errors(spark, *[event(tags=m) for m in maps])
+    want = [len(json.dumps(m)) > 8192 for m in maps]
+    assert [e is not None for e in got] == want
+    assert True in want[5:] and False in want[5:]
 
 
 def test_json_must_be_one_object(spark, event):

@@ -2,7 +2,9 @@
 
 Layout: ``logs/batch_id=N/started_date=D``, ``dead_letters/batch_id=N``,
 ``ledger/batch_id=N`` and ``profile/batch_id=N``. A batch replaces only its own
-folders, so writing it again after a failure has no further effect.
+folders, so writing it again after a failure has no further effect. Batch ids
+come from the stream's checkpoint: a store belongs to one checkpoint, and a new
+checkpoint needs a new store.
 """
 
 from __future__ import annotations
@@ -68,8 +70,10 @@ class LogStore:
         rows = self.new_rows(logs, batch_id, known_rows)
         (
             rows.withColumn("started_date", F.to_date("started_at"))
-            # Few, time-ordered files per day keep row-group statistics on
-            # started_at selective.
+            # One file per day where that is small, several where a day holds
+            # most rows: the rebalance merges and splits by size. Ordering by
+            # time keeps the row-group statistics of started_at selective.
+            .hint("rebalance", F.col("started_date"))
             .sortWithinPartitions("started_date", "started_at")
             .write.mode("overwrite")
             .partitionBy("started_date")

@@ -28,7 +28,7 @@ def with_position(
     are numbered inside their slice and shifted by the sizes before it.
     """
     order = F.unix_seconds(F.col(time).cast("timestamp"))
-    sliced = df.withColumn("_slice", F.floor(order / slice_seconds))
+    sliced = df.withColumn("_slice", (order - F.pmod(order, F.lit(slice_seconds))))
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
@@ -61,12 +61,12 @@ def over_last_rows(
     """
     if rows < 1 or rows > block_rows:
         raise ValueError(f"rows must be between 1 and {block_rows}, got {rows!r}")
-    block = F.floor(F.col(position) / block_rows)
+    block = F.col(position) - F.col(position) % block_rows
     is_tail = F.col(position) % block_rows >= block_rows - (rows - 1)
     placed = df.withColumn("_own", block).withColumn(
         "_block",
         F.explode(
-            F.when(is_tail, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(
+            F.when(is_tail, F.array(F.col("_own"), F.col("_own") + block_rows)).otherwise(
                 F.array(F.col("_own"))
             )
         ),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.redact import DEFAULT_PATTERNS, Redactor, redact_columns
 from ..functions.text import preview
+from ..operators.process import check
 from . import inputs as I
 from .registry import query
 
@@ -68,11 +69,9 @@ def _(spark, sf):
     return redact_columns(_docs(spark, sf), ["text"], "hits", Redactor(enabled=False))
 
 
-@query("d6_second_pass", f"""WITH {I.RAW_LOGS_SQL} SELECT request_id, '[REDACTED_EMAIL]' AS input_preview, 1 AS pii_redaction_count FROM raw
-WHERE event_id >= 0""".replace("'[REDACTED_EMAIL]'", "'mail [REDACTED_EMAIL]'"))
+@query("d6_second_pass", f"""WITH {I.RAW_LOGS_SQL}
+SELECT request_id, 'mail [REDACTED_EMAIL]' AS input_preview, 1 AS pii_redaction_count FROM raw""")
 def _(spark, sf):
-    from ..operators.process import check
-
     logs = check(I.events_json(spark, sf), redact_again=True).logs
     return logs.select("request_id", "input_preview", "pii_redaction_count")
 

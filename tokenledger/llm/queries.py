@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, quality, toxicity, urls
+from . import chat, decontamination, language, mixing, quality, toxicity, urls
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -78,3 +78,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents replicated to square-root source weights and shuffled."""
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, mixing.rates(docs))
+
+
+@query("op4_decontamination", decontamination.SQL)
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item that it contains."""
+    out = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "shared", F.col("size").alias("item_shingles"), "containment")

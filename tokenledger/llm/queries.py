@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, mixing, quality, toxicity, urls
+from . import chat, decontamination, language, mixing, neardup, quality, toxicity, urls
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -85,3 +85,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that it contains."""
     out = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "shared", F.col("size").alias("item_shingles"), "containment")
+
+
+@query("op10_minhash")
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents on four-word shingles."""
+    return neardup.groups(table(spark, sf_dir, "documents"), size=4).withColumnRenamed("id", "doc_id")

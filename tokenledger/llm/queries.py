@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, mixing, neardup, quality, toxicity, urls
+from . import chat, decontamination, embeddings, language, mixing, neardup, quality, toxicity, urls
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -91,3 +91,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on four-word shingles."""
     return neardup.groups(table(spark, sf_dir, "documents"), size=4).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_embeddings")
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all vectors by cosine."""
+    return embeddings.near(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, language, mixing, neardup, quality, toxicity, urls
+from . import chat, decontamination, embeddings, language, mixing, neardup, quality, suffixes, toxicity, urls
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -97,3 +97,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all vectors by cosine."""
     return embeddings.near(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated strings of 200 bytes."""
+    out = suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -18,10 +18,16 @@ def fold(column: str, folds: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % folds
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Texts with their label; the labels are one small row per labelled document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(table(spark, sf_dir, "labels").select("doc_id", label).filter(F.col(label).isNotNull()), "doc_id")
+def labelled(spark: SparkSession, sf_dir: str, label: str, folds: int = 1, held: int = -1, per_class: int = 3000) -> DataFrame:
+    """Texts and labels of at most ``per_class`` documents of each class, by a hash of
+    the id, none of them of fold ``held``.
+
+    Chosen from the labels alone, so only a bounded number of ids meets the texts.
+    """
+    rows = table(spark, sf_dir, "labels").filter(fold("doc_id", folds) != held).select("doc_id", F.col(label).alias("label"))
+    by_class = [rows.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    ids = by_class[0].unionByName(by_class[1]).withColumnRenamed("label", label)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
 @query("op3_language_id")
@@ -36,7 +42,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four of five folds."""
-    model = toxicity.train(labelled(spark, sf_dir, "toxic").filter(fold("doc_id", 5) != 0))
+    model = toxicity.train(labelled(spark, sf_dir, "toxic", 5, 0))
     out = toxicity.score(table(spark, sf_dir, "documents"), model)
     return out.select(
         F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("hits").alias("n_hits")
@@ -46,7 +52,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality")
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from two of three folds."""
-    model = quality.train(labelled(spark, sf_dir, "quality").filter(fold("doc_id", 3) != 1))
+    model = quality.train(labelled(spark, sf_dir, "quality", 3, 1))
     out = quality.score(table(spark, sf_dir, "documents"), model)
     return out.select(
         F.col("id").alias("doc_id"), (fold("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("lines").alias("n_lines")

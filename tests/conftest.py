@@ -26,19 +26,19 @@ def event():
     def make(**changes) -> str:
         base = {
             "request_id": "00000000-0000-4000-8000-000000000001",
-            "service": "chat-gateway",
+            "service": "answer-desk",
             "provider": "openai",
-            "model": "gpt-4.1-mini",
+            "model": "gpt-4o-mini",
             "status": "success",
             "streamed": True,
-            "started_at": "2024-01-01T10:00:00Z",
-            "completed_at": "2024-01-01T10:00:01Z",
-            "latency_ms": 900,
-            "ttft_ms": 200,
-            "prompt_tokens": 40,
-            "completion_tokens": 80,
-            "total_tokens": 120,
-            "client_metadata": {"channel": "web"},
+            "started_at": "2025-03-09T07:30:00Z",
+            "completed_at": "2025-03-09T07:30:02Z",
+            "latency_ms": 1740,
+            "ttft_ms": 310,
+            "prompt_tokens": 61,
+            "completion_tokens": 27,
+            "total_tokens": 88,
+            "client_metadata": {"desk": "north"},
         }
         base.update(changes)
         return json.dumps({k: v for k, v in base.items() if v is not ...})

@@ -21,21 +21,21 @@ def _redact(spark, texts, redactor=Redactor()):
 def test_redaction(spark):
     got = _redact(
         spark,
-        ["ping me at jane.doe@example.com now", "card 4111 1111 1111 1111, ssn 123-45-6789, host 10.0.0.5",
-         "call (415) 555-2671 after noon", "key=sk-abcdEFGH1234abcdEFGH live", "clean text 12", None, ""],
+        ["send it to kim.li@shop.test today", "paid by 5500 0055 5555 5559, number 219-09-9999, from 192.0.2.44",
+         "ring (212) 555-0199 at nine", "token sk-ZZ11yy22XX33ww44VV55 in use", "nothing here, 7", None, ""],
     )
     assert got == [
-        ("ping me at [REDACTED_EMAIL] now", 1), ("card [REDACTED_CARD], ssn [REDACTED_SSN], host [REDACTED_IP]", 3),
-        ("call ([REDACTED_PHONE] after noon", 1), ("key=[REDACTED_API_KEY] live", 1), ("clean text 12", 0), (None, 0), ("", 0),
+        ("send it to [REDACTED_EMAIL] today", 1), ("paid by [REDACTED_CARD], number [REDACTED_SSN], from [REDACTED_IP]", 3),
+        ("ring ([REDACTED_PHONE] at nine", 1), ("token [REDACTED_API_KEY] in use", 1), ("nothing here, 7", 0), (None, 0), ("", 0),
     ]
 
 
 def test_redactor_options(spark):
     assert _redact(spark, ["j@x.com"], Redactor(enabled=False)) == [("j@x.com", 0)]
-    extra = Redactor(extra_patterns=[("INTERNAL_ID", r"INT-\d{6}")])
-    assert _redact(spark, ["see INT-987654"], extra) == [("see [REDACTED_INTERNAL_ID]", 1)]
-    custom = Redactor(custom=lambda t: (f"[REDACTED {len(t)}]", 1))
-    assert _redact(spark, ["a@b.co", None, ""], custom) == [("[REDACTED 6]", 1), (None, 0), ("", 0)]
+    extra = Redactor(extra_patterns=[("US$\\1", r"ORD_[0-9]{4}")])
+    assert _redact(spark, ["order ORD_2210 sent"], extra) == [("order [REDACTED_US$\\1] sent", 1)]
+    custom = Redactor(custom=lambda t: (t[:1] + "…", 2))
+    assert _redact(spark, ["k@x.test", None, ""], custom) == [("k…", 2), (None, 0), ("", 0)]
 
 
 def test_filter_on_redacted_text_stays_small(spark):
@@ -99,6 +99,11 @@ def test_sampling(spark):
     assert S.sample(df, S.Probability(0.0)).count() == 0
     assert S.sample(df, S.AlwaysKeepErrors(S.Probability(0.0))).count() == 2
     assert S.drop_ledger(df, S.AlwaysKeepErrors(S.Probability(0.0))).first().dropped == 50
+    many = spark.range(4_000_000).selectExpr("cast(id AS string) AS request_id")
+    assert 0 < S.sample(many, S.Probability(4e-6)).count() < 50
+    rows = spark.createDataFrame([("a", None), ("b", 400), ("c", 2)], "request_id string, n int")
+    seen = S.CustomSampler(lambda e: e["n"] > 300 and isinstance(e["n"], int))
+    assert sorted(r.request_id for r in S.sample(rows, seen).collect()) == ["a", "b"]
     half = S.Probability(0.5)
     assert S.sample(df, half).collect() == S.sample(df, half).collect()
     with pytest.raises(ValueError):

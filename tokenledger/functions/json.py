@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TAIL = "\u0001end"
+#: Strictly JSON, and strings of any length.
+STRICT = {"maxStringLen": "2147483647", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def strict_json(text: Column) -> Column:
     """The text as a variant, or null when it is not exactly one JSON value.
 
-    ``try_parse_json`` stops after the first value and ignores what follows.
-    Parsing ``[text, tail]`` instead turns trailing text into a visible error:
-    the tail is then not the second element.
+    Parsers stop after the first value and ignore what follows. Parsing ``[text,
+    mark]`` turns that into a visible error: the array then has other than two
+    elements or another second one. The mark is a digest of the text, so no text
+    can hold its own. A variant holds up to 128 MiB; larger values are null.
     """
-    wrapped = F.try_parse_json(
-        F.concat(F.lit("["), text, F.lit(',"\\u0001end"]'))
-    )
-    return F.when(
-        F.try_variant_get(wrapped, "$[1]", "string") == _TAIL,
-        F.try_variant_get(wrapped, "$[0]", "variant"),
-    )
+    mark = F.md5(text)
+    pair = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')), "array<variant>", STRICT)
+    return F.when((F.size(pair) == 2) & (F.try_variant_get(pair[1], "$", "string") == mark), pair[0])
+
+
+def strict_fields(text: Column, fields: str) -> Column:
+    """The text as a struct of its ``fields`` (DDL), null unless it is exactly one JSON object.
+
+    Only the named fields are kept, each with a limit of its own, so an object's
+    size has no bound. Null also for the JSON value null.
+    """
+    mark = F.md5(text)
+    pair = F.from_json(F.concat(F.lit("["), text, F.lit(',{"_mark":"'), mark, F.lit('"}]')), f"array<struct<{fields}, `_mark`: string>>", STRICT)
+    return F.when((F.size(pair) == 2) & (pair[1]["_mark"] == mark), pair[0])
 
 
 def field(doc: Column, path: str) -> Column:
@@ -99,3 +108,9 @@ def dumped_length(json: Column) -> Column:
     outside_strings = F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"', "")
     separators = F.length(F.regexp_replace(outside_strings, r"[^,:]", ""))
     return escaped_length(json) + separators
+
+
+def overlaid(outer: Column, inner: Column) -> Column:
+    """Two maps as one; of keys in both, the inner map's value stays, whatever
+    the session says about duplicate keys."""
+    return F.map_concat(F.map_filter(outer, lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(inner), k), F.lit(False))), inner)

@@ -57,6 +57,11 @@ def _custom_udf(fn: Callable[[str], tuple[str, int]]):
     return run
 
 
+def _literal(label: str) -> str:
+    """A label as replacement text, in which ``\\`` and ``$`` have no meaning."""
+    return label.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def redact_columns(
     df: DataFrame,
     columns: Sequence[str],
@@ -98,7 +103,7 @@ def redact_columns(
                 guard(text), F.regexp_count(text, regex)
             ).otherwise(F.lit(0))
             stage[c] = F.when(
-                guard(text), F.regexp_replace(text, regex, F.lit(f"[REDACTED_{label}]"))
+                guard(text), F.regexp_replace(text, regex, F.lit(f"[REDACTED_{_literal(label)}]"))
             ).otherwise(text)
         stage[count] = F.col(count) + found
         if per_label:

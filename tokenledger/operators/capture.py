@@ -442,10 +442,15 @@ def fold_streams(
     return settle(df.withColumns(made).drop(*used), list(made))
 
 
+# Exceptions by which a caller gives up, as opposed to failures.
+CANCELLATIONS = ("CancelledError", "GeneratorExit")
+
+
 def stream_status(ended: Column, completed: Column, exception_class: Column) -> Column:
-    """A stream that was left early is still a success after its end marker."""
+    """A stream that was left early or cancelled is still a success after its end marker."""
     return (
-        F.when(exception_class.isNotNull(), F.lit("error"))
+        F.when(exception_class.isin(*CANCELLATIONS), F.when(F.coalesce(completed, F.lit(False)), F.lit("success")).otherwise(F.lit("cancelled")))
+        .when(exception_class.isNotNull(), F.lit("error"))
         .when(F.coalesce(ended | completed, F.lit(False)), F.lit("success"))
         .otherwise(F.lit("cancelled"))
     )
@@ -456,7 +461,7 @@ def exchange_error(limit: int = ERROR_CHARS) -> tuple[Column, Column]:
     exception; null for the others."""
     code = F.col("status_code")
     http = code >= 400
-    raised = F.col("exception_class").isNotNull()
+    raised = F.col("exception_class").isNotNull() & ~F.col("exception_class").isin(*CANCELLATIONS)
     body = F.nullif(F.substring("response_body", 1, limit), F.lit(""))
     kind = F.when(http, status_error(code)).when(raised, captured_error(F.col("exception_class")))
     message = F.when(
@@ -470,7 +475,7 @@ def exchange_error(limit: int = ERROR_CHARS) -> tuple[Column, Column]:
 def merge_tags(outer: Column, inner: Column) -> Column:
     """Tags of nested scopes: inner ones win, null ones are ignored."""
     given = F.map_filter(inner, lambda _, v: v.isNotNull() & ~F.is_variant_null(v))
-    return F.map_concat(outer, given)
+    return J.overlaid(outer, given)
 
 
 def conversation_of(tags: Column, explicit: Column | None = None) -> Column:
@@ -492,6 +497,9 @@ def capture_events(
     joined with it, on the request id both sides are shuffled by.
     """
     requests = parse_requests(route(captures, handlers), handlers)
+    # A call given up before its reply was complete never becomes an event.
+    given_up = F.col("exception_class").isin(*CANCELLATIONS) & (~F.col("streaming") | F.col("status_code").isNull())
+    requests = requests.filter(~F.coalesce(given_up, F.lit(False)))
     failed = (F.coalesce(F.col("status_code"), F.lit(0)) >= 400) | (
         F.col("exception_class").isNotNull() & F.col("status_code").isNull()
     )

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.enrich import context_usage
 from .ordering import over_last_rows, with_position
 
-# Context length in messages, title length, default instruction.
+# Context length in messages and title length.
 CONTEXT_MESSAGES = 12
 TITLE_CHARS = 60
-SYSTEM_PROMPT = "You are a demo assistant. Be helpful and concise."
+
+#: The instruction a context begins with unless the caller gives one.
+SYSTEM_PROMPT = "Answer helpfully and keep it short."
 
 MESSAGE_COLUMNS = (
     "id", "role", "content", "status", "request_id", "prompt_tokens",

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 def first_wins(
     events: DataFrame, order: Sequence[str], key: str = "request_id"
 ) -> DataFrame:
-    """One row per ``key``: the first in ``order``.
+    """One row per ``key``: the first in ``order``, on ties the one whose row hashes lowest.
 
     ``row_number() = 1`` becomes a group limit that also runs before the
     shuffle, so a key with very many copies sends one row per input partition.
     """
-    w = Window.partitionBy(key).orderBy(*order)
+    plain = [c for c, kind in events.dtypes if "map<" not in kind and "variant" not in kind]
+    w = Window.partitionBy(key).orderBy(*order, F.xxhash64(*plain))
     return (
         events.withColumn("_rank", F.row_number().over(w))
         .filter(F.col("_rank") == 1)

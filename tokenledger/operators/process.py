@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.enrich import enrich
+from ..functions.json import overlaid
 from ..functions.redact import Redactor, redact_columns
 from ..schemas import INFERENCE_LOGS
 from .validate import storage_error, validate
@@ -47,7 +48,7 @@ def check(
     df = validate(bronze)
     df = enrich(df, prices)
     df = df.withColumn(
-        "client_metadata", F.map_concat(F.col("client_metadata"), F.col("tags"))
+        "client_metadata", overlaid(F.col("client_metadata"), F.col("tags"))
     )
     if redact_again:
         df = redact_columns(

@@ -6,11 +6,11 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_GRAINS = 1_000_000
+_FRACTION = 2.0**-53  # 53 bits of a hash as a number in [0, 1)
 
 
 class Sampler(ABC):
@@ -40,8 +40,8 @@ class Probability(Sampler):
             raise ValueError(f"rate must be in [0, 1], got {self.rate!r}")
 
     def keep(self, events: DataFrame) -> Column:
-        grain = F.pmod(F.xxhash64("request_id"), F.lit(_GRAINS))
-        return grain < F.lit(round(self.rate * _GRAINS))
+        place = F.shiftrightunsigned(F.xxhash64("request_id"), 11).cast("double") * F.lit(_FRACTION)
+        return place < F.lit(self.rate)
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,8 @@ class CustomSampler(Sampler):
     """A boolean column, or a Python function from event to bool.
 
     An event for which the predicate is null or raises is kept. The function is
-    called with a dict and runs as a Pandas UDF.
+    called with a dict, in which nulls are None and whole numbers int, and runs
+    over Arrow batches.
     """
 
     predicate: Column | Callable[[dict], bool]
@@ -75,9 +76,9 @@ class CustomSampler(Sampler):
             except Exception:
                 return True
 
-        @F.pandas_udf("boolean")
-        def run(frame: pd.DataFrame) -> pd.Series:
-            return pd.Series([decide(e) for e in frame.to_dict("records")], dtype=bool)
+        @F.arrow_udf("boolean")
+        def run(events: pa.Array) -> pa.Array:
+            return pa.array([decide(e) for e in events.to_pylist()], pa.bool_())
 
         return run(F.struct(*[F.col(c) for c in events.columns]))
 

@@ -58,7 +58,6 @@ FIELDS: tuple[Field, ...] = (
 )
 
 # Parsed behind the event: text after the event's end makes it unreachable.
-_TAIL = "end of event"
 
 _LONG_MAX = 9223372036854775807
 _INT_MAX = 2147483647
@@ -201,7 +200,7 @@ def _coerced(f: Field) -> Column:
         empty = F.map_from_arrays(
             F.array().cast("array<string>"), F.array().cast("array<variant>")
         )
-        given = F.try_variant_get(F.col(f"_doc.event.{f.name}"), "$", "map<string,variant>")
+        given = F.try_variant_get(F.col(f"_event.{f.name}"), "$", "map<string,variant>")
         return F.coalesce(given, empty)
     return F.when(name == "STRING", text)
 
@@ -241,22 +240,21 @@ def validate(bronze: DataFrame) -> DataFrame:
     keep = [c for c in bronze.columns if c not in names]
     stamped = "received_at" in bronze.columns
     fields = ", ".join(f"{n}: variant" for n in names)
-    parsed = F.from_json(
-        F.concat(F.lit('{"event":'), F.col("value"), F.lit(f',"tail":"{_TAIL}"}}')),
-        f"event struct<{fields}>, tail string",
-    )
+    parsed = J.strict_fields(F.col("value"), fields)
     df = bronze.select(
         *keep,
         *([F.col("received_at").alias("_stamp")] if stamped else []),
-        parsed.alias("_doc"),
+        parsed.alias("_event"),
     )
     df = df.withColumns(
         {
-            "_root": F.when(~F.col("_doc.tail").eqNullSafe(_TAIL), F.lit("unparseable")).when(
-                F.col("_doc.event").isNull(), F.lit("type")
+            # Only what is no object is parsed again, to tell other JSON from none.
+            "_root": F.when(
+                F.col("_event").isNull(),
+                F.when(J.strict_json(F.col("value")).isNull(), F.lit("unparseable")).otherwise(F.lit("type")),
             ),
-            **{f"_t_{n}": J.kind(F.col(f"_doc.event.{n}")) for n in names},
-            **{f"_s_{n}": F.try_variant_get(F.col(f"_doc.event.{n}"), "$", "string") for n in names},
+            **{f"_t_{n}": J.kind(F.col(f"_event.{n}")) for n in names},
+            **{f"_s_{n}": F.try_variant_get(F.col(f"_event.{n}"), "$", "string") for n in names},
         }
     )
     df = df.withColumns({f"_f_{f.name}": _usual(f) for f in FIELDS if f.type in _COERCIONS})
@@ -280,6 +278,10 @@ def validate(bronze: DataFrame) -> DataFrame:
     ).drop("_found")
 
 
+# The escape of NUL in JSON text; after an odd number of backslashes it is text.
+_NUL = r"(?<!\\)(?:\\\\)*\\u0000"
+
+
 def storage_error(df: DataFrame) -> Column:
     """Text of what the log table cannot hold in an otherwise valid row: whole
     numbers beyond 32 bits and NUL characters. Null when the row fits."""
@@ -298,7 +300,7 @@ def storage_error(df: DataFrame) -> Column:
         )
     ]
     nested = F.when(
-        F.contains(F.to_json("client_metadata"), F.lit("\\u0000")),
+        F.to_json("client_metadata").rlike(_NUL),
         F.lit("client_metadata holds NUL"),
     )
     problems = F.concat_ws("; ", *wide, *nul, nested)

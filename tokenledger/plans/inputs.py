@@ -19,7 +19,7 @@ LOG_COLUMNS_SQL = (
     "event_id",
     "printf('00000000-0000-4000-8000-%012x', event_id) AS request_id",
     "printf('00000000-0000-4000-9000-%012x', user_id) AS conversation_id",
-    "'chat-gateway' AS service",
+    "'answer-desk' AS service",
     "CASE WHEN event_id % 5 = 3 THEN 'anthropic' "
     "WHEN event_id % 5 = 4 THEN 'openai_compatible' ELSE 'openai' END AS provider",
     "CASE event_id % 5 WHEN 0 THEN 'gpt-4.1' WHEN 1 THEN 'gpt-4.1-mini' "
@@ -38,7 +38,7 @@ LOG_COLUMNS_SQL = (
     "CASE WHEN event_type = 'error' THEN CASE event_id % 6 "
     "WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'timeout' WHEN 2 THEN 'provider_error' "
     "WHEN 3 THEN 'connection' WHEN 4 THEN 'unknown' END END AS error_type",
-    "CASE WHEN event_type = 'error' THEN 'synthetic error' END AS error_message",
+    "CASE WHEN event_type = 'error' THEN 'made-up failure' END AS error_message",
     "props AS tags_json",
 )
 
@@ -117,8 +117,8 @@ def shape_events(events: DataFrame, damaged: bool = False) -> DataFrame:
     """One JSON event per row, as a producer sends it.
 
     With ``damaged`` the remainder of the id by 50 decides what is unusual about
-    an event; most remainders mean nothing is. 1 to 8, 14, 15 and 18 to 21 are
-    invalid, 9 to 13 and 22 unusual but accepted, 16 and 17 lack or add a field.
+    an event; most remainders mean nothing is. 1 to 8, 14, 15, 18 to 21 and 23 to
+    26 are invalid, 9 to 13 and 22 unusual but accepted, 16 and 17 lack or add a field.
     """
     logs = shape_logs(events)
     iso = F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
@@ -169,6 +169,11 @@ def shape_events(events: DataFrame, damaged: bool = False) -> DataFrame:
         F.when(m == 6, F.substring(whole, F.lit(1), F.length(whole) - 1))
         .when(m == 19, F.concat(whole, F.lit(" trailing")))
         .when(m == 20, F.lit("[1]"))
+        # What a lenient reader would take for the event in it.
+        .when(m == 23, F.concat(whole, F.lit(',"x":1')))
+        .when(m == 24, F.concat(F.lit('1,"event":'), whole))
+        .when(m == 25, F.concat(F.lit('{"latency_ms":-1},"event":'), whole))
+        .when(m == 26, F.translate(whole, '"', "'"))
         .otherwise(whole)
     )
     return logs.select("event_id", value.alias("value"))

@@ -21,7 +21,7 @@ from . import inputs as I
 from .registry import query
 
 # Damaged events by remainder of their id, see inputs.shape_events.
-_INVALID = "(1, 2, 3, 4, 5, 6, 8, 14, 15, 18, 19, 20)"
+_INVALID = "(1, 2, 3, 4, 5, 6, 8, 14, 15, 18, 19, 20, 23, 24, 25, 26)"
 _REFUSED = "(7, 21)"
 _KNOWN = "(SELECT *, event_id % 50 AS m FROM raw) AS known"
 
@@ -55,7 +55,7 @@ def _(spark, sf):
     )
 
 
-@query("a3_poison_events", """SELECT event_id, CASE WHEN event_id % 50 IN (6, 19) THEN 'poison'
+@query("a3_poison_events", """SELECT event_id, CASE WHEN event_id % 50 IN (6, 19, 23, 24, 25, 26) THEN 'poison'
   WHEN event_id % 50 = 20 THEN 'no object' ELSE 'json' END AS decoded FROM events""")
 def _(spark, sf):
     checked = validate(_events(spark, sf))
@@ -130,13 +130,15 @@ _ERRORS_SQL = f"""CASE m
   WHEN 14 THEN 'validation error: tags: type' WHEN 15 THEN 'validation error: tags: size'
   WHEN 18 THEN 'validation error: input_preview: length'
   WHEN 19 THEN 'validation error: $: unparseable; {_MISSING_ALL}'
+  WHEN 23 THEN 'validation error: $: unparseable; {_MISSING_ALL}' WHEN 24 THEN 'validation error: $: unparseable; {_MISSING_ALL}'
+  WHEN 25 THEN 'validation error: $: unparseable; {_MISSING_ALL}' WHEN 26 THEN 'validation error: $: unparseable; {_MISSING_ALL}'
   WHEN 20 THEN 'validation error: $: type; {_MISSING_ALL}'
   WHEN 21 THEN 'processing error: model holds NUL' END"""
 
 
 @query("a7_dead_letters", f"""WITH {I.RAW_LOGS_SQL}
 SELECT error, CASE WHEN m IN {_REFUSED} THEN 'processing' ELSE 'validation' END AS stage,
-  m IN (6, 19) AS wrapped, count(*) AS events
+  m IN (6, 19, 23, 24, 25, 26) AS wrapped, count(*) AS events
 FROM (SELECT {_ERRORS_SQL} AS error, m FROM {_KNOWN}) WHERE error IS NOT NULL GROUP BY ALL""")
 def _(spark, sf):
     letters = check(_events(spark, sf)).dead_letters
@@ -173,7 +175,7 @@ _ALWAYS_MISSING = "('request_id'), ('service'), ('provider'), ('model'), ('statu
 
 
 @query("b1_required_fields", f"""SELECT event_id, field, 'missing' AS code FROM events, (VALUES {_ALWAYS_MISSING}) f(field)
-WHERE event_id % 50 IN (6, 19, 20) OR (event_id % 50 = 1 AND field = 'latency_ms')""")
+WHERE event_id % 50 IN (6, 19, 20, 23, 24, 25, 26) OR (event_id % 50 = 1 AND field = 'latency_ms')""")
 def _(spark, sf):
     return _violations(spark, sf, "missing")
 
@@ -183,7 +185,7 @@ SELECT event_id, CASE WHEN m = 5 THEN NULL ELSE request_id END AS request_id,
   CASE WHEN m IN (1, 4) THEN NULL WHEN m = 3 THEN -1 WHEN m = 7 THEN 2147483648 WHEN m = 22 THEN 1 ELSE latency_ms END::BIGINT AS latency_ms,
   CASE WHEN m = 11 AND NOT streamed THEN false ELSE streamed END AS streamed,
   CASE WHEN m = 12 THEN date_trunc('millisecond', started_at) ELSE started_at END AS started_at
-FROM {_KNOWN} WHERE m NOT IN (6, 19, 20)""")
+FROM {_KNOWN} WHERE m NOT IN (6, 19, 20, 23, 24, 25, 26)""")
 def _(spark, sf):
     readable = ~F.exists("errors", lambda e: e["field"] == "$")
     return validate(_events(spark, sf)).filter(readable).select(
@@ -235,7 +237,7 @@ def _(spark, sf):
 
 # A truncated event makes its whole batch unreadable, trailing text as well.
 _VERDICTS_SQL = f"""WITH {I.BATCHES_SQL}, judged AS (
-  SELECT batch_id, max(CASE WHEN event_id % 50 IN (6, 19) THEN 1 ELSE 0 END) AS broken,
+  SELECT batch_id, max(CASE WHEN event_id % 50 IN (6, 19, 23, 24, 25, 26) THEN 1 ELSE 0 END) AS broken,
     count(*) AS n, count(*) FILTER (WHERE event_id % 50 IN {_INVALID}) AS bad FROM batched GROUP BY 1)
 SELECT batch_id, CASE WHEN broken = 1 THEN 0 ELSE n END AS events, CASE WHEN broken = 1 THEN 0 ELSE bad END AS invalid,
   broken = 0 AND n BETWEEN 1 AND 500 AND bad = 0 AS accepted FROM judged
@@ -371,7 +373,7 @@ def _(spark, sf):
     )
 
 
-@query("f3_cap_map", """WITH parts AS (SELECT doc_id, range AS i, substr(text, (1 + range * 200)::BIGINT, 200) AS part FROM documents, range(40)),
+@query("f3_cap_map", """WITH parts AS (SELECT doc_id, range AS i, substr(text, (1 + range * 200)::BIGINT, 200) AS part FROM documents, unnest(range(greatest(40, ceil(length(text) / 200))::BIGINT)) AS t(range)),
 capped AS (SELECT doc_id, i, length(part) AS chars,
   4 + 4 + length('k' || (100 + i)) + sum(0) OVER () + (length(to_json(part)::VARCHAR) - 2)
   + 5 * length(regexp_replace(to_json(part)::VARCHAR, '[ -~]', '', 'g'))
@@ -380,7 +382,8 @@ capped AS (SELECT doc_id, i, length(part) AS chars,
 run AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM capped)
 SELECT doc_id, count(*) FILTER (WHERE total <= 4096) AS kept, coalesce(sum(chars) FILTER (WHERE total <= 4096), 0)::BIGINT AS chars FROM run GROUP BY 1""")
 def _(spark, sf):
-    numbers = F.sequence(F.lit(0), F.lit(39))
+    last = F.greatest(F.lit(40), F.ceil(F.length("text") / 200)).cast("int") - 1
+    numbers = F.sequence(F.lit(0), last)
     tags = F.map_from_arrays(
         F.transform(numbers, lambda i: F.concat(F.lit("k"), (i + 100).cast("string"))),
         F.transform(numbers, lambda i: F.col("text").substr(i * 200 + 1, F.lit(200)).cast("variant")),
@@ -418,10 +421,10 @@ def _(spark, sf):
     return S.sample(I.raw_logs(spark, sf), S.KeepAll()).select("request_id", "status")
 
 
-@query("g2_probability", """SELECT rate, count(*) AS events, true AS within_bounds FROM events, (VALUES (0.0::DOUBLE), (0.25), (1.0)) r(rate) GROUP BY 1""")
+@query("g2_probability", """SELECT rate, count(*) AS events, true AS within_bounds FROM events, (VALUES (0.0::DOUBLE), (4e-7), (0.25), (1.0)) r(rate) GROUP BY 1""")
 def _(spark, sf):
     logs = I.raw_logs(spark, sf)
-    kept = {r: F.count_if(S.Probability(r).keep(logs)) for r in (0.0, 0.25, 1.0)}
+    kept = {r: F.count_if(S.Probability(r).keep(logs)) for r in (0.0, 4e-7, 0.25, 1.0)}
     counts = logs.agg(
         F.count("*").alias("events"),
         F.array(
@@ -446,15 +449,13 @@ def _(spark, sf):
     return S.sample(I.raw_logs(spark, sf), sampler).select("request_id", "status", "completion_tokens")
 
 
-@query("g4_custom_function", f"WITH {I.RAW_LOGS_SQL} SELECT request_id, status FROM raw WHERE status = 'error' OR latency_ms > 1000")
+@query("g4_custom_function", f"WITH {I.RAW_LOGS_SQL} SELECT request_id, status FROM raw WHERE coalesce(completion_tokens > 300, true)")
 def _(spark, sf):
-    def slow(event):
-        if event["status"] == "error":
-            raise RuntimeError("a failing predicate keeps the event")
-        return event["latency_ms"] > 1000
+    def long(event):
+        return event["completion_tokens"] > 300  # raises on a null, which keeps the event
 
-    logs = I.raw_logs(spark, sf).select("request_id", "status", "latency_ms")
-    return S.sample(logs, S.CustomSampler(slow)).select("request_id", "status")
+    logs = I.raw_logs(spark, sf).select("request_id", "status", "completion_tokens")
+    return S.sample(logs, S.CustomSampler(long)).select("request_id", "status")
 
 
 @query("g5_drop_ledger", f"WITH {I.RAW_LOGS_SQL} SELECT 'sampled' AS reason, count(*) AS dropped FROM raw WHERE status = 'success' HAVING count(*) > 0")

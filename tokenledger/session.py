@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -49,11 +52,18 @@ def local_session(app: str = "tokenledger", cpus: int | str = "*") -> SparkSessi
     return spark
 
 
+@cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="tokenledger-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path every executor can reach.
 
-    It lies under ``spark.checkpoint.dir``. Only a local session without that
-    setting falls back to the machine's temporary folder.
+    It lies under ``spark.checkpoint.dir``. A local session without that setting
+    gets a temporary folder of its own, removed when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -61,5 +71,5 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError(
                 "set spark.checkpoint.dir to a folder shared by all executors"
             )
-        base = os.path.join(tempfile.gettempdir(), "tokenledger")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -60,7 +60,7 @@ def explode_envelopes(envelopes: DataFrame) -> DataFrame:
     An envelope without a list of events, or with an empty one, yields a single
     row with null ``pos`` so that the batch is not lost.
     """
-    events = F.try_variant_get(J.strict_json(F.col("value")), "$.events", "array<variant>")
+    events = J.strict_fields(F.col("value"), "events: array<variant>")["events"]
     return envelopes.select("batch_id", F.posexplode_outer(events)).select(
         "batch_id", F.col("pos").cast("long").alias("pos"), F.to_json("col").alias("value")
     )

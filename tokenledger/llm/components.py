@@ -32,6 +32,13 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or tied to exactly one centre."""
+    ends = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("centre")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("centre")))
+    nodes = edges.select(F.inline(ends)).groupBy("node").agg(F.sum("up").alias("up"), F.max("centre").alias("centre"))
+    return not nodes.filter("up > 1 or (up = 1 and centre = 1)").limit(1).count()
+
+
 def components(edges: DataFrame, first: str = "a", second: str = "b", rounds: int = 60) -> DataFrame:
     """``node, component`` for every node that has an edge to another node.
 
@@ -40,17 +47,10 @@ def components(edges: DataFrame, first: str = "a", second: str = "b", rounds: in
     """
     x, y = F.col(f"`{first}`"), F.col(f"`{second}`")
     now = settled(edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).filter(x.isNotNull() & y.isNotNull() & (x != y)).distinct(), "edges")
-    # Edges are (larger, smaller); two numbers tell whether anything moved.
-    mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).alias("mark")
-    seen = now.agg(mark).first()["mark"]
     for _ in range(rounds):
-        if not seen["n"]:
+        if _stars(now):
             break
         now = settled(_small(_large(now)), "edges")
-        fresh = now.agg(mark).first()["mark"]
-        if fresh == seen:
-            break
-        seen = fresh
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     least = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -71,7 +71,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
 
     The counts are added up per task before the shuffle; what reaches the driver
     is at most ``buckets`` numbers per language. Rows with a null text or
-    language teach nothing. Raises ValueError if no row teaches anything.
+    language teach nothing; if no row teaches anything, every text is ``und``.
     """
     rows = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).filter("text is not null and lang is not null")
 
@@ -94,7 +94,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
     counted = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counted.toPandas()
     if found.empty:
-        raise ValueError("no row has both a text and a language")
+        return Model((), np.zeros((buckets, 0), np.float32), np.zeros((len(_NAMES), 0), bool))
     langs = tuple(sorted(found["lang"].unique()))
     table = np.zeros((buckets + len(_NAMES), len(langs)))
     table[found["bucket"].to_numpy(), [langs.index(x) for x in found["lang"]]] = found["n"].to_numpy()
@@ -187,7 +187,7 @@ def label(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", p
                 pred, share = np.full(rows, k), np.zeros(rows)
                 spans = (np.zeros(0, np.int64),) * 3
                 span_row = np.zeros(0, np.int64)
-                if starts.size:
+                if starts.size and k:
                     score = np.add.reduceat(own.scores[gram], heads, axis=0)
                     score = np.where(own.allowed[_script_of(points, starts)], score, score.min() - 1e4).astype(np.float32)
                     labels = _viterbi(score - score.max(1, keepdims=True), row, rows, penalty).astype(np.int64)

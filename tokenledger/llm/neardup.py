@@ -1,10 +1,10 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, exact links, components.
 
 Equal shingle sets are one class from the start, so a group of copies is one row
-in all later steps. Classes that share a band are tied to a centre of their
-bucket, and the ties are verified on the full sets. Rounds with other centres
-follow for buckets whose classes are not yet connected; what is still apart after
-them is compared pair by pair, so no link between components is lost.
+in all later steps. In each bucket of a band, classes whose sizes and signatures
+allow a link are joined by a spanning forest; its components are clusters, and
+inside a cluster every two classes are compared on their full sets, block by
+block. Neither step makes a row per pair.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from .scratch import settled
 M = 128  # components of a signature
 ROWS = 4  # components of 16 bits in a band, one 64-bit word
 BANDS = M // ROWS
-_CENTRE_ROUNDS = 3
 _LEAST_SAME = 75  # of 128 components: six standard deviations below a resemblance of 0.8
-_PER_CENTRE = 256  # members that share one copy of a centre's text
+_BUCKET = 4096  # rows of a bucket that one task compares
+_CLUSTER = 512  # texts of a cluster that one task compares with as many others
+_COLUMNS = 4096  # shingles compared at a time
 _BROADCAST_ROWS = 1_000_000  # keys of about 40 bytes
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,63 +115,145 @@ def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text", size: in
     return rows.mapInArrow(work, f"id {kind}, tag long, key binary, n long, bands array<long>")
 
 
-def _same(a: str, b: str):
-    """Equal 16-bit components of two band arrays."""
-    def four(x):
-        return sum(((F.shiftrightunsigned(x, 16 * i).bitwiseAND(F.lit(0xFFFF))) == 0).cast("int") for i in range(ROWS))
+def _dealt(rows: DataFrame, group: list[str], block: int) -> DataFrame:
+    """Rows of each group by blocks: a task gets a pair of blocks ``i, j`` of a group.
 
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + four(x))
+    A group of up to ``block`` rows is one task's; a larger one is cut by a hash of
+    the key, and every block meets every other once.
+    """
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > block)
+    hot = settled(sizes.select(*group, F.ceil(F.col("_rows") / block).cast("int").alias("parts")), "hot-groups")
+    joined = rows.join(F.broadcast(hot) if hot.count() <= _BROADCAST_ROWS else hot, group, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = joined.withColumn("own", F.pmod(F.hash("key"), "parts")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    names = [*group, "i", "j"]
+    dealt = cut.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).drop("parts", "own", "with")
+    return dealt.repartition(*names).sortWithinPartitions(*names).select(*names, *[c for c in rows.columns if c not in group])
+
+
+def _forest(near, n: int) -> list[tuple[int, int]]:
+    """Spanning forest of a graph; ``near(i, rest)`` flags which of ``rest`` are next to ``i``."""
+    rest = np.arange(1, n)
+    todo, out = [0], []
+    while rest.size or todo:
+        if not todo:
+            todo, rest = [int(rest[0])], rest[1:]
+        i = todo.pop()
+        if not rest.size:
+            break
+        found = near(i, rest)
+        out += [(i, int(k)) for k in rest[found]]
+        todo += rest[found].tolist()
+        rest = rest[~found]
+    return out
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose sizes and signatures allow the resemblance."""
-    side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("bands").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_same("s_a", "s_b") >= _LEAST_SAME)).select("a", "b")
+def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose full sets resemble each other enough.
+def _candidates(buckets: DataFrame, percent: int) -> DataFrame:
+    """Edges ``a, b`` that span the classes of a bucket whose sizes and signatures
+    allow the resemblance: at most one edge less than the bucket has rows."""
 
-    ``a`` is the end that many pairs share; its text goes to a task once for
-    every ``_PER_CENTRE`` of its partners, so a hot centre spreads over tasks.
-    """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / _PER_CENTRE).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.hash("b"), "parts").alias("part"))
-    members = dealt.join(texts.select(F.col("key").alias("b"), "text"), "b").select("a", "part", "b", "text")
-    centres = dealt.select("a", "part").distinct().join(texts.select(F.col("key").alias("a"), "text"), "a").select("a", "part", F.lit(None).cast("binary").alias("b"), "text")
-    ordered = members.unionByName(centres).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    def work(batches):
+        name, keys, sizes, bits = None, [], [], []
+        out: list[tuple[bytes, bytes]] = []
+
+        def close():
+            if len(keys) < 2:
+                return
+            n, sig = np.array(sizes), np.stack(bits)
+
+            def near(i, rest):
+                fits = 100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])
+                fits[fits] = (sig[rest[fits]] == sig[i]).sum(1) >= _LEAST_SAME
+                return fits
+
+            out.extend((keys[i], keys[k]) for i, k in _forest(near, len(keys)))
+
+        for batch in batches:
+            every = np.ascontiguousarray(batch.column("bands").flatten().to_numpy(zero_copy_only=False)).view(np.uint16).reshape(-1, M)
+            heads = zip(*[batch.column(c).to_pylist() for c in ("band", "value", "i", "j")])
+            for at, (head, key, n) in enumerate(zip(heads, batch.column("key").to_pylist(), batch.column("n").to_pylist())):
+                if head != name:
+                    close()
+                    name, keys, sizes, bits = head, [], [], []
+                keys.append(key)
+                sizes.append(n)
+                bits.append(every[at])
+            if len(out) > 20_000:
+                yield _edges(out)
+                out.clear()
+        close()
+        yield _edges(out)
+
+    return _dealt(buckets, ["band", "value"], _BUCKET).mapInArrow(work, "a binary, b binary")
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets."""
+    owner = np.repeat(np.arange(len(sets)), [x.size for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1  # what one set alone has meets nothing
+    number = np.cumsum(often) - 1
+    keep = often[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for begin in range(0, int(often.sum()), _COLUMNS):
+        a, b = np.searchsorted(column, [begin, begin + _COLUMNS])
+        part = np.zeros((len(sets), _COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - begin] = 1
+        total += part @ part.T
+    return total
+
+
+def _links(clustered: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges ``a, b`` that span the linked classes of a cluster (cluster, key, text),
+    decided by the full sets of every two of its classes."""
 
     def work(batches):
-        centre, held = None, None
+        name, keys, sets, seen = None, [], [], set()
+        out: list[tuple[bytes, bytes]] = []
+
+        def close():
+            if len(keys) < 2:
+                return
+            n = np.array([x.size for x in sets])
+            both = _shared(sets)
+            linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+            out.extend((keys[i], keys[k]) for i, k in _forest(lambda i, rest: linked[i, rest], len(keys)))
+
         for batch in batches:
             for part in T.slices(batch):
-                shingle, where, count = _shingled(part.column(3), size)
-                begin = np.searchsorted(where, np.arange(count + 1))
-                left, right = [], []
-                for i, (a, b) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
-                    own = np.unique(shingle[begin[i] : begin[i + 1]])
-                    if b is None:
-                        if _key(own) == a:
-                            centre, held = a, own
-                    elif centre == a and _key(own) == b:
-                        at = np.minimum(np.searchsorted(held, own), held.size - 1)
-                        both = int((held[at] == own).sum())
-                        if 100 * both >= percent * (held.size + own.size - both):
-                            left.append(a)
-                            right.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
-
-    return ordered.mapInArrow(work, "a binary, b binary")
+                shingle, where, count = _shingled(part.column("text"), size)
+                heads = zip(*[part.column(c).to_pylist() for c in ("cluster", "i", "j")])
+                for own, head, key in zip(_distinct(shingle, where, count), heads, part.column("key").to_pylist()):
+                    if head != name:
+                        close()
+                        name, keys, sets, seen = head, [], [], set()
+                    # Texts are found by id and a hash; one that isn't meant has another key.
+                    if key not in seen and _key(own) == key:
+                        seen.add(key)
+                        keys.append(key)
+                        sets.append(own)
+                if len(out) > 20_000:
+                    yield _edges(out)
+                    out.clear()
+        close()
+        yield _edges(out)
+
+    return _dealt(clustered, ["cluster"], _CLUSTER).mapInArrow(work, "a binary, b binary")
 
 
 def _texts(docs: DataFrame, needed: DataFrame, id: str, text: str) -> DataFrame:
-    """The text of one document of each class ``needed`` (key, id, tag)."""
-    want = needed.select("key", F.col("id").alias("_id"), F.col("tag").alias("_tag"))
+    """``cluster, key, text``: a text of each class ``needed`` (key, cluster, id, tag)."""
+    want = needed.select("key", "cluster", F.col("id").alias("_id"), F.col("tag").alias("_tag"))
     if needed.count() <= _BROADCAST_ROWS:
         want = F.broadcast(want)  # a counted number of short rows; beyond it both sides are shuffled
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("tag"), F.col(f"`{text}`").alias("text"))
-    return rows.join(want, rows["id"].eqNullSafe(want["_id"]) & (rows["tag"] == want["_tag"])).select("key", "text")
+    return rows.join(want, rows["id"].eqNullSafe(want["_id"]) & (rows["tag"] == want["_tag"])).select("cluster", "key", "text")
 
 
 def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -189,37 +272,11 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     )
     bands = classes.select("key", F.posexplode("bands").alias("band", "value"))
     full = bands.groupBy("band", "value").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    buckets = settled(bands.join(full, ["band", "value"]), "buckets")
-    texts = settled(_texts(docs, buckets.select("key").distinct().join(classes.select("key", F.col("rep.id").alias("id"), F.col("rep.tag").alias("tag")), "key"), id, text).dropDuplicates(["key"]), "texts")
-    tied = tested = labels = None
-    for turn in range(_CENTRE_ROUNDS + 1):
-        if labels is None:
-            apart = buckets.withColumn("label", F.col("key"))
-        else:
-            named = buckets.join(labels.select(F.col("node").alias("key"), "component"), "key", "left").select("band", "value", "key", F.coalesce("component", "key").alias("label"))
-            mixed = named.groupBy("band", "value").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("band", "value")
-            apart = settled(named.join(mixed, ["band", "value"]), "apart")
-        if turn < _CENTRE_ROUNDS:
-            rank = F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), F.col("key").alias("key"), F.col("label").alias("label"))
-            centre = apart.groupBy("band", "value").agg(F.min(rank).alias("c"))
-            pairs = apart.join(centre, ["band", "value"]).filter("label <> c.label").select(F.col("c.key").alias("a"), F.col("key").alias("b"))
-        else:
-            other = apart.select("band", "value", F.col("key").alias("b"), F.col("label").alias("_label"))
-            pairs = apart.withColumnRenamed("key", "a").join(other, ["band", "value"]).filter("label <> _label and a < b").select("a", "b")
-        pairs = pairs.distinct()
-        if tested is not None:
-            turned = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(turned, ["a", "b"], "left_anti")
-        pairs = settled(_plausible(pairs, classes, percent), "pairs")
-        if not pairs.limit(1).count():
-            if turn < _CENTRE_ROUNDS - 1 and turn:
-                continue
-            if turn:
-                break
-        tested = pairs if tested is None else settled(tested.unionByName(pairs), "tested")
-        links = settled(_verified(pairs, texts, size, percent), "links")
-        tied = links if tied is None else tied.unionByName(links)
-        labels = settled(components(tied), "labels")
+    buckets = settled(bands.join(full, ["band", "value"]).join(classes.select("key", "n", "bands"), "key"), "buckets")
+    clusters = settled(components(_candidates(buckets, percent)).select(F.col("node").alias("key"), F.col("component").alias("cluster")), "clusters")
+    needed = clusters.join(classes, "key").select("key", "cluster", F.col("rep.id").alias("id"), F.col("rep.tag").alias("tag"))
+    texts = settled(_texts(docs, settled(needed, "needed"), id, text), "texts")
+    labels = components(_links(texts, size, percent))
     member = labels.select(F.col("node").alias("key"), "component")
     placed = classes.join(member, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     lowest = placed.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -354,7 +354,8 @@ def _kept(text: np.ndarray, low: np.ndarray, high: np.ndarray, characters: bool)
 
 
 def dedup(docs: DataFrame, text: str = "text", length: int = 200, characters: bool = False) -> DataFrame:
-    """The columns of ``docs`` and ``n_bytes, n_removed, n_spans, kept`` (binary).
+    """The columns of ``docs`` and ``n_bytes, n_removed, n_spans, kept`` (binary),
+    which replace columns of the same names.
 
     Removes each byte of a text that a string of ``length`` bytes covers which also
     starts anywhere else in the input, in the same text too. Overlaps count, and
@@ -363,7 +364,7 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 200, characters: bo
     ``characters``, a character stays unless all its bytes are covered. ``length``
     is at least 64 and at most 4096.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], own.alias("text"), F.xxhash64(own).alias("key"))
     told = rows.select("key", F.octet_length("text").alias("size"), F.crc32("text").alias("crc")).filter(F.col("size") >= length)

@@ -66,7 +66,7 @@ def _mine(rows: DataFrame, share: float, terms: int) -> list[tuple[str, bool]]:
     ]
     total = rows.agg(F.sum("label").alias("bad"), F.count("*").alias("n")).first()
     if not total["n"] or not total["bad"] or total["bad"] == total["n"]:
-        raise ValueError("labelled texts of both classes are needed")
+        return []
     good, least = total["n"] - total["bad"], max(6, share * total["bad"])
     odds = F.log((F.col("bad") + 0.1) / (F.col("n") - F.col("bad") + 0.1)) - F.lit(math.log(total["bad"] / good))
     union = both[0].select("term", "start", "bad", "n").unionByName(both[1].select("term", "start", "bad", "n"))
@@ -233,12 +233,15 @@ def train(df: DataFrame, text: str = "text", label: str = "toxic", per_class: in
     Texts are chosen by a hash, so the sample does not depend on order or
     partitioning. ``share`` is the share of toxic texts a term must occur in (and in six
     at least) and ``terms`` the size of the lexicon. Rows with a null text or label are passed
-    over; without both classes ValueError is raised.
+    over. Without both classes, or without telling terms, no text has hits and
+    all score as the larger class.
     """
     rows = settled(sample(df, text, label, per_class), "toxic-sample")
     lexicon = _mine(rows, share, terms)
     if not lexicon:
-        return Model("", np.array([[0], [1]], np.int32), np.array([-1, -1], np.int32), (), np.zeros((0, 2)), np.array([-20.0, 0, 0, 0, 0]))
+        mean = rows.agg(F.avg("label").alias("p")).first()["p"] or 0.0
+        start = np.array([20.0 if mean > 0.5 else -20.0, 0, 0, 0, 0])
+        return Model("", np.array([[0], [1]], np.int32), np.array([-1, -1], np.int32), (), np.zeros((0, 2)), start)
     alphabet, step, hit, patterns = compile_terms(lexicon)
     found, sizes, labels, at = [], [], [], 0
     for part in _pieces(rows):

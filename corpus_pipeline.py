@@ -52,8 +52,10 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     ``n_chars`` is that of the text that stays. A null text stays null.
     """
     text = F.when(F.col("text").isNotNull(), F.decode("kept", "UTF-8"))
-    cut = suffixes.dedup(docs, characters=True).withColumn("text", text)
-    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")).select(*docs.columns)
+    cut = suffixes.dedup(docs.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(docs.columns)], "text"), characters=True).withColumn("text", text)
+    chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    made = {"text": F.col("text"), "n_chars": F.coalesce(chars, f"d{docs.columns.index('n_chars')}")}
+    return cut.select(*[made.get(c, F.col(f"d{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

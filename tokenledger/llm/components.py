@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import settled
+from .scratch import released, settled
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -50,7 +50,8 @@ def components(edges: DataFrame, first: str = "a", second: str = "b", rounds: in
     for _ in range(rounds):
         if _stars(now):
             break
-        now = settled(_small(_large(now)), "edges")
+        last, now = now, settled(_small(_large(now)), "edges")
+        released(last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     least = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import texts as T
 from .components import components
-from .scratch import settled
+from .scratch import released, settled
 
 M = 128  # components of a signature
 ROWS = 4  # components of 16 bits in a band, one 64-bit word
@@ -275,8 +275,10 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     buckets = settled(bands.join(full, ["band", "value"]).join(classes.select("key", "n", "bands"), "key"), "buckets")
     clusters = settled(components(_candidates(buckets, percent)).select(F.col("node").alias("key"), F.col("component").alias("cluster")), "clusters")
     needed = clusters.join(classes, "key").select("key", "cluster", F.col("rep.id").alias("id"), F.col("rep.tag").alias("tag"))
-    texts = settled(_texts(docs, settled(needed, "needed"), id, text), "texts")
-    labels = components(_links(texts, size, percent))
+    wanted = settled(needed, "wanted")
+    texts = settled(_texts(docs, wanted, id, text), "texts")
+    labels = settled(components(_links(texts, size, percent)), "labels")
+    released(buckets, clusters, wanted, texts)
     member = labels.select(F.col("node").alias("key"), "component")
     placed = classes.join(member, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     lowest = placed.groupBy("component").agg(F.min("least").alias("component_id"))

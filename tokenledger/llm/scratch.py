@@ -25,7 +25,18 @@ def settled(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = shared_dir(spark, f"llm-{name}")
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def released(*frames: DataFrame) -> None:
+    """Deletes tables of ``settled`` that nothing reads any more, since all that was
+    made of them is written itself."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame._written)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def chosen(df: DataFrame, **columns: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts as T
-from .scratch import settled
+from .scratch import released, settled
 
 GRAM = 32
 _PIECE = 1 << 19  # window starts handled at a time
@@ -376,15 +376,18 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 200, characters: bo
     distinct = settled(
         members.groupBy("fp", "sh").agg(F.min(F.struct("key", "at")).alias("rep"), (F.min(place) != F.max(place)).alias("many")), "segments"
     )
+    released(anchors)
     hot = distinct.groupBy("fp").count().filter(F.col("count") > _HOT).select("fp", F.lit(True).alias("hot"))
     wants = distinct.join(hot, "fp", "left").groupBy(F.col("rep.key").alias("key")).agg(
         F.collect_list(F.struct("fp", "sh", F.col("rep.at").alias("at"), "many", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wants")
     )
-    parts = _parts(_wanted(rows, settled(wants, "wants")), length)
+    lists = settled(wants, "wants")
+    parts = _parts(_wanted(rows, lists), length)
     cover = settled(_search(parts, length), "cover")
     marks = settled(
         members.join(cover, ["fp", "sh"]).groupBy("key").agg(F.collect_set(F.struct("at", "sh", "low", "high")).alias("marks")), "marks"
     )
+    released(members, distinct, lists, cover)
     plain = _narrowed(rows, marks.select("key"), "left_anti").withColumn("marks", F.lit(None).cast(marks.schema["marks"].dataType))
     marked = _narrowed(rows, marks.select("key"), "left_semi").join(marks, "key")
     twice = copies.withColumn("_twice", F.lit(True))

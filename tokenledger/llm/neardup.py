@@ -271,14 +271,15 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
         sets.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("id").alias("least"), F.min(F.struct("id", "tag")).alias("rep")), "classes"
     )
     bands = classes.select("key", F.posexplode("bands").alias("band", "value"))
-    full = bands.groupBy("band", "value").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    # Written first: a join that follows an aggregate on its own key cannot be split where a key is hot.
+    full = settled(bands.groupBy("band", "value").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "full")
     buckets = settled(bands.join(full, ["band", "value"]).join(classes.select("key", "n", "bands"), "key"), "buckets")
     clusters = settled(components(_candidates(buckets, percent)).select(F.col("node").alias("key"), F.col("component").alias("cluster")), "clusters")
     needed = clusters.join(classes, "key").select("key", "cluster", F.col("rep.id").alias("id"), F.col("rep.tag").alias("tag"))
     wanted = settled(needed, "wanted")
     texts = settled(_texts(docs, wanted, id, text), "texts")
     labels = settled(components(_links(texts, size, percent)), "labels")
-    released(buckets, clusters, wanted, texts)
+    released(full, buckets, clusters, wanted, texts)
     member = labels.select(F.col("node").alias("key"), "component")
     placed = classes.join(member, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     lowest = placed.groupBy("component").agg(F.min("least").alias("component_id"))

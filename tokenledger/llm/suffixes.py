@@ -371,12 +371,13 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 200, characters: bo
     copies = settled(told.groupBy("key", "size", "crc").count().filter("count > 1").select("key", "size", "crc"), "copies")
     anchors = settled(_anchors(rows.filter(F.octet_length("text") >= length), length), "anchors")
     place = F.xxhash64("key", "at")
-    often = anchors.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("fp")
+    # Written first: a join that follows an aggregate on its own key cannot be split where a key is hot.
+    often = settled(anchors.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("fp"), "often")
     members = settled(anchors.join(often, "fp", "left_semi"), "members")
     distinct = settled(
         members.groupBy("fp", "sh").agg(F.min(F.struct("key", "at")).alias("rep"), (F.min(place) != F.max(place)).alias("many")), "segments"
     )
-    released(anchors)
+    released(anchors, often)
     hot = distinct.groupBy("fp").count().filter(F.col("count") > _HOT).select("fp", F.lit(True).alias("hot"))
     wants = distinct.join(hot, "fp", "left").groupBy(F.col("rep.key").alias("key")).agg(
         F.collect_list(F.struct("fp", "sh", F.col("rep.at").alias("at"), "many", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wants")

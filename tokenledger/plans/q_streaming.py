@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.emit import emit, to_envelopes
+from ..operators.metrics import summary
 from ..session import shared_dir
 from ..sources.bronze import stream_events
 from ..sources.store import LogStore
@@ -12,7 +14,9 @@ from ..streaming import ingest as N
 from ..streaming import series as R
 from . import inputs as I
 from .q_ingest import _INVALID, _REFUSED
-from .q_metrics import _SERIES_SQL, _bucket
+from .q_capture import _EVENT_SQL
+from .q_capture import _events as captured
+from .q_metrics import _DAY, _RECENT, _SERIES_SQL, _SUMMARY_SQL, _bucket
 from .registry import query
 
 
@@ -105,3 +109,37 @@ def _(spark, sf):
 def _(spark, sf):
     store = _ingested(spark, sf, True)
     return N.gauges(I.events_json(spark, sf, True), store)
+
+
+@query("j3_store_series", _SERIES)
+def _(spark, sf):
+    """The stored series of a stream in which every third event comes twice."""
+    root = shared_dir(spark, "stored-series")
+    store = LogStore(spark, f"{root}/store")
+    sent = I.shape_events(event_stream(spark, sf))
+    twice = sent.withColumn("_copy", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 3 == 0).cast("int"))))
+    _finish(N.start_ingest(twice.select("value"), store, f"{root}/checkpoint"))
+    return store.series(3600)
+
+
+@query("j1_envelopes_to_store", f"""WITH {I.BATCHES_SQL}, good AS (SELECT batch_id FROM batched GROUP BY 1 HAVING count(*) <= 500), {I.RAW_LOGS_SQL}
+SELECT request_id FROM raw JOIN batched USING (event_id) JOIN good USING (batch_id)""")
+def _(spark, sf):
+    store = LogStore(spark, shared_dir(spark, "envelopes"))
+    N.ingest_envelopes(I.envelopes(spark, sf), store, 0)
+    return store.logs().select("request_id")
+
+
+@query("j1_captured_to_store", f"{_EVENT_SQL} SELECT request_id, status, provider, streaming AS streamed, total_tokens::INTEGER AS total_tokens, error_type FROM event")
+def _(spark, sf):
+    store = LogStore(spark, shared_dir(spark, "captured"))
+    N.ingest_envelopes(to_envelopes(emit(captured(spark, sf))), store, 0)
+    return store.logs().select("request_id", "status", "provider", "streamed", "total_tokens", "error_type")
+
+
+@query("h1_stored_summary", f"WITH {_RECENT} SELECT {_SUMMARY_SQL} FROM recent")
+def _(spark, sf):
+    """The summary of the last day of a stored table; older dates are not read."""
+    store = LogStore(spark, shared_dir(spark, "summary"))
+    N.ingest_batch(I.events_json(spark, sf).select("value"), store, 0)
+    return summary(store.logs(), _DAY, I.AS_OF)

@@ -1,8 +1,8 @@
 """The log store: Parquet tables with idempotent batch writes.
 
-Layout: ``logs/batch_id=N/started_date=D``, ``dead_letters/batch_id=N``,
-``ledger/batch_id=N`` and ``profile/batch_id=N``. A batch replaces only its own
-folders, so writing it again after a failure has no further effect. Batch ids
+Layout: ``logs/started_date=D/batch_id=N``, ``profile/started_date=D/batch_id=N``,
+``dead_letters/batch_id=N`` and ``ledger/batch_id=N``. A batch replaces only its
+own folders, so writing it again after a failure has no further effect. Batch ids
 come from the stream's checkpoint: a store belongs to one checkpoint, and a new
 checkpoint needs a new store.
 """
@@ -12,11 +12,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..operators.metrics import bucket_start, fold_series, latency_profile
 from ..operators.dedupe import first_wins, unseen
 
 LEDGER = T.StructType(
@@ -30,6 +31,17 @@ LEDGER = T.StructType(
 )
 
 
+PROFILE_SECONDS = 60
+PROFILE = T.StructType(
+    [T.StructField("bucket", T.TimestampType()), T.StructField("latency_ms", T.IntegerType())]
+    + [
+        T.StructField(name, T.LongType())
+        for name in ("requests", "success", "errors", "cancelled", "ttft_sum", "ttft_count", "tokens", "cost_micros")
+    ]
+    + [T.StructField("started_date", T.DateType()), T.StructField("batch_id", T.LongType())]
+)
+
+
 @dataclass(frozen=True)
 class LogStore:
     spark: SparkSession
@@ -66,33 +78,56 @@ class LogStore:
         stored = self.logs().filter(F.col("batch_id") != batch_id)
         return unseen(first_wins(logs, order).drop("pos"), stored, known_rows=known_rows)
 
-    def append_logs(self, logs: DataFrame, batch_id: int, known_rows: int | None = None) -> None:
-        rows = self.new_rows(logs, batch_id, known_rows)
+    def _dated(self, rows: DataFrame, table: str, batch_id: int) -> None:
+        """Write rows to the folders of their dates and of the batch."""
         (
-            rows.withColumn("started_date", F.to_date("started_at"))
+            rows.withColumn("batch_id", F.lit(batch_id))
             # One file per day where that is small, several where a day holds
             # most rows: the rebalance merges and splits by size. Ordering by
             # time keeps the row-group statistics of started_at selective.
             .hint("rebalance", F.col("started_date"))
-            .sortWithinPartitions("started_date", "started_at")
+            .sortWithinPartitions("started_date", "started_at" if table == "logs" else "bucket")
             .write.mode("overwrite")
-            .partitionBy("started_date")
-            .parquet(f"{self.root}/logs/batch_id={batch_id}")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("started_date", "batch_id")
+            .parquet(f"{self.root}/{table}")
         )
 
+    def append_logs(self, logs: DataFrame, batch_id: int, known_rows: int | None = None) -> int:
+        """Store what is new in a batch, and its latency profile; returns the number of rows."""
+        rows = self.new_rows(logs, batch_id, known_rows).withColumn("started_date", F.to_date("started_at")).persist()
+        try:
+            self._dated(rows, "logs", batch_id)
+            bucket = bucket_start(PROFILE_SECONDS).alias("bucket")
+            self._dated(latency_profile(rows, ["started_date", bucket]), "profile", batch_id)
+            return rows.count()
+        finally:
+            rows.unpersist()
+
+    def profile(self) -> DataFrame:
+        """Counters of all stored logs per date, minute and latency. They add up."""
+        return self._read("profile", PROFILE)
+
+    def series(self, bucket_seconds: int = 60, since: Column | None = None) -> DataFrame:
+        """The time series of the stored logs, read off their profile.
+
+        ``since`` is an instant at the start of a minute. Only its date and later
+        ones are read; buckets are whole minutes.
+        """
+        if bucket_seconds % PROFILE_SECONDS:
+            raise ValueError(f"bucket_seconds must be a multiple of {PROFILE_SECONDS}, got {bucket_seconds!r}")
+        found = self.profile()
+        if since is not None:
+            found = found.filter((F.col("started_date") >= F.to_date(since)) & (F.col("bucket") >= since))
+        wider = found.withColumn("bucket", bucket_start(bucket_seconds, "bucket"))
+        return fold_series(wider).orderBy("bucket")
+
     def park(self, dead_letters: DataFrame, batch_id: int) -> None:
         dead_letters.write.mode("overwrite").parquet(
             f"{self.root}/dead_letters/batch_id={batch_id}"
         )
 
-    def note(self, batch_id: int, received: int, parked: int) -> None:
+    def note(self, batch_id: int, received: int, parked: int, stored: int) -> None:
         """Record what became of a batch; call it last."""
-        stored = self.logs().filter(F.col("batch_id") == batch_id).agg(
-            F.count(F.lit(1)).alias("stored")
-        )
-        stored.select(
-            F.lit(received).cast("long").alias("received"),
-            "stored",
-            (F.lit(received - parked).cast("long") - F.col("stored")).alias("duplicates"),
-            F.lit(parked).cast("long").alias("parked"),
-        ).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/ledger/batch_id={batch_id}")
+        row = [(received, stored, received - parked - stored, parked)]
+        self.spark.createDataFrame(row, LEDGER[:4]).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/ledger/batch_id={batch_id}")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.redact import Redactor
 from ..operators.process import check, to_dead_letters, to_logs
+from ..sources.bronze import accepted_events, explode_envelopes, stamp
 from ..sources.store import LogStore
 
 
@@ -35,13 +36,21 @@ def ingest_batch(
             F.count(F.lit(1)).alias("received"), F.count("error").alias("parked")
         ).first()
         good = to_logs(checked.filter(F.col("error").isNull()), processed_at=now)
-        store.append_logs(good, batch_id, known_rows=counts.received - counts.parked)
+        stored = store.append_logs(good, batch_id, known_rows=counts.received - counts.parked)
         store.park(to_dead_letters(checked.filter(F.col("error").isNotNull())), batch_id)
-        store.note(batch_id, counts.received, counts.parked)
+        store.note(batch_id, counts.received, counts.parked, stored)
     finally:
         checked.unpersist()
 
 
+def ingest_envelopes(envelopes: DataFrame, store: LogStore, batch_id: int, at: Column | None = None, **options) -> None:
+    """Store the events of the envelopes that are valid as a whole, all with one
+    arrival time; the other envelopes are refused. ``options`` go to
+    :func:`ingest_batch`."""
+    events = accepted_events(explode_envelopes(envelopes))
+    ingest_batch(stamp(events, at), store, batch_id, **options)
+
+
 def start_ingest(
     events: DataFrame,
     store: LogStore,

@@ -60,10 +60,15 @@ def start_live_series(
     checkpoint: str,
     bucket_seconds: int = 60,
     trigger: dict | None = None,
+    watermark: str | None = None,
 ) -> StreamingQuery:
-    """Keep the whole time series at ``path``, rewritten by every trigger."""
+    """Keep the whole time series at ``path``, rewritten by every trigger.
+
+    For a short series that is watched live. ``LogStore.series`` reads stored logs
+    of any number by window and counts a redelivered event once.
+    """
     return (
-        live_profile(logs, bucket_seconds)
+        live_profile(logs, bucket_seconds, watermark)
         .writeStream.outputMode("complete")
         .foreachBatch(lambda batch, _: fold_series(batch).write.mode("overwrite").parquet(path))
         .option("checkpointLocation", checkpoint)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tokenledger.llm import decontamination, mixing, neardup, suffixes, toxicity
 from tokenledger.llm.queries import labelled, table
-from tokenledger.llm.scratch import prepare, settled
+from tokenledger.llm.scratch import prepare, settled, unused
 
 _BROADCAST_ROWS = 1_000_000
 
@@ -25,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Learned from all labelled documents of the input table, whatever ``docs`` holds.
     """
     model = toxicity.train(labelled(spark, sf_dir, "toxic"))
-    return toxicity.score(docs, model, keep=docs.columns).filter("toxicity < 0.5").select(*docs.columns)
+    mark = unused(docs.columns, "toxicity")
+    return toxicity.score(docs, model, keep=docs.columns, into=mark).filter(F.col(mark) < 0.5).drop(mark)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +61,9 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    out = docs
+    out, mark = docs, unused(docs.columns, "found")
     for ix in decontamination.blocks(table(spark, sf_dir, "benchmark")):
-        out = decontamination.matches(out, ix, docs.columns, into="_found").filter(F.size("_found") == 0).drop("_found")
+        out = decontamination.matches(out, ix, docs.columns, into=mark).filter(F.size(mark) == 0).drop(mark)
     return out.select(*docs.columns)
 
 

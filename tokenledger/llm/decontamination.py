@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texts as T
-from .scratch import shipped
+from .scratch import shipped, unused
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,7 +124,8 @@ def matches(docs: DataFrame, ix: Index, keep: list[str], text: str = "text", int
     spark = docs.sparkSession
     shared = shipped(spark, ix)
     kind = pa.array(ix.items).type if ix.items else pa.int64()
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_searched"))
+    searched = unused(keep, "_searched")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(searched))
     name = {pa.int64(): "long", pa.string(): "string"}.get(kind, "string")
 
     def work(batches):
@@ -132,8 +133,8 @@ def matches(docs: DataFrame, ix: Index, keep: list[str], text: str = "text", int
         item_type = pa.int64() if name == "long" else pa.string()
         struct = pa.list_(pa.struct([("item", item_type), ("shared", pa.int64()), ("size", pa.int64())]))
         for batch in batches:
-            for part in T.slices(batch, "_searched"):
-                data, offsets = T.raw(part.column("_searched"))
+            for part in T.slices(batch, searched):
+                data, offsets = T.raw(part.column(searched))
                 count = len(offsets) - 1
                 words, _, _, row = T.word_hashes(data, offsets)
                 shingle, where, _ = T.shingles(words, row, count, own.size)
@@ -187,7 +188,7 @@ def find(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "tex
     """
     out = None
     for ix in blocks(items, item, item_text, block, threshold, size):
-        found = matches(docs, ix, [id], text).select(F.col(f"`{id}`").alias("id"), F.explode("found").alias("f"))
+        found = matches(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")), ix, ["id"]).select("id", F.explode("found").alias("f"))
         pairs = found.select("id", "f.item", "f.shared", "f.size", (F.col("f.shared") / F.col("f.size")).alias("containment"))
         out = pairs if out is None else out.unionByName(pairs)
     if out is None:

@@ -62,7 +62,8 @@ def _with_cdf(rated: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, rated: DataFrame, seed: int = 17, id: str = "doc_id", source: str = "source") -> DataFrame:
     """Every document as often as its source's rate asks, globally shuffled.
 
-    Adds ``copy`` (from 1) and ``order_key`` to the columns of ``docs``; the rows
+    Adds ``copy`` (from 1) and ``order_key`` to the columns of ``docs``, in place of
+    columns of these names; the rows
     of each partition are in the order of ``order_key`` and a row's partition is
     a hash of it. Rows with one id draw the same count; a null id counts as
     empty text. Empty input gives an empty result.

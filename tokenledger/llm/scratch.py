@@ -47,6 +47,13 @@ def chosen(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores behind it as make it differ from ``columns``."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def shipped(spark: SparkSession, value):
     """``value`` broadcast as bytes: its class travels along and need not be
     installed on the executors. Read it with ``pickle.loads(handle.value)``.

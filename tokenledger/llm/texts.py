@@ -148,7 +148,7 @@ def shingles(words: np.ndarray, row: np.ndarray, rows: int, size: int) -> tuple[
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
     n = words.size
     total = np.zeros(n, np.uint64)
-    for i in range(size):
+    for i in range(min(size, n)):
         total[: n - i] = (total[: n - i] * _BASE) + mix(words[i:] + np.uint64(i + 1))
     place = np.arange(n) - first[row]
     full = place + size <= count[row]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import texts as T
-from .scratch import settled, shipped
+from .scratch import settled, shipped, unused
 
 # Characters that open or close a quotation.
 QUOTES = "\"'«»‘’‚“”„‹›"
@@ -275,14 +275,15 @@ def _pieces(rows: DataFrame):
         yield from T.slices(batch)
 
 
-def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", window: int = 40, keep: list[str] | None = None) -> DataFrame:
-    """Score every row: ``id, score, hits``, or the columns ``keep`` and ``toxicity``.
+def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", window: int = 40, keep: list[str] | None = None, into: str = "toxicity") -> DataFrame:
+    """Score every row: ``id, score, hits``, or the columns ``keep`` and ``into``.
 
     ``hits`` lists term, kind (exact, near, begin), whether it is quoted, and the
     span in code points. A null or empty text has no hits and the score of a text
     without hits. Rows are independent; repeated ids stay repeated.
     """
     spark = df.sparkSession
+    scored_name = unused(keep or [id], "_scored")
     shared = shipped(spark, model)  # the lexicon's size is a parameter
 
     def work(batches):
@@ -290,13 +291,13 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", w
         names = pa.array([t for t, _ in m.terms], pa.string())
         kinds = pa.array([k for _, k in m.terms], pa.string())
         for batch in batches:
-            for part in T.slices(batch, "_scored"):
-                pattern, row, _, start, end, counts, points, offsets = _hits(part.column("_scored"), m.alphabet, m.step, m.hit)
+            for part in T.slices(batch, scored_name):
+                pattern, row, _, start, end, counts, points, offsets = _hits(part.column(scored_name), m.alphabet, m.step, m.hit)
                 quoted = _quoted(points, offsets, row, start, end, window)
                 x = _features(pattern, row, quoted, m.weight, counts)
                 value = 1 / (1 + np.exp(-np.clip(x @ m.coef, -30, 30)))
                 if keep is not None:
-                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(value)], names=[*keep, "toxicity"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(value)], names=[*keep, into])
                     continue
                 lists = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(counts)))]), pa.int32())
                 index = pa.array(pattern, pa.int64())
@@ -306,11 +307,11 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", w
                 )
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(value), pa.ListArray.from_arrays(lists, items)], names=["id", "score", "hits"])
 
-    scored = F.col(f"`{text}`").alias("_scored")
+    scored = F.col(f"`{text}`").alias(scored_name)
     if keep is not None:
         rows = df.select(*[F.col(f"`{c}`") for c in keep], scored)
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-        return rows.mapInArrow(work, f"{fields}, toxicity double")
+        return rows.mapInArrow(work, f"{fields}, `{into}` double")
     rows = df.select(F.col(f"`{id}`").alias("id"), scored)
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(work, f"id {kind}, score double, hits array<struct<term:string,kind:string,quoted:boolean,start:long,end:long>>")

@@ -354,7 +354,7 @@ def test_embeddings(spark):
     links = np.array([got[i].n_links for i in range(len(unit))])
     assert (links <= close.sum(1)).all() and links.sum() >= 0.97 * close.sum() > 0
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(9000, 9006))
-    assert all(got[450 + i].component_id <= i for i in range(20))
+    assert all(got[550 + i].component_id <= i for i in range(20))
     assert embeddings.near(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 

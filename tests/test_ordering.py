@@ -76,6 +76,10 @@ def test_contexts_and_pages(spark, rows):
     hot = [m.id for r in sorted((r for r in pages if r.id == "hot"), key=lambda r: r.page) for m in r.messages]
     assert hot == [r[1] for r in _ordered(rows)["hot"]]
 
+    every = C.recent_messages(messages, 2000).collect()
+    assert [m.id for m in every if m.conversation_id == "hot"] == [r[1] for r in _ordered(rows, lambda r: r[3] != "e")["hot"]]
+    assert C.turn_contexts(conversations, messages, limit=5000).count() == len(want)
+
     recent = C.recent_messages(messages, 5).collect()
     assert [m.id for m in recent if m.conversation_id == "hot"] == [r[1] for r in _ordered(rows, lambda r: r[3] != "e")["hot"][-5:]]
 

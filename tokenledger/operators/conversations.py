@@ -15,6 +15,9 @@ TITLE_CHARS = 60
 #: The instruction a context begins with unless the caller gives one.
 SYSTEM_PROMPT = "Answer helpfully and keep it short."
 
+_EARLY_LIMIT = 1000  # limits that Spark applies before a shuffle by default
+_PARTS = 64  # parts of a conversation that are sorted on their own
+
 MESSAGE_COLUMNS = (
     "id", "role", "content", "status", "request_id", "prompt_tokens",
     "completion_tokens", "created_at",
@@ -104,12 +107,19 @@ _MESSAGES_DDL = (
 def recent_messages(messages: DataFrame, limit: int = CONTEXT_MESSAGES) -> DataFrame:
     """The last messages of every conversation that are not errors, in order.
 
-    The row-number limit also runs before the shuffle, so a conversation sends
-    at most ``limit`` rows per input partition.
+    Up to ``_EARLY_LIMIT`` the row-number limit also runs before the shuffle, so a
+    conversation sends at most ``limit`` rows per input partition. Above it the
+    limit is applied within parts of a conversation first, so a long one is sorted
+    in many tasks and the last step sees at most ``limit`` rows per part.
     """
-    latest = Window.partitionBy("conversation_id").orderBy(F.desc("created_at"), F.desc("id"))
+    newest = (F.desc("created_at"), F.desc("id"))
+    latest = Window.partitionBy("conversation_id").orderBy(*newest)
+    usable = messages.filter(F.col("status") != "error")
+    if limit > _EARLY_LIMIT:
+        part = Window.partitionBy("conversation_id", F.pmod(F.hash("id"), F.lit(_PARTS))).orderBy(*newest)
+        usable = usable.withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= limit)
     return (
-        messages.filter(F.col("status") != "error")
+        usable
         .withColumn("_rank", F.row_number().over(latest))
         .filter(F.col("_rank") <= limit)
         .select("conversation_id", "role", "content", "created_at", "id")

@@ -59,8 +59,9 @@ def over_last_rows(
     are cut into blocks of consecutive positions. The last ``rows - 1`` rows of
     a block are copied into the next one, where they only serve as predecessors.
     """
-    if rows < 1 or rows > block_rows:
-        raise ValueError(f"rows must be between 1 and {block_rows}, got {rows!r}")
+    if rows < 1:
+        raise ValueError(f"rows must be at least 1, got {rows!r}")
+    block_rows = max(block_rows, 2 * rows)
     block = F.col(position) - F.col(position) % block_rows
     is_tail = F.col(position) % block_rows >= block_rows - (rows - 1)
     placed = df.withColumn("_own", block).withColumn(

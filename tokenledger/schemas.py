@@ -4,16 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# JSON strings as they arrive, before any validation.
-BRONZE = T.StructType(
-    [
-        T.StructField("value", T.StringType()),
-        T.StructField("batch_id", T.StringType()),
-        T.StructField("pos", T.LongType()),
-        T.StructField("received_at", T.TimestampType()),
-    ]
-)
-
 # One row per model call.
 INFERENCE_LOGS = T.StructType(
     [
@@ -121,4 +111,3 @@ CAPTURE_CHUNKS = T.StructType(
 
 ROLES = ("system", "user", "assistant")
 LOG_STATUSES = ("success", "error", "cancelled")
-MESSAGE_STATUSES = ("complete", "cancelled", "error")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import configure, shared_dir
 
@@ -39,14 +38,6 @@ def released(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def chosen(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under fixed names; other columns cannot clash.
-
-    ``chosen(df, id="doc_id", text="text")`` gives columns ``id`` and ``text``.
-    """
-    return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
-
-
 def unused(columns: list[str], name: str) -> str:
     """``name`` with as many underscores behind it as make it differ from ``columns``."""
     while name.lower() in {c.lower() for c in columns}:

@@ -9,7 +9,7 @@ benchmark items go by five-word shingles and a share of 0.8.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenledger.llm import decontamination, mixing, neardup, suffixes, toxicity
@@ -29,22 +29,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=docs.columns, into=mark).filter(F.col(mark) < 0.5).drop(mark)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, broadcast if a count allows it."""
+    return F.broadcast(rows) if rows.count() <= _BROADCAST_ROWS else rows
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id.
 
-    Of rows that repeat an id within a group, one stays.
+    Rows are told by id and text, so rows that share an id, or have none, are
+    judged each by its own text. Of rows that repeat an id within a group, one
+    stays: the one whose text has the smallest hash. Rows without words stay all.
     """
     placed = settled(neardup.groups(docs), "groups")
-    gone = settled(placed.filter(~F.col("kept")).select("id"), "dropped")
-    out = docs.join(F.broadcast(gone) if gone.count() <= _BROADCAST_ROWS else gone, docs["doc_id"].eqNullSafe(gone["id"]), "left_anti")
-    # Ids that several kept rows bear: rows without words stay all, of the others one text each.
-    twice = settled(placed.filter("kept and n_shingles > 0").groupBy("id").count().filter("count > 1").select("id"), "repeated-ids")
+    tag = F.xxhash64(docs["text"])
+    own = lambda rows: docs["doc_id"].eqNullSafe(rows["id"]) & (tag == rows["tag"])
+    gone = settled(placed.filter(~F.col("kept")).select("id", "tag").distinct(), "dropped")
+    out = docs.join(_small(gone), own(gone), "left_anti")
+    # Ids that several kept rows of a group bear.
+    kept = placed.filter("kept and n_shingles > 0")
+    twice = settled(kept.groupBy("component", "id").count().filter("count > 1").select("component", F.col("id").alias("_id")), "repeated-ids")
     if not twice.limit(1).count():
         return out
-    again = docs["doc_id"].eqNullSafe(twice["id"])
-    small = F.broadcast(twice) if twice.count() <= _BROADCAST_ROWS else twice
-    once = out.join(small, again, "left_semi").dropDuplicates(["doc_id"])
-    return out.join(small, again, "left_anti").unionByName(once)
+    repeats = (kept["component"] == twice["component"]) & kept["id"].eqNullSafe(twice["_id"])
+    again = settled(kept.join(_small(twice), repeats, "left_semi").select("id", "tag", "component").distinct(), "repeated-rows")
+    names = [unused(docs.columns, f"_{n}") for n in ("component", "tag", "rest", "rank")]
+    component, text, rest, rank = names
+    marks = [F.col("component").alias(component), F.col("tag").alias(text), F.xxhash64(F.to_json(F.struct(*[docs[c] for c in docs.columns]))).alias(rest)]
+    rows = docs.join(_small(again), own(again)).select(*[docs[c] for c in docs.columns], *marks)
+    first = Window.partitionBy(component, "doc_id").orderBy(text, rest)
+    once = rows.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).drop(*names)
+    return out.join(_small(again), own(again), "left_anti").unionByName(once)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

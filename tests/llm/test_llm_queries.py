@@ -139,3 +139,20 @@ def test_stages_on_empty_and_odd_rows(spark):
             docs = spark.createDataFrame(docs.collect(), docs.schema)
             assert want is None or docs.count() == want, name
     assert suffixes.dedup(docs.limit(0)).count() == 0
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    prepare(spark)
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "abcdef"]
+    near = texts[0].replace("a39", "other")
+    rows = [
+        (1, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]),  # null ids: a copy of 1, a text alone, a text twice
+        (5, near), (5, texts[3]), (5, texts[4]), (5, texts[4]), (5, None), (5, ""), (None, None), (6, texts[5]), (6, texts[5].replace("f39", "other")),
+    ]
+    schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
+    docs = spark.createDataFrame([tuple({"doc_id": i, "text": t}.get(c) for c in schema.names) for i, t in rows], schema)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()]
+    sixth = [x for x in got if x[0] == 6]
+    want = [(1, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (5, None), (5, ""), (None, None)]
+    assert len(sixth) == 1 and sixth[0] in rows
+    assert sorted(map(repr, got)) == sorted(map(repr, want + sixth))

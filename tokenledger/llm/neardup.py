@@ -257,14 +257,16 @@ def _texts(docs: DataFrame, needed: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: ``id, n_shingles, component_id, kept``.
+    """One row per document: ``id, n_shingles, component_id, kept, tag, component``.
 
     Documents link if the Jaccard resemblance of their sets of ``size``-word
     shingles is at least ``percent`` / 100, confirmed on the full sets. A text with
     fewer words is one shingle of all its words; a null text or one without words
     links with nothing. ``component_id`` is the smallest id reachable by links,
     and ``kept`` tells the rows that bear it. Rows that repeat an id stay; null
-    ids count only where a component has no other.
+    ids count only where a component has no other. ``tag`` is a hash of the text,
+    and ``component`` names the component also where ids repeat or are null (null
+    without words).
     """
     sets = settled(signatures(docs, id, text, size), "sets")
     classes = settled(
@@ -283,7 +285,7 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     member = labels.select(F.col("node").alias("key"), "component")
     placed = classes.join(member, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     lowest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = placed.join(lowest, "component").select("key", "component_id")
-    out = sets.select("id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(by_class, "key", "left")
+    by_class = placed.join(lowest, "component").select("key", "component_id", "component")
+    out = sets.select("id", "tag", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(by_class, "key", "left")
     found = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.col("id").eqNullSafe(found).alias("kept"))
+    return out.select("id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.col("id").eqNullSafe(found).alias("kept"), "tag", "component")

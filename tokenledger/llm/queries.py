@@ -96,7 +96,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash")
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on four-word shingles."""
-    return neardup.groups(table(spark, sf_dir, "documents"), size=4).withColumnRenamed("id", "doc_id")
+    out = neardup.groups(table(spark, sf_dir, "documents"), size=4)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 @query("op6_embeddings")

@@ -66,6 +66,35 @@ def test_repeated_strings(spark, monkeypatch, hot):
     assert suffixes.dedup(_docs(spark, [])).count() == 0
 
 
+def test_repeated_strings_in_many_contexts(spark):
+    r = random.Random(8)
+    passage = _words(80, 31)[:200]
+    edge = lambda: "".join(r.choice("abcdefghij") for _ in range(12))
+    texts = [edge() + passage + edge() for _ in range(11_000)]  # 2.3 MB of one passage and its contexts
+    got = suffixes.dedup(_docs(spark, list(enumerate(texts))), length=200).orderBy("doc_id").collect()
+    assert [(x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got] == _repeats(texts, 200)
+
+
+def test_routes_fit_their_collections(spark, monkeypatch):
+    sizes, search = [], suffixes._search
+
+    def spy(parts, length):
+        rows = parts.select("route", "part").distinct().groupBy("route").agg(F.sum(F.length("part") + 1).alias("n")).collect()
+        sizes.extend(x.n for x in rows)
+        return search(parts, length)
+
+    for name, value in (("_IDS", 13), ("_COLLECTION", 3000), ("_search", spy)):
+        monkeypatch.setattr(suffixes, name, value)
+    r = random.Random(8)
+    passage, rows = _words(200, 31)[:400], list(enumerate(TEXTS))
+    rows += [(100 + n, _words(3, n) + passage + "".join(r.choice("ab") for _ in range(9))) for n in range(60)]
+    got = suffixes.dedup(_docs(spark, rows), length=200).orderBy("doc_id").collect()
+    assert [(x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got] == _repeats([t for _, t in rows], 200)
+    assert max(sizes) <= 2**13 - 1 - 3000
+    with pytest.raises(ValueError):
+        suffixes.repeated([b"a" * 9000], np.zeros(1, bool), 200)
+
+
 def test_repeated_strings_keep_characters(spark):
     head = "ü" * 150
     rows = [(1, "a" + head + "q"), (2, "bb" + head + "w")]

@@ -34,6 +34,7 @@ _IDS = 21  # bits of a place in a collection's text
 _COLLECTION = 1_200_000  # bytes joined into one text
 _HOT = 2048  # segments of an anchor beyond which they are dealt out by more context
 _TURN = 8  # windows that share such a context
+_BROADCAST_WINDOWS = 50_000  # keys of ``length`` bytes
 _BROADCAST_ROWS = 1_000_000  # keys of 8 bytes
 _SEED = np.random.Generator(np.random.PCG64(77)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -107,6 +108,8 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     word, which sorts without indirection. Symbols must be dense.
     """
     n = symbols.size
+    if n >= 1 << _IDS:
+        raise ValueError(f"a collection of {n} bytes; places have {_IDS} bits")
     bits = max(1, int(symbols.max()).bit_length())
     width = (63 - _IDS) // bits
     key = np.zeros(n, np.uint64)
@@ -286,6 +289,31 @@ def _parts(wanted: DataFrame, length: int) -> DataFrame:
     return wanted.select("text", "wants").mapInArrow(work, "route long, fp long, sh long, skip long, many boolean, part binary")
 
 
+def _room() -> int:
+    """Bytes that one route may add to a collection that is about to be searched."""
+    return (1 << _IDS) - 1 - _COLLECTION
+
+
+def _full(parts: DataFrame) -> DataFrame:
+    """``route`` of the routes whose distinct parts don't fit a collection."""
+    sizes = parts.groupBy("route", F.xxhash64("part").alias("_part")).agg((F.max(F.octet_length("part")) + 1).alias("_size"))
+    return sizes.groupBy("route").agg(F.sum("_size").alias("_size")).filter(F.col("_size") > _room()).select("route")
+
+
+def _by_window(parts: DataFrame, length: int) -> DataFrame:
+    """What ``_search`` finds, by counting every string of ``length`` bytes on its
+    own: ``fp, sh, low, high``, a row per string that occurs more than once.
+
+    For routes of any size; a segment's parts hold each of its strings once.
+    """
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("part") - length)).alias("w")
+    each = parts.select("fp", "sh", "skip", "many", "part", at)
+    each = each.select("fp", "sh", (F.col("skip") + F.col("w")).alias("low"), "many", F.expr(f"substring(part, w + 1, {length})").alias("string"))
+    often = settled(each.groupBy("string").agg(((F.count("*") > 1) | F.max("many")).alias("often")).filter("often").select("string"), "windows")
+    found = each.join(F.broadcast(often) if often.count() <= _BROADCAST_WINDOWS else often, "string", "left_semi")
+    return found.select("fp", "sh", "low", (F.col("low") + length).alias("high"))
+
+
 def _search(parts: DataFrame, length: int) -> DataFrame:
     """Covered bytes of every segment: ``fp, sh, low, high`` from its first byte."""
     ordered = parts.repartition("route").sortWithinPartitions("route")
@@ -378,13 +406,23 @@ def dedup(docs: DataFrame, text: str = "text", length: int = 200, characters: bo
         members.groupBy("fp", "sh").agg(F.min(F.struct("key", "at")).alias("rep"), (F.min(place) != F.max(place)).alias("many")), "segments"
     )
     released(anchors, often)
-    hot = distinct.groupBy("fp").count().filter(F.col("count") > _HOT).select("fp", F.lit(True).alias("hot"))
+    size = F.sum(F.col("rep.at") % 8192 + length)
+    hot = distinct.groupBy("fp").agg(F.count("*").alias("n"), size.alias("size")).filter((F.col("n") > _HOT) | (F.col("size") > _room())).select("fp", F.lit(True).alias("hot"))
     wants = distinct.join(hot, "fp", "left").groupBy(F.col("rep.key").alias("key")).agg(
         F.collect_list(F.struct("fp", "sh", F.col("rep.at").alias("at"), "many", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wants")
     )
     lists = settled(wants, "wants")
     parts = _parts(_wanted(rows, lists), length)
-    cover = settled(_search(parts, length), "cover")
+    # Strings of a hot anchor that come in very many contexts are counted one by one.
+    dealt = lists.select("key", F.filter("wants", lambda x: x["hot"]).alias("wants")).filter(F.size("wants") > 0)
+    found = parts
+    if dealt.limit(1).count():
+        again = _parts(_wanted(rows, dealt), length)
+        full = settled(_full(again), "full-routes")
+        if full.limit(1).count():
+            routes = F.broadcast(full) if full.count() <= _BROADCAST_ROWS else full
+            found = _search(parts.join(routes, "route", "left_anti"), length).unionByName(_by_window(again.join(routes, "route", "left_semi"), length))
+    cover = settled(_search(parts, length) if found is parts else found, "cover")
     marks = settled(
         members.join(cover, ["fp", "sh"]).groupBy("key").agg(F.collect_set(F.struct("at", "sh", "low", "high")).alias("marks")), "marks"
     )

@@ -267,6 +267,33 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_automaton_matches_beginnings_within_one_error():
+    terms = [("idiot", False), ("stupid", True), ("idio", True), ("stupor", False)]
+    alphabet, step, hit, patterns = toxicity.compile_terms(terms, begin_from=5)
+    r = random.Random(3)
+    words = ["stupidest", "stpidest", "xstupidest", "ztupid", "stup", "stupi", "ideot", "idiots", "iidiot", "1diot"]
+    words += ["".join(r.choice("stupidorxe") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    for w in words:
+        state = 0
+        for c in w:
+            state = step[state, alphabet.find(c) + 1]
+        begins = any(_distance(w[:n], "stupid") <= 1 for n in range(len(w) + 1))
+        near = begins or w.startswith("idio") or any(_distance(w, t) <= 1 for t in ("idiot", "stupor"))
+        assert (hit[state] >= 0) == near, w
+        if w.startswith("idio") and w != "idiot" or w.startswith("stupid"):
+            assert patterns[hit[state]][1] == "begin"
+
+
+def test_toxicity_of_misspelt_inflections(spark):
+    forms = ["idiot", "idiots", "idioot", "idiott", "idiotic", "idiocy"]
+    rude = [(i, _words(20, i) + f" you {forms[i % 6]} " + _words(20, 300 + i), 1) for i in range(60)]
+    clean = [(100 + i, _words(40, 700 + i) + " you and", 0) for i in range(60)]
+    model = toxicity.train(spark.createDataFrame(rude + clean, "doc_id long, text string, toxic int"))
+    said = ["ideot", "1diot", "iidiot", "idot", "idiotically"]
+    got = {r.id: r for r in toxicity.score(_docs(spark, [(i, f"{_words(20, 50 + i)} {w} {_words(20, 60 + i)}") for i, w in enumerate(said)]), model).collect()}
+    assert all(got[i].score > 0.5 for i in range(5)), got
+
+
 def test_quality(spark):
     good = [(i, ". ".join(_words(12, 1000 * i + k) for k in range(3)) + ".\n" + _words(15, i) + ".", 1) for i in range(80)]
     bad = [(100 + i, "\n".join((_words(1, i) + "!! ").upper() * 12 for _ in range(3)), 0) for i in range(80)]

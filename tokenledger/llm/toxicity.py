@@ -74,26 +74,25 @@ def _mine(rows: DataFrame, share: float, terms: int) -> list[tuple[str, bool]]:
     union = both[0].select("term", "start", "bad", "n").unionByName(both[1].select("term", "start", "bad", "n"))
     best = union.filter((F.col("bad") >= least) & (odds >= 3.0) & (F.length("term") >= 3) & (F.length("term") < _ABOVE)).orderBy(F.desc(F.col("bad") * odds), "term", "start").limit(terms * 8)
     found = [(r["term"], r["start"], r["bad"]) for r in best.collect()]  # at most 8 x terms rows
-    # A beginning stands for the words that begin with it; of nested beginnings the one that catches most stays, the longest on ties.
+    # Of nested beginnings the one that catches most stays, the longest on ties; whole terms stay beside them.
     kept: list[tuple[str, bool, int]] = []
     for term, start, bad in sorted(found, key=lambda x: (-x[2], -len(x[0]) if x[1] else 0, x[0])):
         if start and not any(k[1] and (term.startswith(k[0]) or k[0].startswith(term)) for k in kept):
             kept.append((term, True, bad))
-    heads = [k[0] for k in kept]
-    for term, start, bad in found:
-        if not start and not any(term.startswith(h) for h in heads):
-            kept.append((term, False, bad))
+    kept += [f for f in found if not f[1]]
     kept.sort(key=lambda x: -x[2])
     return [(t, s) for t, s, _ in kept[:terms]]
 
 
-def compile_terms(terms: list[tuple[str, bool]], fuzzy_from: int = 5):
+def compile_terms(terms: list[tuple[str, bool]], fuzzy_from: int = 5, begin_from: int | None = None):
     """The deterministic automaton of all terms within one error.
 
     Whole terms of ``fuzzy_from`` characters or more also match with one
-    insertion, deletion or substitution; beginnings match exactly, whatever
-    follows. Returns alphabet, step table, pattern of each state, patterns.
+    insertion, deletion or substitution, and so do beginnings of ``begin_from``
+    or more, whatever follows; other beginnings, and all if it is null, match
+    exactly. Returns alphabet, step table, pattern of each state, patterns.
     """
+    least = {False: fuzzy_from, True: _ABOVE if begin_from is None else begin_from}
     alphabet = "".join(sorted({c for t, _ in terms for c in t}))
     children: list[dict[str, int]] = [{}]
     whole: dict[int, str] = {}
@@ -105,7 +104,7 @@ def compile_terms(terms: list[tuple[str, bool]], fuzzy_from: int = 5):
             at = children[at].setdefault(c, len(children))
             if at == len(children):
                 children.append({})
-            if not start and len(term) >= fuzzy_from:
+            if len(term) >= least[start]:
                 fuzzy.add(at)
         (begin if start else whole)[at] = term
     patterns: dict[tuple[str, str], int] = {}
@@ -119,19 +118,22 @@ def compile_terms(terms: list[tuple[str, bool]], fuzzy_from: int = 5):
                     if child in fuzzy and (child, 1) not in out:
                         out.add((child, 1))
                         todo.append((child, 1))
+        # A beginning, once met, holds for the rest of the word; what can't tell more than it goes.
+        ended = {(-n, e) for n, e in out if n in begin and (e == 0 or len(begin[n]) >= least[True])} | {x for x in out if x[0] < 0}
+        if ended:
+            errors, _, node = min((e, begin[-n], n) for n, e in ended)
+            out = {(n, e) for n, e in out if n >= 0 and (errors or not e)} | {(node, errors)}
         return frozenset(out)
 
     def go(state: frozenset, c: str | None) -> frozenset:
         out = set()
         for node, errors in state:
             if node < 0:
-                out.add((node, 0))
+                out.add((node, errors))
                 continue
             child = children[node].get(c) if c is not None else None
             if child is not None and (errors == 0 or child in fuzzy):
                 out.add((child, errors))
-                if errors == 0 and child in begin:
-                    out.add((-child, 0))
             if errors == 0 and node in fuzzy:
                 out.add((node, 1))
                 out.update((x, 1) for x in children[node].values() if x in fuzzy)
@@ -141,7 +143,7 @@ def compile_terms(terms: list[tuple[str, bool]], fuzzy_from: int = 5):
         found = []
         for node, errors in state:
             if node < 0:
-                found.append((2, begin[-node], "begin"))
+                found.append((2, begin[-node], "begin") if errors == 0 else (4, begin[-node], "near begin"))
             elif node in whole and (errors == 0 or len(whole[node]) >= fuzzy_from):
                 found.append((0 if errors == 0 else 3, whole[node], "exact" if errors == 0 else "near"))
         return patterns.setdefault(min(found)[1:], len(patterns)) if found else -1
@@ -150,8 +152,10 @@ def compile_terms(terms: list[tuple[str, bool]], fuzzy_from: int = 5):
     ids, rows, hits, queue = {first: 0, frozenset(): 1}, [], [], [first, frozenset()]
     for state in queue:
         row = []
+        follow = {c for node, _ in state if node >= 0 for c in children[node]}
+        other = go(state, None)  # where every character leads that continues no term
         for c in [None, *alphabet]:
-            to = go(state, c)
+            to = go(state, c) if c in follow else other
             if to not in ids:
                 ids[to] = len(queue)
                 queue.append(to)
@@ -244,7 +248,7 @@ def train(df: DataFrame, text: str = "text", label: str = "toxic", per_class: in
         mean = rows.agg(F.avg("label").alias("p")).first()["p"] or 0.0
         start = np.array([20.0 if mean > 0.5 else -20.0, 0, 0, 0, 0])
         return Model("", np.array([[0], [1]], np.int32), np.array([-1, -1], np.int32), (), np.zeros((0, 2)), start)
-    alphabet, step, hit, patterns = compile_terms(lexicon)
+    alphabet, step, hit, patterns = compile_terms(lexicon, begin_from=5)
     found, sizes, labels, at = [], [], [], 0
     for part in _pieces(rows):
         pattern, row, _, start, end, counts, points, offsets = _hits(part.column("text"), alphabet, step, hit)
@@ -260,6 +264,12 @@ def train(df: DataFrame, text: str = "text", label: str = "toxic", per_class: in
     seen: dict[tuple[int, int], set] = defaultdict(set)
     for p, q, r in zip(pattern.tolist(), quoted.tolist(), row.tolist()):
         seen[p, int(q)].add(r)
+    number = {x: p for p, x in enumerate(patterns)}
+    for p, (term, kind) in enumerate(patterns):  # a word that is a term tells of its beginning too
+        for n in range(1, len(term)) if kind == "exact" else ():
+            begin = number.get((term[:n], "begin"))
+            for q in (0, 1) if begin is not None else ():
+                seen[begin, q] |= seen[p, q]
     base = math.log(y.sum() / (1 - y).sum())
     for p in range(len(patterns)):
         plain = y[list(seen[p, 0])]
@@ -268,8 +278,9 @@ def train(df: DataFrame, text: str = "text", label: str = "toxic", per_class: in
         weight[p, 1] = math.log((told.sum() + 0.5) / ((1 - told).sum() + 0.5)) - base if len(told) else min(0.0, weight[p, 0])
     # A misspelling seen in few texts takes most of its weight from the term itself.
     for p, (term, kind) in enumerate(patterns):
-        if kind == "near" and (term, "exact") in patterns:
-            n, whole = len(seen[p, 0]), weight[patterns.index((term, "exact")), 0]
+        right = number.get((term, {"near": "exact", "near begin": "begin"}.get(kind)))
+        if right is not None:
+            n, whole = len(seen[p, 0]), weight[right, 0]
             weight[p, 0] = (n * weight[p, 0] + 2 * 0.6 * whole) / (n + 2)
     coef = _logistic(_features(pattern, row, quoted, weight, counts), y)
     return Model(alphabet, step, hit, patterns, weight, coef)
@@ -285,7 +296,7 @@ def _pieces(rows: DataFrame):
 def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", window: int = 40, keep: list[str] | None = None, into: str = "toxicity") -> DataFrame:
     """Score every row: ``id, score, hits``, or the columns ``keep`` and ``into``.
 
-    ``hits`` lists term, kind (exact, near, begin), whether it is quoted, and the
+    ``hits`` lists term, kind (exact, near, begin, near begin), whether it is quoted, and the
     span in code points. A null or empty text has no hits and the score of a text
     without hits. Rows are independent; repeated ids stay repeated.
     """

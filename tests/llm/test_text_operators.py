@@ -294,6 +294,19 @@ def test_toxicity_of_misspelt_inflections(spark):
     assert all(got[i].score > 0.5 for i in range(5)), got
 
 
+def test_toxicity_of_rare_terms(spark):
+    r = random.Random(7)
+    rare = ["".join(r.choice("klmnopqr") for _ in range(9)) for _ in range(150)]  # each in 8 of 1,200 toxic texts, below 2 %
+    rude = [(i, f"{_words(12, i)} {rare[i % 150]} {_words(12, 3000 + i)}", 1) for i in range(1200)]
+    clean = [(5000 + i, _words(25, 7000 + i), 0) for i in range(1200)]
+    model = toxicity.train(spark.createDataFrame(rude + clean, "doc_id long, text string, toxic int"))
+    assert set(rare) <= {t for t, _ in model.terms}
+    got = toxicity.score(_docs(spark, [(i, f"{_words(20, 50_000 + i)} {w}") for i, w in enumerate(rare)]), model).collect()
+    assert all(x.score > 0.5 for x in got)
+    plain = toxicity.score(_docs(spark, [(i, _words(30, 60_000 + i)) for i in range(200)]), model).collect()
+    assert sum(x.score > 0.5 for x in plain) <= 4
+
+
 def test_quality(spark):
     good = [(i, ". ".join(_words(12, 1000 * i + k) for k in range(3)) + ".\n" + _words(15, i) + ".", 1) for i in range(80)]
     bad = [(100 + i, "\n".join((_words(1, i) + "!! ").upper() * 12 for _ in range(3)), 0) for i in range(80)]

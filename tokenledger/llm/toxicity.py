@@ -49,8 +49,19 @@ def sample(df: DataFrame, text: str, label: str, per_class: int) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_class).select("text", "label")
 
 
-def _mine(rows: DataFrame, share: float, terms: int) -> list[tuple[str, bool]]:
-    """Terms as (text, is a beginning of words): those that tell toxic texts best."""
+def _chance(bad: int, n: int, p: float) -> float:
+    """Probability of ``bad`` or more toxic texts among ``n`` where the share of toxic texts is ``p``."""
+    whole = math.lgamma(n + 1)
+    return sum(math.exp(whole - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)) for k in range(bad, n + 1))
+
+
+def _mine(rows: DataFrame, support: int, level: float) -> list[tuple[str, bool]]:
+    """Terms as (text, is a beginning of words): all that tell toxic texts.
+
+    A term is in ``support`` toxic texts at least, and its odds pass a binomial
+    test by the rule of Benjamini and Hochberg, so of the terms taken about the
+    share ``level`` is there by chance. The sample bounds their number.
+    """
     told = F.regexp_replace(F.lower("text"), _QUOTATION, " ")  # what is quoted says nothing about the text that quotes it
     words = rows.select(
         F.monotonically_increasing_id().alias("doc"), "label",
@@ -69,19 +80,25 @@ def _mine(rows: DataFrame, share: float, terms: int) -> list[tuple[str, bool]]:
     total = rows.agg(F.sum("label").alias("bad"), F.count("*").alias("n")).first()
     if not total["n"] or not total["bad"] or total["bad"] == total["n"]:
         return []
-    good, least = total["n"] - total["bad"], max(6, share * total["bad"])
+    good = total["n"] - total["bad"]
     odds = F.log((F.col("bad") + 0.1) / (F.col("n") - F.col("bad") + 0.1)) - F.lit(math.log(total["bad"] / good))
-    union = both[0].select("term", "start", "bad", "n").unionByName(both[1].select("term", "start", "bad", "n"))
-    best = union.filter((F.col("bad") >= least) & (odds >= 3.0) & (F.length("term") >= 3) & (F.length("term") < _ABOVE)).orderBy(F.desc(F.col("bad") * odds), "term", "start").limit(terms * 8)
-    found = [(r["term"], r["start"], r["bad"]) for r in best.collect()]  # at most 8 x terms rows
+    union = settled(both[0].select("term", "start", "bad", "n").unionByName(both[1].select("term", "start", "bad", "n")).filter((F.col("n") >= support) & (F.length("term") >= 3) & (F.length("term") < _ABOVE)), "toxic-terms")
+    tests = union.count()
+    likely = union.filter((F.col("bad") >= support) & (odds >= 3.0)).select("term", "start", "bad", "n").collect()  # no more than the sample has words in ``support`` texts
+    ranked = sorted((_chance(r["bad"], r["n"], total["bad"] / total["n"]), r["term"], r["start"], r["bad"]) for r in likely)
+    passed = max((k for k, r in enumerate(ranked, 1) if r[0] <= level * k / tests), default=0)
+    found = [(term, start, bad) for _, term, start, bad in ranked[:passed]]
     # Of nested beginnings the one that catches most stays, the longest on ties; whole terms stay beside them.
     kept: list[tuple[str, bool, int]] = []
+    heads: set[str] = set()
+    inner: set[str] = set()  # what the kept beginnings begin with
     for term, start, bad in sorted(found, key=lambda x: (-x[2], -len(x[0]) if x[1] else 0, x[0])):
-        if start and not any(k[1] and (term.startswith(k[0]) or k[0].startswith(term)) for k in kept):
+        if start and term not in inner and not any(term[:n] in heads for n in range(1, len(term) + 1)):
             kept.append((term, True, bad))
+            heads.add(term)
+            inner.update(term[:n] for n in range(1, len(term)))
     kept += [f for f in found if not f[1]]
-    kept.sort(key=lambda x: -x[2])
-    return [(t, s) for t, s, _ in kept[:terms]]
+    return [(t, s) for t, s, _ in sorted(kept, key=lambda x: (-x[2], x[0], x[1]))]
 
 
 def compile_terms(terms: list[tuple[str, bool]], fuzzy_from: int = 5, begin_from: int | None = None):
@@ -233,17 +250,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50
     return b
 
 
-def train(df: DataFrame, text: str = "text", label: str = "toxic", per_class: int = 3000, share: float = 0.02, terms: int = 96, window: int = 40) -> Model:
+def train(df: DataFrame, text: str = "text", label: str = "toxic", per_class: int = 3000, support: int = 6, level: float = 0.05, window: int = 40) -> Model:
     """Learn lexicon and weights from at most ``per_class`` labelled texts of each class.
 
     Texts are chosen by a hash, so the sample does not depend on order or
-    partitioning. ``share`` is the share of toxic texts a term must occur in (and in six
-    at least) and ``terms`` the size of the lexicon. Rows with a null text or label are passed
-    over. Without both classes, or without telling terms, no text has hits and
+    partitioning. ``support`` is the number of toxic texts a term must occur in and
+    ``level`` the share of terms that may be there by chance; every such term is in
+    the lexicon. Rows with a null text or label are passed over. Without both classes, or without telling terms, no text has hits and
     all score as the larger class.
     """
     rows = settled(sample(df, text, label, per_class), "toxic-sample")
-    lexicon = _mine(rows, share, terms)
+    lexicon = _mine(rows, support, level)
     if not lexicon:
         mean = rows.agg(F.avg("label").alias("p")).first()["p"] or 0.0
         start = np.array([20.0 if mean > 0.5 else -20.0, 0, 0, 0, 0])
@@ -302,7 +319,7 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", w
     """
     spark = df.sparkSession
     scored_name = unused(keep or [id], "_scored")
-    shared = shipped(spark, model)  # the lexicon's size is a parameter
+    shared = shipped(spark, model)  # the training sample bounds the lexicon
 
     def work(batches):
         m = pickle.loads(shared.value)

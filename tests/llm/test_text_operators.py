@@ -307,6 +307,19 @@ def test_toxicity_of_rare_terms(spark):
     assert sum(x.score > 0.5 for x in plain) <= 4
 
 
+def test_quotations_are_pairs():
+    cases = {
+        "you're an blockhead and that's all": False, "l’air d'un blockhead qu’il a": False, "he said 'a blockhead' then": True, "he’s ‘a blockhead’ then": True,
+        'he said "blockhead" then': True, 'said "yes" blockhead "no" then': False, '"What?" blockhead "Yes."': False, '("blockhead!")': True, '" blockhead "': True,
+        "« un blockhead »": True, "« a » blockhead « b »": False, "„ein blockhead“ da": True, "„a“ blockhead „b“": False, "“a blockhead” x": True, "“a” blockhead “b”": False,
+        "»ein blockhead« da": True, "‚ein blockhead‘ da": True, "他说“blockhead”了": True, 'blockhead "x"': False, '"x» blockhead': False, "“blockhead»": False, "the dogs' blockhead 'x": False,
+    }
+    points, offsets = T.codepoints(pa.array(list(cases)))
+    start = np.array([offsets[i] + t.index("blockhead") for i, t in enumerate(cases)])
+    got = toxicity._quoted(points, offsets, np.arange(len(cases)), start, start + 9, 40)
+    assert dict(zip(cases, got.tolist())) == cases
+
+
 def test_quality(spark):
     good = [(i, ". ".join(_words(12, 1000 * i + k) for k in range(3)) + ".\n" + _words(15, i) + ".", 1) for i in range(80)]
     bad = [(100 + i, "\n".join((_words(1, i) + "!! ").upper() * 12 for _ in range(3)), 0) for i in range(80)]

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from . import texts as T
 from .scratch import settled, shipped, unused
 
-# Characters that open or close a quotation.
-QUOTES = "\"'«»‘’‚“”„‹›"
+# Characters that open or close a quotation, by kind; a pair is of one kind.
+QUOTES = ('"', "“”„", "«»", "‹›", "'‘’‚")
+_OPENING, _CLOSING, _EITHER = "“„«‹‘‚", "”»›’", "\"'"
 _QUOTATION = r"""["“„«‹][^"“”«»‹›\n]{1,80}["“”»›]"""
 _ABOVE = 24  # longest word that is walked; terms are shorter
 
@@ -215,11 +216,51 @@ def _hits(column: pa.Array, alphabet: str, step: np.ndarray, hit: np.ndarray):
     return hit[state[found]].astype(np.int64), row[found], found, starts[found], ends[found], counts, points, offsets
 
 
+def _points(characters: str) -> np.ndarray:
+    return np.array([ord(c) for c in characters], np.uint32)
+
+
+def _marks(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of quotation marks, and which of them can open and close.
+
+    Marks with a direction take it, or the other where they touch a word on that
+    side alone („x“, »x«); straight ones go by what they touch. A single mark
+    between two letters is an apostrophe.
+    """
+    at = np.flatnonzero(np.isin(points, _points("".join(QUOTES))))
+    mark, text = points[at], np.searchsorted(offsets, at, "right") - 1
+    table = T.tables()
+    sides = []
+    for there, outside in ((at - 1, at == offsets[text]), (at + 1, at + 1 == offsets[text + 1])):
+        beside = points[np.clip(there, 0, max(points.size - 1, 0))]
+        word = (T.look(table["letter"], beside) | T.look(table["digit"], beside)).astype(bool)
+        sides.append((word & ~outside, outside | T.look(table["space"], beside).astype(bool)))
+    (word_before, blank_before), (word_after, blank_after) = sides
+    inside = word_before & word_after
+    either = np.isin(mark, _points(_EITHER))
+    opens = np.where(either, inside | ~word_before & (~blank_after | blank_before), np.isin(mark, _points(_OPENING)) | np.isin(mark, _points("“”«»‹›‘’")) & ~word_before & word_after)
+    closes = np.where(either, inside | ~word_after & (~blank_before | blank_after), np.isin(mark, _points(_CLOSING)) | np.isin(mark, _points("“”«»‹›‘’")) & ~word_after & word_before)
+    stays = ~(inside & np.isin(mark, _points("'’")))
+    return at[stays], opens[stays], closes[stays]
+
+
 def _quoted(points: np.ndarray, offsets: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, window: int) -> np.ndarray:
-    """Whether a quotation mark stands within ``window`` characters on both sides, in the same text."""
-    marks = np.concatenate([[0], np.cumsum(np.isin(points, np.array([ord(c) for c in QUOTES], np.uint32)))])
+    """Whether a pair of quotation marks of one kind stands around, each within
+    ``window`` characters and in the same text: the last before opens and the first behind closes."""
+    out = np.zeros(len(row), bool)
+    if not len(row):
+        return out
     low, high = np.maximum(start - window, offsets[row]), np.minimum(end + window, offsets[row + 1])
-    return (marks[start] > marks[low]) & (marks[high] > marks[end])
+    every, opening, closing = _marks(points, offsets)
+    for kind in QUOTES:
+        own = np.isin(points[every], _points(kind))
+        at, opens, closes = every[own], opening[own], closing[own]
+        if at.size > 1:
+            before, behind = np.searchsorted(at, start) - 1, np.searchsorted(at, end)
+            paired = (before >= 0) & (behind < at.size)
+            before, behind = np.maximum(before, 0), np.minimum(behind, at.size - 1)
+            out |= paired & (at[before] >= low) & (at[behind] < high) & opens[before] & closes[behind]
+    return out
 
 
 def _features(pattern, row, quoted, weight, counts) -> np.ndarray:

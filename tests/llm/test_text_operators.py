@@ -397,6 +397,19 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id int, url string, html string"), rules).count() == 0
 
 
+def test_urls_decode_links_and_remove_dot_segments(spark):
+    prepare(spark)
+    canon = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://safe.test/p?a=1&b=2", canon.format("http://bad.net/x")), (2, "http://safe.test/q", canon.format("http://safe.test/p?a=1&amp;b=2")), (3, "http://safe.test/r", canon.format("http://safe.test/p?a=1&#38;b=2")),
+        (4, "http://safe.test/d/e/f", canon.format("../../d/./g")), (5, "http://safe.test/d/g", canon.format("http://bad.net/y")), (6, "http://safe.test/d/e/", canon.format("../../../d/g")),
+        (7, "http://safe.test/h/i", canon.format("http://safe.test/p?a=1&amp;amp;b=2")), (8, "http://safe.test/d/../d/g", None), (9, "http://safe.test/k/l", canon.format("..")), (10, "http://safe.test/", canon.format("http://bad.net/z")),
+        (11, "http://safe.test/m", '<meta http-equiv="refresh" content="0; url=/p?a=1&amp;b=2">'),
+    ]
+    got = {r.id: r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string, html string"), [("net/", "block")]).collect()}
+    assert {i for i, v in got.items() if v == "allow"} == {7}
+
+
 def test_reply_trees(spark):
     prepare(spark)
     rows = [

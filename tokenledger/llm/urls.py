@@ -18,7 +18,7 @@ from .scratch import settled
 _LINK = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _META = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_GOTO = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
+_GOTO = r"""(?is)\burl\s*=\s*["']?((?:&[#a-z0-9]+;|[^"'\s>;])+)"""
 
 
 def host(url: Column) -> Column:
@@ -32,10 +32,28 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def _straight(p: Column) -> Column:
+    """A path without ``.`` and ``..``, which goes no higher than the root (RFC 3986, 5.2.4)."""
+    steps = F.split(p, "/")
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))  # noqa: E731  # the first is the empty one before the root
+    walk = lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.array_join(F.aggregate(steps, F.array().cast("array<string>"), walk), "/")
+    last = F.element_at(steps, -1)
+    return F.when(p.rlike(r"(^|/)\.\.?(/|$)"), F.concat(kept, F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))).otherwise(p)
+
+
+def _decoded(link: Column) -> Column:
+    """An attribute without its basic HTML entities; the ampersand comes last, so nothing is decoded twice."""
+    for entity, c in ((r"&(lt|#0*60|#[xX]0*3[cC]);", "<"), (r"&(gt|#0*62|#[xX]0*3[eE]);", ">"), (r"&(quot|#0*34|#[xX]0*22);", '"'), (r"&(apos|#0*39|#[xX]0*27);", "'"), (r"&(#0*47|#[xX]0*2[fF]);", "/"), (r"&(amp|#0*38|#[xX]0*26);", "&")):
+        link = F.regexp_replace(link, entity, c)
+    return link
+
+
 def address(url: Column) -> Column:
-    """The node of a url: host in lower case, path and query; scheme and fragment don't count."""
+    """The node of a url: host in lower case, path without dot segments, and query;
+    scheme and fragment don't count."""
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(host(url), path(url), query))
+    return F.when(F.instr(url, "://") > 0, F.concat(host(url), _straight(path(url)), query))
 
 
 def _resolved(base: Column, link: Column) -> Column:
@@ -74,7 +92,7 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     found = lambda tags, attribute: F.transform(F.regexp_extract_all("html", F.lit(tags), F.lit(0)), lambda tag: F.regexp_extract(tag, attribute, 1))
     rows = pages.select(F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html")).filter(F.instr("url", "://") > 0)
     goes = rows.select("url", F.explode(F.concat(found(_LINK, _HREF), found(_META, _GOTO))).alias("link")).filter("link <> ''")
-    return goes.select(address(page).alias("a"), address(_resolved(page, F.col("link"))).alias("b"))
+    return goes.select(address(page).alias("a"), address(_resolved(page, _decoded(F.col("link")))).alias("b"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

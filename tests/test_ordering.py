@@ -38,10 +38,25 @@ def frame(spark, rows):
 
 
 def test_positions(frame, rows):
-    got = {r.id: r.position for r in with_position(frame, ["k"], "at", ["id"], slice_seconds=600).collect()}
+    got = {r.id: r.position for r in with_position(frame, ["k"], "at", ["id"], parts=5).collect()}
     assert got == {r[1]: i for g in _ordered(rows).values() for i, r in enumerate(g)}
 
 
+def test_a_hot_key_at_one_time_spreads_over_tasks(spark):
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 2000)).alias("k"),
+        F.lit(BASE).alias("at"), F.xxhash64("id").alias("id"), F.lit("x" * 50).alias("position_"),
+    ).withColumn("k", F.when(F.col("id") % 50 != 0, F.col("k")))
+    placed = with_position(rows, ["k"], "at", ["id"], parts=24)
+    tasks = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 60_000 and max(tasks) <= 2 * sorted(tasks)[len(tasks) // 2]
+    keys = placed.groupBy("k").agg(F.count("*").alias("n"), F.min("position").alias("a"), F.max("position").alias("b"), F.countDistinct("position").alias("d"))
+    assert keys.filter("a <> 0 or b <> n - 1 or d <> n").count() == 0
+    before = placed.alias("x").join(placed.alias("y"), F.expr("x.k <=> y.k and x.position + 1 = y.position"))
+    assert before.filter("x.id >= y.id").count() == 0
+    assert with_position(rows.limit(0), ["k"], "at").count() == 0
+
+
 @pytest.mark.parametrize("width", [1, 4, 7])
 def test_last_rows_across_blocks(frame, rows, width):
     placed = with_position(frame, ["k"], "at", ["id"])

@@ -12,36 +12,55 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
+
+def _parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int) -> DataFrame:
+    """The rows cut into ``parts`` runs of one global order, written.
+
+    Adds ``_part`` and ``_at``, which grows along the order. Rows are cut by all of
+    the order, so a key that holds most rows, even at one time, reaches over many
+    parts of like size.
+    """
+    cut = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    fixed = written(cut.withColumn("_at", F.monotonically_increasing_id()), "positions")
+    return fixed.withColumn("_part", F.shiftright("_at", 33).cast("int"))
+
 
 def with_position(
     df: DataFrame,
     keys: Sequence[str],
     time: str,
     ties: Sequence[str] = (),
-    slice_seconds: int = 3600,
     name: str = "position",
+    parts: int | None = None,
 ) -> DataFrame:
     """Add the 0-based position of a row in its key, ordered by time and ties.
 
-    Keys are cut into time slices. Slice sizes are counted (combined before the
-    shuffle) and summed up per key, which only handles one row per slice; rows
-    are numbered inside their slice and shifted by the sizes before it.
+    A running count: rows are cut into parts of one global order, counted per part
+    and key, and a key's counts are added up along its parts, of which it has at
+    most all. Rows are numbered inside their part and shifted by what came before.
+    Only the key a part begins with can have rows in an earlier one, so at most
+    one shift per part is broadcast. Null keys are a key, null times come first;
+    rows equal in key, time and ties take their positions in any order.
     """
-    order = F.unix_seconds(F.col(time).cast("timestamp"))
-    sliced = df.withColumn("_slice", (order - F.pmod(order, F.lit(slice_seconds))))
-    sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = sizes.select(
-        *keys, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start")
+    if parts is None:
+        parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = _parts(df, keys, (time, *ties), parts)
+    counts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.select(
+        F.col("_part").alias("_in"), *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.sum("_size").over(earlier).alias("_start")
+    ).filter(F.col("_start") > 0)
+    # A part goes to the reducer of its number as it is.
+    placed = rows.repartitionById(parts, "_part").withColumn(
+        "_row", F.row_number().over(Window.partitionBy("_part", *keys).orderBy("_at"))
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(time, *ties)
-    return (
-        sliced.withColumn("_row", F.row_number().over(inside))
-        .join(starts, [*keys, "_slice"])
-        .withColumn(name, F.col("_start") + F.col("_row") - 1)
-        .drop("_slice", "_start", "_row")
+    same = F.col("_part") == F.col("_in")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return placed.join(F.broadcast(carried), same, "left").select(
+        *df.columns, (F.coalesce("_start", F.lit(0)) + F.col("_row") - 1).alias(name)
     )
 
 

@@ -63,28 +63,57 @@ def _(spark, sf):
     return C.recent_messages(I.messages(spark, sf), 3)
 
 
-def _context_sql(limit):
-    return f"""{_WITH}, win AS (SELECT *, row_number() OVER w - 1 AS position,
+def _context_sql(limit, names=_WITH, rows="msg"):
+    return f"""{names}, win AS (SELECT *, row_number() OVER w - 1 AS position,
   string_agg(role || ': ' || content, chr(10)) OVER (PARTITION BY conversation_id ORDER BY created_at, id ROWS BETWEEN {limit - 1} PRECEDING AND CURRENT ROW) AS turns
-  FROM msg WHERE status <> 'error' WINDOW w AS (PARTITION BY conversation_id ORDER BY created_at, id))
+  FROM {rows} WHERE status <> 'error' WINDOW w AS (PARTITION BY conversation_id ORDER BY created_at, id))
 SELECT win.conversation_id, win.id AS message_id, position, 'system: ' || coalesce(nullif(system_prompt, ''), '{C.SYSTEM_PROMPT}') || chr(10) || turns AS context
 FROM win JOIN conv ON conv.id = win.conversation_id WHERE role = 'user'"""
 
 
-def _contexts(spark, sf, limit):
-    contexts = C.turn_contexts(*_both(spark, sf), limit=limit)
+def _contexts(conversations, messages, limit):
+    contexts = C.turn_contexts(conversations, messages, limit=limit)
     lines = F.transform("context", lambda m: F.concat_ws(": ", m["role"], m["content"]))
     return contexts.withColumn("context", F.array_join(lines, "\n"))
 
 
+# A third of all messages moved to one conversation, all at one time.
+_HOT = f"""{_WITH}, hot AS (SELECT * REPLACE (
+  CASE WHEN md5(id) < '5555' THEN (SELECT min(id) FROM conv) ELSE conversation_id END AS conversation_id,
+  CASE WHEN md5(id) < '5555' THEN TIMESTAMP '2024-01-15 00:00:00' ELSE created_at END AS created_at) FROM msg)"""
+
+
+def _hot(spark, sf):
+    conversations, messages = _both(spark, sf)
+    first = conversations.agg(F.min("id").alias("_first"))
+    moved = F.md5("id") < "5555"
+    return conversations, messages.join(F.broadcast(first)).withColumns({
+        "conversation_id": F.when(moved, F.col("_first")).otherwise(F.col("conversation_id")),
+        "created_at": F.when(moved, F.lit("2024-01-15 00:00:00").cast("timestamp")).otherwise(F.col("created_at")),
+    }).drop("_first")
+
+
 @query("i6_turn_contexts", _context_sql(12))
 def _(spark, sf):
-    return _contexts(spark, sf, 12)
+    return _contexts(*_both(spark, sf), 12)
 
 
 @query("i6_short_contexts", _context_sql(3))
 def _(spark, sf):
-    return _contexts(spark, sf, 3)
+    return _contexts(*_both(spark, sf), 3)
+
+
+@query("i6_hot_conversation", _context_sql(12, _HOT, "hot"))
+def _(spark, sf):
+    return _contexts(*_hot(spark, sf), 12)
+
+
+@query("i4_hot_pages", f"""{_HOT}, placed AS (SELECT *, (row_number() OVER (PARTITION BY conversation_id ORDER BY created_at, id) - 1) // 20 AS page FROM hot)
+SELECT conversation_id AS id, page::BIGINT AS page, string_agg(id, ',' ORDER BY created_at, id) AS messages FROM placed GROUP BY ALL
+UNION ALL SELECT id, 0, '' FROM conv WHERE id NOT IN (SELECT conversation_id FROM hot)""")
+def _(spark, sf):
+    detail = C.conversation_detail(*_hot(spark, sf), page_rows=20)
+    return detail.select("id", "page", F.array_join(F.transform("messages", lambda m: m["id"]), ",").alias("messages"))
 
 
 @query("i6_context_usage", rf"""{_WITH}, sized AS (SELECT *, greatest(len(regexp_extract_all(content, '\S+')), 1) AS words FROM msg WHERE status <> 'error'),

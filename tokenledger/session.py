@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # All are runtime SQL settings, so they can also be applied to a session that
 # somebody else created.
@@ -73,3 +73,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             )
         base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` written to a new shared folder and read again.
+
+    What a task computed once, such as numbers that depend on its partition, stays
+    as it is however often later stages run again.
+    """
+    path = shared_dir(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

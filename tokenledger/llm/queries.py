@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, language, mixing, neardup, quality, suffixes, toxicity, urls
+from . import chat, decontamination, embeddings, language, merkle, mixing, neardup, quality, suffixes, toxicity, urls
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -111,3 +111,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated strings of 200 bytes."""
     out = suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op13_merkle", merkle.SQL)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof and check of every document against a manifest of all of them, a third of the texts changed since."""
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    now = F.when(third, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))
+    return merkle.verified(table(spark, sf_dir, "documents"), tampered={"text": now}).withColumnRenamed("id", "doc_id")

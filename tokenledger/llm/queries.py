@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, language, merkle, mixing, neardup, quality, suffixes, toxicity, urls
+from . import alignment, chat, decontamination, embeddings, language, merkle, mixing, neardup, quality, suffixes, toxicity, urls
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -122,3 +122,11 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
     now = F.when(third, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))
     return merkle.verified(table(spark, sf_dir, "documents"), tampered={"text": now}).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by two tokenizers, aligned; links by their counts over the corpus."""
+    found = alignment.align(table(spark, sf_dir, "documents"))
+    out = alignment.scored(found, alignment.pair_counts(found))
+    return out.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontamination, embeddings, language, merkle, mixing, neardup, quality, suffixes, toxicity, urls
+from . import alignment, chat, decontamination, embeddings, language, licences, merkle, mixing, neardup, quality, suffixes, toxicity, urls
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -130,3 +130,9 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.align(table(spark, sf_dir, "documents"))
     out = alignment.scored(found, alignment.pair_counts(found))
     return out.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op11_licences")
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named or quoted in every document."""
+    return licences.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -117,9 +117,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4095, _BASE)]), dtype=np.uint64)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of every row: hash, start byte, end byte, row."""
-    starts, ends, row = runs(~_SPACE[data], offsets)
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of every row: hash, start byte, end byte, row.
+
+    ``space`` tells for each byte value whether it stands between words."""
+    starts, ends, row = runs(~space[data], offsets)
     if not starts.size:
         return np.zeros(0, np.uint64), starts, ends, row
     size = ends - starts
@@ -128,11 +130,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         [np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, data.size)))]
     )
     value = _BYTE[data]
-    value[_SPACE[data]] = 0
+    value[space[data]] = 0
     value *= _POWERS[place & 4095]
     if size.max() > 4096:  # later blocks of a very long word count under other powers
         value = np.where(place > 4095, mix(value + (place >> 12).astype(np.uint64)), value)
-        value[_SPACE[data]] = 0
+        value[space[data]] = 0
     total = np.add.reduceat(value, starts)
     return mix(total + size.astype(np.uint64) * _BASE), starts, ends, row
 

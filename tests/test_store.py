@@ -4,7 +4,7 @@ import pytest
 
 from tokenledger.operators import dedupe
 from tokenledger.sources.store import LogStore
-from tokenledger.streaming.ingest import gauges, ingest_batch, start_ingest
+from tokenledger.streaming.ingest import first_in_stream, gauges, ingest_batch, start_ingest
 
 
 def _frame(spark, *texts):
@@ -40,6 +40,39 @@ def test_stream_picks_up_where_it_stopped(spark, event, tmp_path):
     assert store.ledger().count() == 2
 
 
+def test_a_batch_reads_no_logs(spark, event, tmp_path, monkeypatch):
+    store = LogStore(spark, str(tmp_path / "store"))
+    ids = [f"00000000-0000-4000-8000-{i:012x}" for i in range(9)]
+    ingest_batch(_frame(spark, *(event(request_id=i) for i in ids[:5])), store, 0)
+    rows = spark.createDataFrame([(i, "2025-03-09", None, 1) for i in ids[3:]], "request_id string, received_at string, completed_at string, latency_ms int")
+    for known in (6, None):
+        new = store.new_rows(rows, 1, known)
+        assert sorted(r.request_id for r in new.collect()) == ids[5:]
+        assert not [f for f in new.inputFiles() if "/keys/" not in f]
+        kept = store.new_rows(rows.filter(rows.request_id > ids[4]), 1, known)  # no hash is met: nothing stored is read
+        assert kept.count() == 4 and not kept.inputFiles()
+    # Another key with a stored hash is new all the same.
+    clash = spark.createDataFrame([(k.key_hash, "other", 0) for k in store.keys().collect()], store.keys().schema)
+    assert dedupe.unseen_keys(rows, clash).count() == 6
+    # A store written before there were key tables.
+    monkeypatch.setattr(LogStore, "_holds", lambda self, table: table == "logs")
+    assert sorted(r.request_id for r in store.new_rows(rows, 1, 6).collect()) == ids[5:]
+
+
+def test_keyed_state_over_restarts(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+
+    def arrives(name, *rows):
+        (landing / name).write_text("\n".join(f"{k},{at}" for k, at in rows))
+        stream = spark.readStream.schema("request_id string, at int").csv(str(landing))
+        first_in_stream(stream, ["at"]).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        return sorted((r.request_id, r["at"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert arrives("1", ("a", 5), ("a", 2), ("b", 7)) == [("a", 2), ("b", 7)]
+    assert arrives("2", ("b", 1), ("c", 9), ("a", 0)) == [("a", 2), ("b", 7), ("c", 9)]
+
+
 def test_second_pass_redaction(spark, event, tmp_path):
     store = LogStore(spark, str(tmp_path / "store"))
     ingest_batch(_frame(spark, event(input_preview="raw a@b.com", pii_redaction_count=2)), store, 0, redact_again=True)

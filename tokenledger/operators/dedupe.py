@@ -43,3 +43,27 @@ def unseen(
     if known_rows is not None and known_rows <= BROADCAST_KEYS:
         keys = keys.join(F.broadcast(events.select(key)), key, "left_semi")
     return events.join(keys, key, "left_anti")
+
+
+def hashed_keys(rows: DataFrame, key: str = "request_id") -> DataFrame:
+    """``key_hash`` and ``key``: what a key table holds."""
+    return rows.select(F.xxhash64(key).alias("key_hash"), key)
+
+
+def unseen_keys(events: DataFrame, keys: DataFrame, key: str = "request_id", known_rows: int | None = None) -> DataFrame:
+    """Events whose key is not in a key table (:func:`hashed_keys`).
+
+    Looks at the hashes alone first, 8 bytes a stored key; only if some are met are
+    the keys behind them read, which tells a stored key from a new one with the same
+    hash. ``known_rows`` decides as in :func:`unseen` whether hashes are broadcast;
+    those met are at most as many. Runs a job to see whether any hash is met.
+    """
+    few = known_rows is not None and known_rows <= BROADCAST_KEYS
+    small = F.broadcast if few else (lambda frame: frame)
+    asked = events.select(F.xxhash64(key).alias("key_hash"))
+    met = keys.select("key_hash").join(small(asked), "key_hash", "left_semi").distinct().persist()
+    if not met.limit(1).count():
+        met.unpersist()
+        return events
+    stored = keys.join(small(met), "key_hash", "left_semi").select(key)
+    return events.join(small(stored), key, "left_anti")

@@ -84,6 +84,21 @@ def _(spark, sf):
     return spark.read.parquet(f"{root}/out")
 
 
+@query("j2_keyed_state", f"WITH {I.RAW_LOGS_SQL} SELECT request_id, 0 AS copy FROM raw")
+def _(spark, sf):
+    """Every third event comes three times; keyed state passes the first copy, also in a second run."""
+    root = shared_dir(spark, "keyed")
+    logs = I.shape_logs(event_stream(spark, sf)).select("request_id", F.explode(F.sequence(F.when(F.col("event_id") % 3 == 0, 2).otherwise(0), F.lit(0), F.lit(-1))).alias("copy"))
+    for _ in range(2):
+        _finish(
+            N.first_in_stream(logs, ["copy"]).writeStream.format("parquet")
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{root}/out")
+        )
+    return spark.read.parquet(f"{root}/out")
+
+
 _SERIES = f"WITH {I.LOGS_SQL} SELECT {_bucket(3600)} AS bucket, {_SERIES_SQL} FROM logs GROUP BY 1"
 
 

@@ -23,6 +23,8 @@ RUNTIME_CONF = {
     # Generated methods the JVM would refuse to compile are slower than
     # interpreted expressions.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Streaming state lives on disk and may outgrow the memory of an executor.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -1,7 +1,9 @@
 """The log store: Parquet tables with idempotent batch writes.
 
 Layout: ``logs/started_date=D/batch_id=N``, ``profile/started_date=D/batch_id=N``,
-``dead_letters/batch_id=N`` and ``ledger/batch_id=N``. A batch replaces only its
+``keys/batch_id=N``, ``dead_letters/batch_id=N`` and ``ledger/batch_id=N``. Keys are
+the stored request ids with their hashes, in the order of the hashes; a batch is
+compared with them and never reads logs. A batch replaces only its
 own folders, so writing it again after a failure has no further effect. Batch ids
 come from the stream's checkpoint: a store belongs to one checkpoint, and a new
 checkpoint needs a new store.
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators.metrics import bucket_start, fold_series, latency_profile
-from ..operators.dedupe import first_wins, unseen
+from ..operators.dedupe import first_wins, hashed_keys, unseen_keys
 
 LEDGER = T.StructType(
     [
@@ -31,6 +33,10 @@ LEDGER = T.StructType(
 )
 
 
+KEYS = T.StructType(
+    [T.StructField("key_hash", T.LongType()), T.StructField("request_id", T.StringType()), T.StructField("batch_id", T.LongType())]
+)
+
 PROFILE_SECONDS = 60
 PROFILE = T.StructType(
     [T.StructField("bucket", T.TimestampType()), T.StructField("latency_ms", T.IntegerType())]
@@ -56,6 +62,15 @@ class LogStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def _holds(self, table: str) -> bool:
+        try:
+            self.spark.read.format("binaryFile").load(f"{self.root}/{table}")
+            return True
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+
     def logs(self) -> DataFrame:
         return self._read("logs", schemas.STORED_LOGS)
 
@@ -75,8 +90,14 @@ class LogStore:
         attempt would find its rows already stored and write none.
         """
         order = ["received_at", *[c for c in ("pos",) if c in logs.columns], "completed_at", "latency_ms"]
-        stored = self.logs().filter(F.col("batch_id") != batch_id)
-        return unseen(first_wins(logs, order).drop("pos"), stored, known_rows=known_rows)
+        stored = self.keys().filter(F.col("batch_id") != batch_id)
+        return unseen_keys(first_wins(logs, order).drop("pos"), stored, known_rows=known_rows)
+
+    def keys(self) -> DataFrame:
+        """Request ids of all stored logs. A store without a key table gets them from its logs."""
+        if self._holds("keys") or not self._holds("logs"):
+            return self._read("keys", KEYS)
+        return self.logs().select(F.xxhash64("request_id").alias("key_hash"), "request_id", "batch_id")
 
     def _dated(self, rows: DataFrame, table: str, batch_id: int) -> None:
         """Write rows to the folders of their dates and of the batch."""
@@ -98,6 +119,7 @@ class LogStore:
         rows = self.new_rows(logs, batch_id, known_rows).withColumn("started_date", F.to_date("started_at")).persist()
         try:
             self._dated(rows, "logs", batch_id)
+            hashed_keys(rows).orderBy("key_hash").write.mode("overwrite").parquet(f"{self.root}/keys/batch_id={batch_id}")
             bucket = bucket_start(PROFILE_SECONDS).alias("bucket")
             self._dated(latency_profile(rows, ["started_date", bucket]), "profile", batch_id)
             return rows.count()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from collections.abc import Iterator, Sequence
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.redact import Redactor
 from ..operators.process import check, to_dead_letters, to_logs
@@ -77,6 +78,40 @@ def start_ingest(
     )
 
 
+class FirstSeen(StatefulProcessor):
+    """Passes the first row of a key and none for as long as the key is remembered."""
+
+    def __init__(self, order: tuple[str, ...], ttl_ms: int | None):
+        self.order, self.ttl_ms = order, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "met boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if not self.seen.exists():
+            # Nulls first, as in a sort.
+            yield min(rows, key=lambda r: [(r[c] is not None, r[c]) for c in self.order])
+            self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def first_in_stream(events: DataFrame, order: Sequence[str], key: str = "request_id", remember: timedelta | None = None) -> DataFrame:
+    """First event per request across a whole stream, by keyed state.
+
+    Within a micro-batch the first in ``order`` counts, across them the one that
+    came first. State is one flag per key on disk, found by key, so a micro-batch
+    costs what it holds and not what came before it. ``remember`` frees a key that
+    long after it was met (by the clock); without it keys stay for good. Keys must
+    not be null. Rows pass through Python; the columns should be few.
+    """
+    ttl = None if remember is None else int(remember.total_seconds() * 1000)
+    return events.groupBy(key).transformWithState(
+        FirstSeen(tuple(order), ttl), events.schema, "append", "none" if ttl is None else "processingTime"
+    )
+
+
 def dedupe_in_stream(events: DataFrame, delay: str, time: str = "received_at") -> DataFrame:
     """First event per request within a bounded time; older keys leave the state.
 

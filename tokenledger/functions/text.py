@@ -15,6 +15,16 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^[{_SPACE}]+|[{_SPACE}]+\z", "")
 
 
+def lstrip(text: Column) -> Column:
+    """Remove white space at the start."""
+    return F.regexp_replace(text, rf"(?U)^[{_SPACE}]+", "")
+
+
+def rstrip(text: Column) -> Column:
+    """Remove white space at the end."""
+    return F.regexp_replace(text, rf"(?U)[{_SPACE}]+\z", "")
+
+
 def strip_ascii(text: Column) -> Column:
     """Remove the ASCII white space that stripping a byte string removes."""
     return F.regexp_replace(text, r"^[ \t\n\r\x0b\f]+|[ \t\n\r\x0b\f]+\z", "")

@@ -14,6 +14,8 @@ from ..functions.enrich import elapsed_ms
 from ..functions.redact import Redactor, redact_columns
 from ..functions.settle import settle
 from ..functions.text import preview, strip, strip_ascii
+from ..session import written
+from .streams import fold_lines, stream_lines, text_preview, whole_text
 
 SDK_VERSION = "0.4.0"
 ERROR_CHARS = 500
@@ -47,23 +49,33 @@ def last_user_text(messages: Column) -> Column:
 # ----------------------------------------------------------------- requests
 
 
+# Top-level fields the handlers below read. Bodies are parsed for these alone, so
+# only a single value is bound by the size of a variant, not a body or a list.
+_REQUEST_FIELDS = "model: variant, stream: variant, prompt: variant, messages: array<variant>"
+_RESPONSE_FIELDS = (
+    "choices: array<variant>, content: array<variant>, usage: variant, message: variant, response: variant, "
+    "prompt_eval_count: variant, eval_count: variant"
+)
+
+
+def _items(values: Column) -> Column:
+    return F.coalesce(values, F.array().cast("array<variant>"))
+
+
 def _chat_request(body: Column) -> Meta:
     return {
-        "model": F.coalesce(J.as_text(J.field(body, "$.model")), F.lit("unknown")),
-        "streaming": J.is_truthy(J.field(body, "$.stream")),
-        "input_text": last_user_text(J.items_at(body, "$.messages")),
+        "model": F.coalesce(J.as_text(body["model"]), F.lit("unknown")),
+        "streaming": J.is_truthy(body["stream"]),
+        "input_text": last_user_text(_items(body["messages"])),
     }
 
 
 def _ollama_request(body: Column) -> Meta:
-    stream = J.field(body, "$.stream")
-    off = (J.kind(stream) == "BOOLEAN") & (F.try_variant_get(stream, "$", "string") == "false")
+    off = (J.kind(body["stream"]) == "BOOLEAN") & (F.try_variant_get(body["stream"], "$", "string") == "false")
     return {
-        "model": F.coalesce(J.as_text(J.field(body, "$.model")), F.lit("unknown")),
+        "model": F.coalesce(J.as_text(body["model"]), F.lit("unknown")),
         "streaming": ~F.coalesce(off, F.lit(False)),
-        "input_text": F.coalesce(
-            last_user_text(J.items_at(body, "$.messages")), J.string_at(body, "$.prompt")
-        ),
+        "input_text": F.coalesce(last_user_text(_items(body["messages"])), J.string_at(body["prompt"], "$")),
     }
 
 
@@ -72,10 +84,10 @@ def _ollama_request(body: Column) -> Meta:
 
 def _openai_response(body: Column) -> Meta:
     return {
-        "output_text": J.string_at(body, "$.choices[0].message.content"),
-        "prompt_tokens": J.integer_at(body, "$.usage.prompt_tokens"),
-        "completion_tokens": J.integer_at(body, "$.usage.completion_tokens"),
-        "total_tokens": J.integer_at(body, "$.usage.total_tokens"),
+        "output_text": J.string_at(F.get(body["choices"], F.lit(0)), "$.message.content"),
+        "prompt_tokens": J.integer_at(body["usage"], "$.prompt_tokens"),
+        "completion_tokens": J.integer_at(body["usage"], "$.completion_tokens"),
+        "total_tokens": J.integer_at(body["usage"], "$.total_tokens"),
     }
 
 
@@ -89,141 +101,77 @@ def _with_sum(prompt: Column, completion: Column, text: Column) -> Meta:
 
 
 def _anthropic_response(body: Column) -> Meta:
-    blocks = F.filter(
-        J.items_at(body, "$.content"), lambda b: J.string_at(b, "$.type") == "text"
-    )
+    blocks = F.filter(_items(body["content"]), lambda b: J.string_at(b, "$.type") == "text")
     text = F.array_join(
         F.transform(blocks, lambda b: F.coalesce(J.as_text(J.field(b, "$.text")), F.lit(""))), ""
     )
     return _with_sum(
-        J.integer_at(body, "$.usage.input_tokens"),
-        J.integer_at(body, "$.usage.output_tokens"),
+        J.integer_at(body["usage"], "$.input_tokens"),
+        J.integer_at(body["usage"], "$.output_tokens"),
         F.nullif(text, F.lit("")),
     )
 
 
-def _ollama_text(doc: Column) -> Column:
-    message = J.field(doc, "$.message.content")
-    return F.when(J.is_truthy(message), J.as_text(message)).otherwise(
-        J.as_text(J.field(doc, "$.response"))
-    )
-
-
 def _ollama_response(body: Column) -> Meta:
-    return _with_sum(
-        J.integer_at(body, "$.prompt_eval_count"),
-        J.integer_at(body, "$.eval_count"),
-        _ollama_text(body),
-    )
+    message = J.field(body["message"], "$.content")
+    text = F.when(J.is_truthy(message), J.as_text(message)).otherwise(J.as_text(body["response"]))
+    return _with_sum(J.integer_at(body["prompt_eval_count"], "$"), J.integer_at(body["eval_count"], "$"), text)
 
 
 # ------------------------------------------------------------------ streams
-# A stream handler sees ``docs``, one variant per complete line (null for lines
-# without a JSON payload), and ``payloads``, the text of the same lines. It
-# returns the text each line adds, the final counters and the end marker.
+# A stream handler sees one complete line: ``doc``, its payload as a variant (null
+# without a JSON payload), and ``payload``, its text. It returns what the line
+# says: ``text`` it adds, ``done`` for the end marker, and counters: ``usage`` (a
+# struct of prompt, completion and total that replaces all counters so far), or
+# ``prompt`` and ``completion`` with ``closes`` where their total is taken.
 
 
-def _pieces(docs: Column, text_of: Callable[[Column], Column]) -> Column:
-    return F.transform(docs, lambda d: F.coalesce(text_of(d), F.lit("")))
+def _nothing(kind: str = "long") -> Column:
+    return F.lit(None).cast(kind)
 
 
-def _fold_usage(docs: Column, prompt_of, completion_of, total_of) -> Column:
-    """Run the counters over the lines; each function gets a line and the
-    counters so far and returns the new value."""
-    start = F.struct(
-        *[F.lit(None).cast("long").alias(n) for n in ("prompt", "completion", "total")]
-    )
+_USAGE = "struct<prompt:bigint,completion:bigint,total:bigint>"
 
-    def step(acc: Column, d: Column) -> Column:
-        prompt = prompt_of(d, acc)
-        completion = completion_of(d, acc)
-        return F.struct(
-            prompt.alias("prompt"),
-            completion.alias("completion"),
-            total_of(d, acc, prompt, completion).alias("total"),
-        )
-
-    return F.aggregate(docs, start, step)
-
-
-def _openai_stream(docs: Column, payloads: Column) -> Meta:
-    def text_of(d: Column) -> Column:
-        return F.array_join(
-            F.transform(
-                J.items_at(d, "$.choices"),
-                lambda c: F.coalesce(J.string_at(c, "$.delta.content"), F.lit("")),
-            ),
-            "",
-        )
-
-    def latest(path: str, name: str):
-        return lambda d, acc, *_: F.when(
-            J.is_truthy(J.field(d, "$.usage")), J.integer_at(d, path)
-        ).otherwise(acc[name])
 
+def _openai_stream(doc: Column, payload: Column) -> Meta:
+    parts = F.transform(
+        J.items_at(doc, "$.choices"), lambda c: F.coalesce(J.string_at(c, "$.delta.content"), F.lit(""))
+    )
+    usage = F.struct(*[J.integer_at(doc, f"$.usage.{n}_tokens").alias(n) for n in ("prompt", "completion", "total")])
     return {
-        "pieces": _pieces(docs, text_of),
-        "usage": _fold_usage(
-            docs,
-            latest("$.usage.prompt_tokens", "prompt"),
-            latest("$.usage.completion_tokens", "completion"),
-            latest("$.usage.total_tokens", "total"),
-        ),
-        "completed": F.exists(payloads, lambda p: F.coalesce(p == "[DONE]", F.lit(False))),
+        "text": F.array_join(parts, ""),
+        "usage": F.when(J.is_truthy(J.field(doc, "$.usage")), usage),
+        "prompt": _nothing(),
+        "completion": _nothing(),
+        "closes": F.lit(False),
+        "done": payload == "[DONE]",
     }
 
 
-def _anthropic_stream(docs: Column, payloads: Column) -> Meta:
-    def of_type(d: Column, name: str) -> Column:
-        return F.coalesce(J.string_at(d, "$.type") == name, F.lit(False))
-
-    def text_of(d: Column) -> Column:
-        delta = (J.string_at(d, "$.delta.type") == "text_delta") & of_type(d, "content_block_delta")
-        return F.when(delta, J.as_text(J.field(d, "$.delta.text")))
-
-    def output(d: Column) -> Column:
-        return F.when(of_type(d, "message_delta"), J.integer_at(d, "$.usage.output_tokens"))
-
+def _anthropic_stream(doc: Column, payload: Column) -> Meta:
+    kind = J.string_at(doc, "$.type")
+    delta = (J.string_at(doc, "$.delta.type") == "text_delta") & (kind == "content_block_delta")
+    output = F.when(kind == "message_delta", J.integer_at(doc, "$.usage.output_tokens"))
     return {
-        "pieces": _pieces(docs, text_of),
-        "usage": _fold_usage(
-            docs,
-            lambda d, acc: F.coalesce(
-                F.when(of_type(d, "message_start"), J.integer_at(d, "$.message.usage.input_tokens")),
-                acc["prompt"],
-            ),
-            lambda d, acc: F.coalesce(output(d), acc["completion"]),
-            lambda d, acc, prompt, completion: F.coalesce(prompt + output(d), acc["total"]),
-        ),
-        "completed": F.exists(docs, lambda d: of_type(d, "message_stop")),
+        "text": F.when(delta, J.as_text(J.field(doc, "$.delta.text"))),
+        "usage": _nothing(_USAGE),
+        "prompt": F.when(kind == "message_start", J.integer_at(doc, "$.message.usage.input_tokens")),
+        "completion": output,
+        "closes": output.isNotNull(),
+        "done": kind == "message_stop",
     }
 
 
-def _ollama_stream(docs: Column, payloads: Column) -> Meta:
-    def done(d: Column) -> Column:
-        return J.is_truthy(J.field(d, "$.done"))
-
-    def text_of(d: Column) -> Column:
-        message, other = J.field(d, "$.message.content"), J.field(d, "$.response")
-        return F.when(J.is_truthy(message), J.as_text(message)).when(
-            J.is_truthy(other), J.as_text(other)
-        )
-
+def _ollama_stream(doc: Column, payload: Column) -> Meta:
+    done = J.is_truthy(J.field(doc, "$.done"))
+    message, other = J.field(doc, "$.message.content"), J.field(doc, "$.response")
     return {
-        "pieces": _pieces(docs, text_of),
-        "usage": _fold_usage(
-            docs,
-            lambda d, acc: F.coalesce(
-                F.when(done(d), J.integer_at(d, "$.prompt_eval_count")), acc["prompt"]
-            ),
-            lambda d, acc: F.coalesce(
-                F.when(done(d), J.integer_at(d, "$.eval_count")), acc["completion"]
-            ),
-            lambda d, acc, prompt, completion: F.coalesce(
-                F.when(done(d), prompt + completion), acc["total"]
-            ),
-        ),
-        "completed": F.exists(docs, done),
+        "text": F.when(J.is_truthy(message), J.as_text(message)).when(J.is_truthy(other), J.as_text(other)),
+        "usage": _nothing(_USAGE),
+        "prompt": F.when(done, J.integer_at(doc, "$.prompt_eval_count")),
+        "completion": F.when(done, J.integer_at(doc, "$.eval_count")),
+        "closes": done,
+        "done": done,
     }
 
 
@@ -234,9 +182,11 @@ def _ollama_stream(docs: Column, payloads: Column) -> Meta:
 class Handler:
     """How one provider's exchanges are recognised and read.
 
-    ``matches`` gets host and path columns of a POST request. ``stream`` may be
-    missing for providers that never stream; ``events`` says whether stream
-    lines are ``data:`` events or bare JSON.
+    ``matches`` gets host and path columns of a POST request. ``request`` and
+    ``response`` get the body: a struct of the fields named in ``request_fields``
+    and ``response_fields`` (DDL), or without names the whole body as a variant,
+    which holds up to 128 MiB. ``stream`` may be missing for providers that never
+    stream; ``events`` says whether stream lines are ``data:`` events or bare JSON.
     """
 
     name: str
@@ -245,6 +195,8 @@ class Handler:
     response: Callable[[Column], Meta]
     stream: Callable[[Column, Column], Meta] | None = None
     events: bool = True
+    request_fields: str | None = None
+    response_fields: str | None = None
 
 
 def _has(text: Column, part: str) -> Column:
@@ -258,23 +210,23 @@ def _ends(text: Column, part: str) -> Column:
 OPENAI = Handler(
     "openai",
     lambda host, path: _has(host, "openai.com") & _ends(path, "/chat/completions"),
-    _chat_request, _openai_response, _openai_stream,
+    _chat_request, _openai_response, _openai_stream, request_fields=_REQUEST_FIELDS, response_fields=_RESPONSE_FIELDS,
 )
 ANTHROPIC = Handler(
     "anthropic",
     lambda host, path: _has(host, "anthropic") & _ends(path, "/v1/messages"),
-    _chat_request, _anthropic_response, _anthropic_stream,
+    _chat_request, _anthropic_response, _anthropic_stream, request_fields=_REQUEST_FIELDS, response_fields=_RESPONSE_FIELDS,
 )
 OLLAMA = Handler(
     "ollama",
     lambda host, path: _ends(path, "/api/chat") | _ends(path, "/api/generate"),
-    _ollama_request, _ollama_response, _ollama_stream, events=False,
+    _ollama_request, _ollama_response, _ollama_stream, events=False, request_fields=_REQUEST_FIELDS, response_fields=_RESPONSE_FIELDS,
 )
 OPENAI_COMPATIBLE = Handler(
     "openai_compatible",
     lambda host, path: ~_has(host, "openai.com") & ~_has(host, "anthropic")
     & _ends(path, "/chat/completions"),
-    _chat_request, _openai_response, _openai_stream,
+    _chat_request, _openai_response, _openai_stream, request_fields=_REQUEST_FIELDS, response_fields=_RESPONSE_FIELDS,
 )
 
 # First match wins.
@@ -317,6 +269,11 @@ def route(captures: DataFrame, handlers: Sequence[Handler] = DEFAULT_HANDLERS) -
     )
 
 
+def _bodies(text: Column, fields: Sequence[str | None]) -> dict[str | None, Column]:
+    """A body parsed once for every set of fields the handlers ask for."""
+    return {f: J.strict_json(text) if f is None else J.strict_fields(text, f) for f in dict.fromkeys(fields)}
+
+
 def parse_requests(
     routed: DataFrame, handlers: Sequence[Handler] = DEFAULT_HANDLERS
 ) -> DataFrame:
@@ -325,14 +282,24 @@ def parse_requests(
     A body that is not JSON counts as empty. A body that is JSON but neither an
     object nor empty cannot be read, and the exchange is left out.
     """
-    doc = settle(routed.withColumn("_body", J.strict_json(F.col("request_body"))), ["_body"])
-    readable = F.coalesce(J.is_object(F.col("_body")) | ~J.is_truthy(F.col("_body")), F.lit(True))
-    parsed = {h.name: h.request(F.col("_body")) for h in handlers}
+    text = F.col("request_body")
+    bodies = _bodies(text, [h.request_fields for h in handlers])
+    at = {f: f"_body{i}" for i, f in enumerate(bodies)}
+    # Only what is no object is parsed again.
+    object_ = F.startswith(F.ltrim(text), F.lit("{"))
+    doc = routed.withColumns(
+        {
+            **{at[f]: F.when(F.col("provider").isin([h.name for h in handlers if h.request_fields == f]), b) for f, b in bodies.items()},
+            "_other": F.when(~object_, J.strict_json(text)),
+        }
+    )
+    doc = settle(doc, [*at.values(), "_other"])
+    parsed = {h.name: h.request(F.col(at[h.request_fields])) for h in handlers}
     names = ["model", "streaming", "input_text"]
-    read = doc.filter(readable).withColumns(
+    read = doc.filter(~F.coalesce(J.is_truthy(F.col("_other")), F.lit(False))).withColumns(
         {n: _per_handler(handlers, lambda h: parsed[h.name][n]) for n in names}
     )
-    return settle(read.drop("_body"), names)
+    return settle(read.drop(*at.values(), "_other"), names)
 
 
 _META = ("output_text", "prompt_tokens", "completion_tokens", "total_tokens")
@@ -343,103 +310,61 @@ def parse_responses(
 ) -> DataFrame:
     """Add output text and token counts from the buffered response body; all
     null when it cannot be read."""
-    doc = exchanges.withColumn("_body", J.strict_json(F.col("response_body")))
-    parsed = {h.name: h.response(F.col("_body")) for h in handlers}
+    bodies = _bodies(F.col("response_body"), [h.response_fields for h in handlers])
+    at = {f: f"_body{i}" for i, f in enumerate(bodies)}
+    doc = settle(exchanges.withColumns(
+        {at[f]: F.when(F.col("provider").isin([h.name for h in handlers if h.response_fields == f]), b) for f, b in bodies.items()}
+    ), list(at.values()))
+    parsed = {h.name: h.response(F.col(at[h.response_fields])) for h in handlers}
     read = doc.withColumns(
         {n: _per_handler(handlers, lambda h: parsed[h.name][n]) for n in _META}
     )
-    return settle(read.drop("_body"), _META)
+    return settle(read.drop(*at.values()), _META)
 
 
-def join_chunks(chunks: DataFrame) -> DataFrame:
-    """One row per request: ``raw``, the body with one character per byte, and
-    ``arrivals``, the ordered chunk times and sizes.
+_SAID = ("text", "usage", "prompt", "completion", "closes", "done")
+_REPLY = ("request_id", "provider")
 
-    Bytes are joined before decoding, because chunk borders fall inside lines
-    and inside characters.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "at", "bytes")))
-    return chunks.groupBy("request_id").agg(ordered.alias("_chunks")).select(
-        "request_id",
-        F.array_join(
-            F.transform("_chunks", lambda c: F.decode(c["bytes"], "ISO-8859-1")), ""
-        ).alias("raw"),
-        F.transform(
-            "_chunks",
-            lambda c: F.struct(c["at"].alias("at"), F.octet_length(c["bytes"]).alias("size")),
-        ).alias("arrivals"),
-    )
 
+def parse_lines(lines: DataFrame, handlers: Sequence[Handler] = DEFAULT_HANDLERS) -> DataFrame:
+    """What every line of :func:`stream_lines` says, by its ``provider``.
 
-def complete_lines(joined: DataFrame) -> DataFrame:
-    """Add ``raw_lines``: the lines of ``raw`` that end in a newline."""
-    parts = F.split(F.col("raw"), "\n", -1)
-    return joined.withColumn("raw_lines", F.slice(parts, F.lit(1), F.size(parts) - 1))
+    Lines are decoded as a whole; one that is no UTF-8 or no payload says nothing.
+    """
+    text = strip_ascii(F.try_validate_utf8(F.encode("line", "ISO-8859-1").cast("string")))
+    df = settle(lines.withColumn("_text", text).drop("line"), ["_text"])
+    is_event = _per_handler(handlers, lambda h: F.lit(h.events))
+    payload = F.when(~is_event, F.col("_text")).when(
+        F.startswith("_text", F.lit("data:")), strip_ascii(F.substring("_text", 6, 1 << 30))
+    )
+    df = settle(df.withColumn("_payload", payload).drop("_text"), ["_payload"])
+    df = settle(df.withColumn("_doc", J.strict_json(F.col("_payload"))), ["_doc"])
+    said = {h.name: h.stream(F.col("_doc"), F.col("_payload")) for h in handlers if h.stream}
+    df = df.withColumns({n: _per_handler(handlers, lambda h: said[h.name][n] if h.stream else None) for n in _SAID})
+    flags = {n: F.coalesce(n, F.lit(False)) for n in ("closes", "done")}
+    return settle(df.drop("_doc", "_payload").withColumns(flags), _SAID)
 
 
 def fold_streams(
-    streams: DataFrame, handlers: Sequence[Handler] = DEFAULT_HANDLERS
+    streams: DataFrame, chunks: DataFrame, handlers: Sequence[Handler] = DEFAULT_HANDLERS, whole: bool = True
 ) -> DataFrame:
     """Add what a streamed reply says and when its first text arrived.
 
-    Needs ``provider``, ``raw_lines`` and ``arrivals``. Adds the text and token
-    columns, ``completed`` and ``first_text_at``.
+    Needs ``request_id`` and ``provider``. Adds the token columns, ``completed``,
+    ``first_text_at`` and ``output_preview``, and with ``whole`` the text itself as
+    ``output_text``, the only value as long as a reply. A reply without complete
+    lines has nulls.
     """
-    line = F.transform(
-        "raw_lines",
-        lambda l: strip_ascii(F.try_validate_utf8(F.encode(l, "ISO-8859-1").cast("string"))),
-    )
-    df = streams.withColumn("_lines", line)
-    is_event = _per_handler(handlers, lambda h: F.lit(h.events))
-    df = df.withColumn(
-        "_payloads",
-        F.transform(
-            "_lines",
-            lambda l: F.when(~is_event, l).when(
-                F.startswith(l, F.lit("data:")), strip_ascii(F.substring(l, 6, 1 << 30))
-            ),
-        ),
-    )
-    df = df.withColumn("_docs", F.transform("_payloads", lambda p: J.strict_json(p)))
-    parsed = {
-        h.name: h.stream(F.col("_docs"), F.col("_payloads")) for h in handlers if h.stream
-    }
-    df = df.withColumns(
-        {
-            f"_{n}": _per_handler(handlers, lambda h: parsed[h.name][n] if h.stream else None)
-            for n in ("pieces", "usage", "completed")
-        }
-    )
-    # Bytes up to and including the newline of the first line that carries text;
-    # the first chunk to reach that length brought it.
-    first = F.array_position(F.transform("_pieces", lambda p: p != ""), True)
-    needed = F.aggregate(
-        F.slice("raw_lines", F.lit(1), first.cast("int")),
-        F.lit(0),
-        lambda acc, l: acc + F.length(l) + 1,
-    )
-    df = df.withColumn("_needed", F.when(first > 0, needed))
-    arrival = F.aggregate(
-        "arrivals",
-        F.struct(F.lit(0).alias("size"), F.lit(None).cast("timestamp").alias("at")),
-        lambda acc, c: F.struct(
-            (acc["size"] + c["size"]).alias("size"),
-            F.coalesce(
-                acc["at"], F.when(acc["size"] + c["size"] >= F.col("_needed"), c["at"])
-            ).alias("at"),
-        ),
-        lambda acc: acc["at"],
+    asked = streams.select(*_REPLY).distinct()
+    lines = stream_lines(chunks.join(asked, "request_id"), _REPLY)
+    # Read by several aggregates, parsed once.
+    said = written(parse_lines(lines, handlers), "lines")
+    folded = fold_lines(said, _REPLY).join(
+        text_preview(said, _REPLY).withColumnRenamed("preview", "output_preview"), list(_REPLY), "left"
     )
-    made = {
-            "output_text": F.nullif(F.array_join("_pieces", ""), F.lit("")),
-            "prompt_tokens": F.col("_usage.prompt"),
-            "completion_tokens": F.col("_usage.completion"),
-            "total_tokens": F.col("_usage.total"),
-            "completed": F.col("_completed"),
-            "first_text_at": F.when(F.col("_needed").isNotNull(), arrival),
-    }
-    used = ["_lines", "_payloads", "_docs", "_pieces", "_usage", "_completed", "_needed"]
-    return settle(df.withColumns(made).drop(*used), list(made))
+    if whole:
+        folded = folded.join(whole_text(said, _REPLY).withColumnRenamed("whole", "output_text"), list(_REPLY), "left")
+    return streams.join(folded, list(_REPLY), "left")
 
 
 # Exceptions by which a caller gives up, as opposed to failures.
@@ -493,61 +418,49 @@ def capture_events(
 ) -> DataFrame:
     """One inference event per recognised exchange.
 
-    Buffered replies never touch the chunk table: only streamed requests are
-    joined with it, on the request id both sides are shuffled by.
+    Exchanges are parsed once into narrow rows, without their bodies, and written.
+    Buffered replies never touch the chunk table: only the chunks of streamed
+    requests are folded, and what they say is attached by the request.
     """
-    requests = parse_requests(route(captures, handlers), handlers)
+    requests = parse_requests(route(captures, handlers), handlers).drop("request_body")
     # A call given up before its reply was complete never becomes an event.
     given_up = F.col("exception_class").isin(*CANCELLATIONS) & (~F.col("streaming") | F.col("status_code").isNull())
     requests = requests.filter(~F.coalesce(given_up, F.lit(False)))
     failed = (F.coalesce(F.col("status_code"), F.lit(0)) >= 400) | (
         F.col("exception_class").isNotNull() & F.col("status_code").isNull()
     )
-    streamed = F.col("streaming") & ~failed
-    whole = requests.filter(~streamed)
-    live = requests.filter(streamed).join(join_chunks(chunks), "request_id", "left")
-    live = fold_streams(complete_lines(live), handlers)
-    live = live.withColumns(
-        {
-            "status": stream_status(
-                F.col("stream_ended"), F.col("completed"), F.col("exception_class")
-            ),
-            "ttft_ms": elapsed_ms(F.col("started_at"), F.col("first_text_at")),
-        }
-    ).drop("raw", "raw_lines", "arrivals", "completed", "first_text_at")
-    whole = parse_responses(
-        whole.withColumn("response_text", F.col("response_body")).withColumn(
-            "response_body", F.when(~failed, F.col("response_body"))
-        ),
-        handlers,
-    )
-    whole = whole.withColumn("response_body", F.col("response_text")).drop("response_text")
-    whole = whole.withColumns(
-        {
-            "status": F.when(failed, F.lit("error")).otherwise(F.lit("success")),
-            "ttft_ms": F.lit(None).cast("long"),
-        }
-    )
     kind, message = exchange_error()
-    events = whole.unionByName(live).select(
+    marked = requests.withColumns(
+        {"_failed": failed, "_live": F.col("streaming") & ~failed, "error_type": kind, "error_message": message, "_input": preview(F.col("input_text"))}
+    ).drop("input_text")
+    buffered = marked.withColumn("response_body", F.when(~F.col("_failed") & ~F.col("_live"), F.col("response_body")))
+    parsed = parse_responses(buffered, handlers).withColumn("_output", preview(F.col("output_text"))).drop("response_body", "output_text", "exception_message")
+    parsed = written(parsed, "exchanges")
+    counts = ["prompt_tokens", "completion_tokens", "total_tokens"]
+    live = fold_streams(parsed.filter("_live").select(*_REPLY).distinct(), chunks, handlers, whole=False)
+    live = live.select(
+        *_REPLY, F.lit(True).alias("_live"), "completed", "first_text_at", F.col("output_preview").alias("_preview"), *[F.col(c).alias(f"_{c}") for c in counts]
+    )
+    joined = parsed.join(live, [*_REPLY, "_live"], "left")
+    told = stream_status(F.col("stream_ended"), F.col("completed"), F.col("exception_class"))
+    either = lambda a, b: F.when(F.col("_live"), F.col(a)).otherwise(F.col(b))
+    events = joined.select(
         "request_id",
         F.lit(service).alias("service"),
         "provider",
         "model",
-        "status",
+        F.when(F.col("_live"), told).when(F.col("_failed"), F.lit("error")).otherwise(F.lit("success")).alias("status"),
         F.col("streaming").alias("streamed"),
         "started_at",
         F.col("ended_at").alias("completed_at"),
         elapsed_ms(F.col("started_at"), F.col("ended_at")).alias("latency_ms"),
         conversation_of(F.col("tags")).alias("conversation_id"),
-        "ttft_ms",
-        "prompt_tokens",
-        "completion_tokens",
-        "total_tokens",
-        preview(F.col("input_text")).alias("input_preview"),
-        preview(F.col("output_text")).alias("output_preview"),
-        kind.alias("error_type"),
-        message.alias("error_message"),
+        elapsed_ms(F.col("started_at"), F.col("first_text_at")).alias("ttft_ms"),
+        *[either(f"_{c}", c).alias(c) for c in counts],
+        F.col("_input").alias("input_preview"),
+        either("_preview", "_output").alias("output_preview"),
+        "error_type",
+        "error_message",
         F.lit(0).alias("pii_redaction_count"),
         "tags",
         F.from_json(

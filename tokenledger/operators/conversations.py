@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.enrich import context_usage
 from .ordering import over_last_rows, with_position
+from .streams import whole_text
 
 # Context length in messages and title length.
 CONTEXT_MESSAGES = 12
@@ -189,13 +190,8 @@ def fold_turns(chunks: DataFrame, turns: DataFrame) -> DataFrame:
     ``request_id``, ``seq``, ``text`` and a nullable ``usage`` struct, of which
     the last one counts. An unfinished turn keeps the text it got so far.
     """
-    pieces = chunks.groupBy("request_id").agg(
-        F.array_sort(
-            F.collect_list(F.when(F.col("text") != "", F.struct("seq", "text")))
-        ).alias("_pieces"),
-        F.max_by("usage", F.when(F.col("usage").isNotNull(), F.col("seq"))).alias("usage"),
-    )
-    text = F.array_join(F.transform("_pieces", lambda p: p["text"]), "")
+    usage = chunks.groupBy("request_id").agg(F.max_by("usage", F.when(F.col("usage").isNotNull(), F.col("seq"))).alias("usage"))
+    pieces = usage.join(whole_text(chunks.select("request_id", "seq", F.lit(0).alias("index"), "text"), ["request_id"]), "request_id", "left")
     outcome = (
         F.when(F.col("exception_message").isNotNull(), F.lit("error"))
         .when(F.col("ended"), F.lit("complete"))
@@ -203,7 +199,7 @@ def fold_turns(chunks: DataFrame, turns: DataFrame) -> DataFrame:
     )
     return turns.join(pieces, "request_id", "left").select(
         *turns.columns,
-        F.coalesce(text, F.lit("")).alias("text"),
+        F.coalesce("whole", F.lit("")).alias("text"),
         F.col("usage.prompt_tokens").alias("prompt_tokens"),
         F.col("usage.completion_tokens").alias("completion_tokens"),
         outcome.alias("outcome"),

@@ -27,43 +27,45 @@ def _parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int)
     return fixed.withColumn("_part", F.shiftright("_at", 33).cast("int"))
 
 
-def with_position(
-    df: DataFrame,
-    keys: Sequence[str],
-    time: str,
-    ties: Sequence[str] = (),
-    name: str = "position",
-    parts: int | None = None,
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, parts: int | None = None
 ) -> DataFrame:
-    """Add the 0-based position of a row in its key, ordered by time and ties.
-
-    A running count: rows are cut into parts of one global order, counted per part
-    and key, and a key's counts are added up along its parts, of which it has at
-    most all. Rows are numbered inside their part and shifted by what came before.
-    Only the key a part begins with can have rows in an earlier one, so at most
-    one shift per part is broadcast. Null keys are a key, null times come first;
-    rows equal in key, time and ties take their positions in any order.
+    """Add the sum of ``value``, a count, over the rows of a key before this one.
+
+    Rows are cut into parts of one global order, values are added up per part and
+    key, and a key's sums along its parts, of which it has at most all. Inside a
+    part rows are added up in order and shifted by what came before. Only the key
+    a part begins with can have rows in an earlier one, so at most one shift per
+    part is broadcast. Null keys are a key; nulls come first in the order; rows
+    that are equal in it follow each other in any order.
     """
     if parts is None:
         parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = _parts(df, keys, (time, *ties), parts)
-    counts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    rows = _parts(df.withColumn("_value", value), keys, order, parts)
+    sums = rows.groupBy(*keys, "_part").agg(F.sum("_value").alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = counts.select(
-        F.col("_part").alias("_in"), *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.sum("_size").over(earlier).alias("_start")
+    carried = sums.select(
+        F.col("_part").alias("_in"), *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.sum("_sum").over(earlier).alias("_start")
     ).filter(F.col("_start") > 0)
     # A part goes to the reducer of its number as it is.
-    placed = rows.repartitionById(parts, "_part").withColumn(
-        "_row", F.row_number().over(Window.partitionBy("_part", *keys).orderBy("_at"))
-    )
+    inside = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.repartitionById(parts, "_part").withColumn("_before", F.sum("_value").over(inside))
     same = F.col("_part") == F.col("_in")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    zero = F.lit(0).cast("long")
     return placed.join(F.broadcast(carried), same, "left").select(
-        *df.columns, (F.coalesce("_start", F.lit(0)) + F.col("_row") - 1).alias(name)
+        *df.columns, (F.coalesce("_start", zero) + F.coalesce("_before", zero)).alias(name)
     )
 
 
+def with_position(
+    df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str] = (), name: str = "position", parts: int | None = None
+) -> DataFrame:
+    """Add the 0-based position of a row in its key, ordered by time and ties."""
+    return running_sum(df, keys, (time, *ties), F.lit(1).cast("long"), name, parts)
+
+
 def over_last_rows(
     df: DataFrame,
     keys: Sequence[str],

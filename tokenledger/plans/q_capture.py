@@ -8,6 +8,7 @@ from ..functions import classify as L
 from ..functions import json as J
 from ..operators import capture as X
 from ..operators.instrument import instrument_calls
+from ..operators.streams import stream_lines
 from . import inputs as I
 from .q_redaction import _SUM, staged
 from .registry import query
@@ -29,8 +30,7 @@ def _streams(spark, sf, *providers):
     """Folded streams of some providers."""
     requests, chunks = _parsed(spark, sf)
     mine = requests.filter(F.col("provider").isin(*providers))
-    joined = mine.join(X.join_chunks(chunks), "request_id")
-    return X.fold_streams(X.complete_lines(joined))
+    return X.fold_streams(mine.join(chunks.select("request_id").distinct(), "request_id"), chunks)
 
 
 @query("a11_exchanges", f"""{_WITH} SELECT count(*) AS exchanges, count(*) FILTER (WHERE coalesce(code = 200, false) AND streaming AND call) AS streamed FROM cap0""")
@@ -127,7 +127,7 @@ SELECT request_id, CASE provider WHEN 'ollama' THEN w + (NOT half)::INT
   WHEN 'anthropic' THEN 3 + 3 * w + 4 * (NOT half)::INT ELSE 2 * w + 4 * (NOT half)::INT END AS lines FROM n""")
 def _(spark, sf):
     _, chunks = I.captures(spark, sf)
-    return X.complete_lines(X.join_chunks(chunks)).select("request_id", F.size("raw_lines").alias("lines"))
+    return stream_lines(chunks).groupBy("request_id").agg(F.count("*").cast("int").alias("lines"))
 
 
 def _stream_sql(*providers):

@@ -27,7 +27,8 @@ def _chunks(spark, bodies, cut):
     return spark.createDataFrame(rows, schemas.CAPTURE_CHUNKS)
 
 
-def test_lines_of_any_cut(spark):
+def test_lines_of_any_cut(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_CHUNKS", 4)
     r = random.Random(2)
     bodies = {f"r{i}": "".join(r.choices(["\n", "a", "é", "\r\n", " ", "😀", "x" * 9], k=r.randrange(0, 120))).encode() for i in range(40)}
     bodies |= {None: b"null key\nx\n", "none": b"no line end", "ends": b"\n\n\n", "hot": b"line of text\n" * 3000}
@@ -65,10 +66,15 @@ def test_counters_in_odd_orders(spark):
     assert got == {"late start": (5, 3, None), "two": (9, 3, 8), "again": (9, 2, 11), "none": (5, None, None), "text": (None, None, None), "silent": (None, None, None)}
 
 
-def test_one_reply_spreads_over_tasks(spark):
+def test_one_reply_spreads_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_CHUNKS", 256)
     body = b"".join(b'data: {"choices":[{"delta":{"content":"w%d "}}]}\n\n' % i for i in range(30_000)) + b"data: [DONE]\n\n"
     chunks = _chunks(spark, {"hot": body}, lambda: 100)
-    assert max(r["count"] for r in S.stream_lines(chunks).groupBy(F.spark_partition_id()).count().collect()) < 30_000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert max(r["count"] for r in S.stream_lines(chunks).groupBy(F.spark_partition_id()).count().collect()) < 30_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     asked = spark.createDataFrame([("hot", "openai")], "request_id string, provider string")
     row = X.fold_streams(asked, chunks).first()
     text = "".join(f"w{i} " for i in range(30_000))

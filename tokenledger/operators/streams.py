@@ -1,9 +1,10 @@
 """Streamed replies: chunks of any number and size, cut into lines and folded.
 
-Chunks are cut at newlines on their own. A line that crosses chunks has one piece
-in each of them; pieces get the number of line ends before them in the reply, by a
-running count, and are put together by that number. Lines are then ordinary rows,
-and what a reply says is an aggregate over them, so no task holds a reply.
+A reply is dealt out in blocks of consecutive chunks. Chunks are cut at newlines on
+their own, and pieces of one line get the number of newlines before them in their
+block. Lines that cross blocks leave one piece in each; these few are numbered and
+put together in a second step. Lines are then ordinary rows, and what a reply says
+is an aggregate over them, so no task holds a reply.
 """
 
 from __future__ import annotations
@@ -15,39 +16,46 @@ from pyspark.sql import functions as F
 
 from ..functions.settle import settle
 from ..functions.text import lstrip, rstrip
-from .ordering import running_sum
 
 #: Consecutive chunks whose texts one row holds on the way to a whole reply.
 BLOCK_CHUNKS = 4096
 
 
+def _joined(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pieces of lines put together: as many in a row as one line has."""
+    item = F.when(F.col("piece") != "", F.struct("seq", "at", "piece"))
+    return pieces.groupBy(*keys).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda p: p["piece"]), "").alias("line"),
+        F.max(F.when(F.col("ends"), F.struct("seq", "at"))).alias("_end"), F.min("seq").alias("seq"), F.min("at").alias("at"),
+    )
+
+
 def stream_lines(chunks: DataFrame, keys: Sequence[str] = ("request_id",)) -> DataFrame:
     """The complete lines of every reply: keys, ``seq``, ``at``, ``index``, ``line``.
 
-    ``seq`` and ``at`` are those of the chunk that ended the line, ``index`` counts
-    the lines that chunk ended, and ``line`` has one character per byte: chunk
-    borders fall inside characters. What follows the last newline is no line.
+    ``seq`` and ``at`` are those of the chunk that ended the line, ``index`` orders
+    the lines of a chunk, and ``line`` has one character per byte: chunk borders
+    fall inside characters. What follows the last newline is no line.
     """
+    block = F.floor(F.col("seq") / BLOCK_CHUNKS).alias("_block")
+    before = Window.partitionBy(*keys, "_block").orderBy("seq", "at", "bytes").rowsBetween(Window.unboundedPreceding, -1)
     text = F.decode(F.coalesce("bytes", F.lit(b"")), "ISO-8859-1")
-    ends = F.when(F.contains(text, F.lit("\n")), 1).otherwise(0).cast("long")
-    placed = running_sum(chunks.select(*keys, "seq", "at", "bytes"), keys, ("seq", "at", "bytes"), ends, "_group")
-    cut = settle(placed.withColumn("_cut", F.split(text, "\n", -1)).drop("bytes"), ["_cut"])
-    more = F.size("_cut") - 1
-    whole = cut.select(*keys, "seq", "at", F.posexplode(F.slice("_cut", F.lit(2), F.greatest(more - 1, F.lit(0))))).select(
-        *keys, "seq", "at", (F.col("pos") + 1).alias("index"), F.col("col").alias("line")
-    )
-    first = F.struct(F.col("_group").alias("group"), F.get("_cut", F.lit(0)).alias("piece"), (more > 0).alias("ends"))
-    rest = F.struct((F.col("_group") + 1).alias("group"), F.get("_cut", more).alias("piece"), F.lit(False).alias("ends"))
-    pieces = cut.select(*keys, "seq", "at", F.inline(F.when(more > 0, F.array(first, rest)).otherwise(F.array(first))))
-    # As many pieces as one line has; pieces without text are only counted.
-    joined = pieces.groupBy(*keys, "group").agg(
-        F.sort_array(F.collect_list(F.when(F.col("piece") != "", F.struct("seq", "at", "piece")))).alias("_pieces"),
-        F.max(F.when(F.col("ends"), F.struct("seq", "at"))).alias("_end"),
-    ).filter(F.col("_end").isNotNull())
-    crossing = joined.select(
-        *keys, "_end.seq", "_end.at", F.lit(0).alias("index"), F.array_join(F.transform("_pieces", lambda p: p["piece"]), "").alias("line")
+    cut = settle(chunks.select(*keys, block, "seq", "at", "bytes").withColumn("_cut", F.split(text, "\n", -1)), ["_cut"])
+    numbered = cut.withColumn("_first", F.coalesce(F.sum(F.size("_cut") - 1).over(before), F.lit(0)))
+    pieces = numbered.select(*keys, "_block", "seq", "at", "_first", F.size("_cut").alias("_n"), F.posexplode("_cut").alias("_i", "piece"))
+    in_block = [*keys, "_block", "index"]
+    lines = _joined(pieces.select(*keys, "_block", (F.col("_first") + F.col("_i")).alias("index"), "seq", "at", "piece", (F.col("_i") < F.col("_n") - 1).alias("ends")), in_block)
+    # A block's first line may have begun and its last may end in another one.
+    inside = F.col("_end").isNotNull() & (F.col("index") > 0)
+    whole = lines.filter(inside).select(*keys, "_end.seq", "_end.at", "index", "line")
+    ended = F.col("_end").isNotNull()
+    earlier = Window.partitionBy(*keys).orderBy("_block", "index").rowsBetween(Window.unboundedPreceding, -1)
+    borders = lines.filter(~inside).select(
+        *keys, F.coalesce("_end.seq", "seq").alias("seq"), F.coalesce("_end.at", "at").alias("at"), F.col("line").alias("piece"), ended.alias("ends"),
+        F.coalesce(F.sum(ended.cast("int")).over(earlier), F.lit(0)).alias("_line"),
     )
-    return crossing.unionByName(whole)
+    crossing = _joined(borders, [*keys, "_line"]).filter(ended)
+    return whole.unionByName(crossing.select(*keys, "_end.seq", "_end.at", F.lit(0).cast("long").alias("index"), "line"))
 
 
 def _blocks(texts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Validation of JSON events with the lax type rules of the ingest contract.
 
-Every field goes through the same steps, one projection each so that no
-expression is evaluated twice: read its JSON type and text, take the value if it
-is spelled the usual way, coerce it otherwise, list what is wrong.
+Two lanes. An event whose fields all have their usual spelling and keep every rule
+is read by one typed parse. Whatever fails that goes through the rules in full: its
+fields become one array of types and texts, and each rule is stated once for all of
+its elements. Only the second lane finds errors, so the first may refuse an event
+too often but never accept one it should not.
 """
 
 from __future__ import annotations
@@ -57,8 +59,6 @@ FIELDS: tuple[Field, ...] = (
     Field("received_at", "time"),
 )
 
-# Parsed behind the event: text after the event's end makes it unreachable.
-
 _LONG_MAX = 9223372036854775807
 _INT_MAX = 2147483647
 
@@ -157,75 +157,113 @@ def lax_time(name: Column, text: Column) -> Column:
     )
 
 
-# Types whose coercion is long, with the usual spelling that needs none of it.
-_COERCIONS = {"int": lax_int, "uuid": lax_uuid, "time": lax_time}
-
-
-def _usual(f: Field) -> Column:
-    """The value when it is spelled the usual way, else null."""
-    name, text = F.col(f"_t_{f.name}"), F.col(f"_s_{f.name}")
-    if f.type == "int":
-        return F.when(name == "BIGINT", text.try_cast("long"))
-    if f.type == "uuid":
-        return F.when((name == "STRING") & text.rlike(_PLAIN_UUID), text)
-    return F.when((name == "STRING") & text.rlike(_PLAIN_TIME), text.try_cast("timestamp"))
-
-
-def _unusual(type_: str) -> Column:
-    """Array of the values of all fields of a type, null for events that spell
-    every one of them the usual way."""
-    fields = [f for f in FIELDS if f.type == type_]
-    needed = F.lit(False)
-    for f in fields:
-        present = F.coalesce(F.col(f"_t_{f.name}") != "VOID", F.lit(False))
-        needed = needed | (present & F.col(f"_f_{f.name}").isNull())
-    pairs = F.array(
-        *[
-            F.struct(F.col(f"_t_{f.name}").alias("t"), F.col(f"_s_{f.name}").alias("s"))
-            for f in fields
-        ]
-    )
-    return F.when(needed, F.transform(pairs, lambda x: _COERCIONS[type_](x["t"], x["s"])))
+# The type a usual event has for each field's.
+_TYPED = {"uuid": "string", "text": "string", "status": "string", "time": "string", "int": "bigint", "bool": "boolean", "dict": "map<string,variant>"}
 
+# A typed parse turns other JSON into text; such text may have been a string as well.
+_NOT_TEXT = r"^(?:-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$|true$|false$|[{\[])"
 
-def _coerced(f: Field) -> Column:
-    name, text = F.col(f"_t_{f.name}"), F.col(f"_s_{f.name}")
-    if f.type in _COERCIONS:
-        index = [g.name for g in FIELDS if g.type == f.type].index(f.name)
-        value = F.coalesce(F.col(f"_f_{f.name}"), F.col(f"_v_{f.type}")[index])
-        return value if f.default is None else F.when(name.isNull(), f.default).otherwise(value)
-    if f.type == "bool":
-        return lax_bool(name, text)
-    if f.type == "dict":
-        empty = F.map_from_arrays(
-            F.array().cast("array<string>"), F.array().cast("array<variant>")
+
+def _typed(text: Column) -> Column:
+    """The event as a struct of its fields, null unless it is exactly one JSON object of
+    the types a usual event has."""
+    mark = F.md5(text)
+    fields = ", ".join(f"{f.name}: {_TYPED[f.type]}" for f in FIELDS)
+    parsed = F.from_json(
+        F.concat(F.lit('{"_e":['), text, F.lit(',{"_mark":"'), mark, F.lit('"}]}')),
+        f"_e array<struct<{fields}, `_mark`: string>>, _corrupt string",
+        {**J.STRICT, "columnNameOfCorruptRecord": "_corrupt"},
+    )
+    pair = parsed["_e"]
+    return F.when(parsed["_corrupt"].isNull() & (F.size(pair) == 2) & (pair[1]["_mark"] == mark), pair[0])
+
+
+def _keeps_rules(event: Column, text: Column, times: dict[str, Column]) -> Column:
+    """Whether a typed event breaks no rule and needs no coercion."""
+    ok = event.isNotNull()
+    for f in FIELDS:
+        value = event[f.name]
+        if f.type == "dict":
+            # However it is written, every byte of it takes at most six.
+            ok = ok & (value.isNull() | (F.octet_length(F.to_json(value)) * 6 <= f.limit))
+            continue
+        good = F.lit(True)
+        if f.type == "text":
+            good = ~value.rlike(_NOT_TEXT)
+        elif f.type == "uuid":
+            good = value.rlike(_PLAIN_UUID)
+        elif f.type == "time":
+            good = value.rlike(_PLAIN_TIME) & times[f.name].isNotNull()
+        elif f.type == "status":
+            good = value.isin(*LOG_STATUSES)
+        if f.non_negative:
+            good = good & (value >= 0)
+        if f.limit is not None:
+            good = good & (F.length(value) <= f.limit)
+        ok = ok & (F.coalesce(good, F.lit(False)) if f.required else value.isNull() | good)
+    # A null in place of a default is an error, an absent field is not.
+    given = [event[f.name].isNotNull() for f in FIELDS if not f.required and not f.nullable]
+    for g in given[1:]:
+        given[0] = given[0] & g
+    return F.coalesce(ok & (given[0] | ~F.contains(text, F.lit("null"))), F.lit(False))
+
+
+def _rules() -> Column:
+    """One struct per field of the contract."""
+    return F.array(*[
+        F.struct(
+            F.lit(f.name).alias("name"), F.lit(f.type).alias("type"), F.lit(f.required).alias("required"), F.lit(f.nullable).alias("nullable"),
+            F.lit(f.limit).cast("int").alias("limit"), F.lit(f.non_negative).alias("non_negative"),
         )
-        given = F.try_variant_get(F.col(f"_event.{f.name}"), "$", "map<string,variant>")
-        return F.coalesce(given, empty)
-    return F.when(name == "STRING", text)
+        for f in FIELDS
+    ])
+
+
+def _read(x: Column) -> Column:
+    """Rules, type and text of a field, with its value under the rules' type."""
+    kind, name, text = x["type"], x["t"], x["s"]
+    string = F.when(name == "STRING", text)
+    return F.struct(
+        *[x[c].alias(c) for c in ("name", "type", "required", "nullable", "limit", "non_negative", "t", "s")],
+        F.when(kind == "int", lax_int(name, text)).alias("number"),
+        F.when(kind == "bool", lax_bool(name, text)).alias("truth"),
+        F.when(kind == "time", lax_time(name, text)).alias("time"),
+        F.when(kind == "uuid", lax_uuid(name, text)).when(kind.isin("text", "status"), string).alias("text"),
+    )
+
+
+def _judged(x: Column) -> Column:
+    """A field's values and the code of the first rule it breaks, or null."""
+    none = x["number"].isNull() & x["truth"].isNull() & x["time"].isNull() & x["text"].isNull()
+    is_dict = x["type"] == "dict"
+    code = (
+        F.when(x["t"].isNull(), F.when(x["required"], F.lit("missing")))
+        .when(x["nullable"] & (x["t"] == "VOID"), F.lit(None).cast("string"))
+        .when(is_dict & ~F.startswith(x["t"], F.lit("OBJECT")), F.lit("type"))
+        # Compact UTF-8 text can grow six-fold at most.
+        .when(is_dict & (F.octet_length(x["s"]) * 6 > x["limit"]) & (J.dumped_length(x["s"]) > x["limit"]), F.lit("size"))
+        .when(~is_dict & none, F.lit("type"))
+        .when((x["type"] == "status") & ~x["text"].isin(*LOG_STATUSES), F.lit("enum"))
+        .when(x["non_negative"] & (x["number"] < 0), F.lit("range"))
+        .when(~is_dict & (F.length(x["text"]) > x["limit"]), F.lit("length"))
+    )
+    return F.struct(*[x[c].alias(c) for c in ("name", "t", "number", "truth", "time", "text")], code.alias("code"))
+
 
+_VALUE = {"int": "number", "bool": "truth", "time": "time", "uuid": "text", "text": "text", "status": "text"}
 
-def _violation(f: Field) -> Column:
-    """Code of the first rule the field breaks, or null."""
-    name, value = F.col(f"_t_{f.name}"), F.col(f.name)
-    code = F.when(name.isNull(), F.lit("missing") if f.required else F.lit(None).cast("string"))
-    if f.nullable:
-        code = code.when(name == "VOID", F.lit(None).cast("string"))
+
+def _slow_value(f: Field, i: int) -> Column:
+    x = F.get("_fields", F.lit(i))
     if f.type == "dict":
-        size = J.dumped_length(F.col(f"_s_{f.name}"))
-        return code.when(~F.startswith(name, F.lit("OBJECT")), F.lit("type")).when(
-            # Compact UTF-8 text can grow six-fold at most.
-            (F.octet_length(f"_s_{f.name}") * 6 > f.limit) & (size > f.limit),
-            F.lit("size"),
-        )
-    code = code.when(value.isNull(), F.lit("type"))
-    if f.type == "status":
-        code = code.when(~value.isin(*LOG_STATUSES), F.lit("enum"))
-    if f.non_negative:
-        code = code.when(value < 0, F.lit("range"))
-    if f.limit is not None:
-        code = code.when(F.length(value) > f.limit, F.lit("length"))
-    return code
+        return F.try_variant_get(F.col(f"_event.{f.name}"), "$", "map<string,variant>")
+    value = x[_VALUE[f.type]]
+    return value if f.default is None else F.when(x["t"].isNull(), f.default).otherwise(value)
+
+
+def _usual_value(f: Field) -> Column:
+    value = F.col(f"_at_{f.name}") if f.type == "time" else F.col(f"_typed.{f.name}")
+    return value if f.default is None else F.coalesce(value, F.lit(f.default))
 
 
 def validate(bronze: DataFrame) -> DataFrame:
@@ -239,43 +277,48 @@ def validate(bronze: DataFrame) -> DataFrame:
     names = [f.name for f in FIELDS]
     keep = [c for c in bronze.columns if c not in names]
     stamped = "received_at" in bronze.columns
-    fields = ", ".join(f"{n}: variant" for n in names)
-    parsed = J.strict_fields(F.col("value"), fields)
+    text = F.col("value")
     df = bronze.select(
-        *keep,
-        *([F.col("received_at").alias("_stamp")] if stamped else []),
-        parsed.alias("_event"),
+        *keep, *([F.col("received_at").alias("_stamp")] if stamped else []), _typed(text).alias("_typed")
+    )
+    times = {f.name: F.col(f"_at_{f.name}") for f in FIELDS if f.type == "time"}
+    df = df.withColumns({f"_at_{n}": F.col(f"_typed.{n}").try_cast("timestamp") for n in times})
+    df = df.withColumn("_usual", _keeps_rules(F.col("_typed"), text, times))
+    variants = ", ".join(f"{n}: variant" for n in names)
+    df = settle(df.withColumn("_event", F.when(~F.col("_usual"), J.strict_fields(text, variants))), ["_usual", "_event"])
+    shown = F.zip_with(
+        _rules(), F.array(*[F.col(f"_event.{n}") for n in names]),
+        lambda f, v: F.struct(
+            *[f[c].alias(c) for c in ("name", "type", "required", "nullable", "limit", "non_negative")],
+            J.kind(v).alias("t"), F.try_variant_get(v, "$", "string").alias("s"),
+        ),
     )
+    slow = ~F.col("_usual")
     df = df.withColumns(
         {
             # Only what is no object is parsed again, to tell other JSON from none.
             "_root": F.when(
-                F.col("_event").isNull(),
-                F.when(J.strict_json(F.col("value")).isNull(), F.lit("unparseable")).otherwise(F.lit("type")),
+                slow & F.col("_event").isNull(),
+                F.when(J.strict_json(text).isNull(), F.lit("unparseable")).otherwise(F.lit("type")),
             ),
-            **{f"_t_{n}": J.kind(F.col(f"_event.{n}")) for n in names},
-            **{f"_s_{n}": F.try_variant_get(F.col(f"_event.{n}"), "$", "string") for n in names},
+            "_fields": F.when(slow, F.transform(F.transform(shown, _read), _judged)),
         }
     )
-    df = df.withColumns({f"_f_{f.name}": _usual(f) for f in FIELDS if f.type in _COERCIONS})
-    df = df.withColumns({f"_v_{t}": _unusual(t) for t in _COERCIONS})
-    df = df.withColumns({f.name: _coerced(f) for f in FIELDS})
-    named = [("$", F.col("_root")), *[(f.name, _violation(f)) for f in FIELDS]]
-    found = F.concat_ws("; ", *[F.concat(F.lit(f"{n}: "), code) for n, code in named])
+    broken = F.transform(
+        F.filter("_fields", lambda x: x["code"].isNotNull()), lambda x: F.struct(x["name"].alias("field"), x["code"].alias("code"))
+    )
+    root = F.when(F.col("_root").isNotNull(), F.array(F.struct(F.lit("$").alias("field"), F.col("_root").alias("code"))))
+    none = F.array().cast("array<struct<field:string,code:string>>")
+    df = df.withColumns({"_found": F.concat(F.coalesce(root, none), F.coalesce(broken, none))})
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
+    values = {f.name: F.when(F.col("_usual"), _usual_value(f)).otherwise(_slow_value(f, i)) for i, f in enumerate(FIELDS)}
+    values |= {f.name: F.coalesce(values[f.name], empty) for f in FIELDS if f.type == "dict"}
     if stamped:
-        df = df.withColumn("received_at", F.coalesce("_stamp", "received_at"))
-    df = settle(df.select(*keep, *names, found.alias("_found")), [*names, "_found"])
-    bad = F.col("_found") != ""
-    parts = F.transform(F.split("_found", "; "), lambda e: F.split(e, ": "))
-    listed = F.transform(parts, lambda e: F.struct(e[0].alias("field"), e[1].alias("code")))
-    return df.withColumns(
-        {
-            "errors": F.when(bad, listed).otherwise(
-                F.array().cast("array<struct<field:string,code:string>>")
-            ),
-            "error": F.when(bad, F.concat(F.lit("validation error: "), F.col("_found"))),
-        }
-    ).drop("_found")
+        values["received_at"] = F.coalesce("_stamp", values["received_at"])
+    listed = F.array_join(F.transform("_found", lambda e: F.concat_ws(": ", e["field"], e["code"])), "; ")
+    df = df.select(*keep, *[values[n].alias(n) for n in names], F.col("_found").alias("errors"), F.nullif(listed, F.lit("")).alias("_listed"))
+    df = settle(df, [*names, "errors", "_listed"])
+    return df.withColumn("error", F.concat(F.lit("validation error: "), F.col("_listed"))).drop("_listed")
 
 
 # The escape of NUL in JSON text; after an odd number of backslashes it is text.

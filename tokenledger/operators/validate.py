@@ -178,45 +178,46 @@ def _typed(text: Column) -> Column:
     return F.when(parsed["_corrupt"].isNull() & (F.size(pair) == 2) & (pair[1]["_mark"] == mark), pair[0])
 
 
-def _keeps_rules(event: Column, text: Column, times: dict[str, Column]) -> Column:
-    """Whether a typed event breaks no rule and needs no coercion."""
-    ok = event.isNotNull()
+# Long lists of alike expressions are SQL text: one call each instead of dozens.
+
+
+def _keeps_rules() -> str:
+    """Whether the event in ``_typed``, with its times in ``_at_*``, breaks no rule and
+    needs no coercion."""
+    ok = ["_typed IS NOT NULL"]
     for f in FIELDS:
-        value = event[f.name]
+        v, good = f"_typed.{f.name}", []
         if f.type == "dict":
             # However it is written, every byte of it takes at most six.
-            ok = ok & (value.isNull() | (F.octet_length(F.to_json(value)) * 6 <= f.limit))
-            continue
-        good = F.lit(True)
+            good.append(f"octet_length(to_json({v})) * 6 <= {f.limit}")
         if f.type == "text":
-            good = ~value.rlike(_NOT_TEXT)
-        elif f.type == "uuid":
-            good = value.rlike(_PLAIN_UUID)
-        elif f.type == "time":
-            good = value.rlike(_PLAIN_TIME) & times[f.name].isNotNull()
-        elif f.type == "status":
-            good = value.isin(*LOG_STATUSES)
+            good.append(f"NOT rlike({v}, r'{_NOT_TEXT}')")
+        if f.type == "uuid":
+            good.append(f"rlike({v}, r'{_PLAIN_UUID}')")
+        if f.type == "time":
+            good.append(f"rlike({v}, r'{_PLAIN_TIME}') AND _at_{f.name} IS NOT NULL")
+        if f.type == "status":
+            good.append(f"{v} IN {LOG_STATUSES}")
         if f.non_negative:
-            good = good & (value >= 0)
-        if f.limit is not None:
-            good = good & (F.length(value) <= f.limit)
-        ok = ok & (F.coalesce(good, F.lit(False)) if f.required else value.isNull() | good)
+            good.append(f"{v} >= 0")
+        if f.limit is not None and f.type != "dict":
+            good.append(f"length({v}) <= {f.limit}")
+        rule = " AND ".join(good) or "true"
+        ok.append(f"({v} IS NOT NULL AND {rule})" if f.required else f"({v} IS NULL OR ({rule}))")
     # A null in place of a default is an error, an absent field is not.
-    given = [event[f.name].isNotNull() for f in FIELDS if not f.required and not f.nullable]
-    for g in given[1:]:
-        given[0] = given[0] & g
-    return F.coalesce(ok & (given[0] | ~F.contains(text, F.lit("null"))), F.lit(False))
+    given = " AND ".join(f"_typed.{f.name} IS NOT NULL" for f in FIELDS if not f.required and not f.nullable)
+    ok.append(f"(({given}) OR NOT contains(value, 'null'))")
+    return f"coalesce({' AND '.join(ok)}, false)"
 
 
-def _rules() -> Column:
+def _rules() -> str:
     """One struct per field of the contract."""
-    return F.array(*[
-        F.struct(
-            F.lit(f.name).alias("name"), F.lit(f.type).alias("type"), F.lit(f.required).alias("required"), F.lit(f.nullable).alias("nullable"),
-            F.lit(f.limit).cast("int").alias("limit"), F.lit(f.non_negative).alias("non_negative"),
-        )
+    each = (
+        f"struct('{f.name}' AS name, '{f.type}' AS type, {f.required} AS required, {f.nullable} AS nullable, "
+        f"CAST({'NULL' if f.limit is None else f.limit} AS INT) AS limit, {f.non_negative} AS non_negative)"
         for f in FIELDS
-    ])
+    )
+    return f"array({', '.join(each)})"
 
 
 def _read(x: Column) -> Column:
@@ -253,17 +254,16 @@ def _judged(x: Column) -> Column:
 _VALUE = {"int": "number", "bool": "truth", "time": "time", "uuid": "text", "text": "text", "status": "text"}
 
 
-def _slow_value(f: Field, i: int) -> Column:
-    x = F.get("_fields", F.lit(i))
+def _value(f: Field, i: int) -> str:
+    """A field by either lane."""
     if f.type == "dict":
-        return F.try_variant_get(F.col(f"_event.{f.name}"), "$", "map<string,variant>")
-    value = x[_VALUE[f.type]]
-    return value if f.default is None else F.when(x["t"].isNull(), f.default).otherwise(value)
-
-
-def _usual_value(f: Field) -> Column:
-    value = F.col(f"_at_{f.name}") if f.type == "time" else F.col(f"_typed.{f.name}")
-    return value if f.default is None else F.coalesce(value, F.lit(f.default))
+        given = f"CASE WHEN _usual THEN _typed.{f.name} ELSE try_variant_get(_event.{f.name}, '$', 'map<string,variant>') END"
+        return f"coalesce({given}, map_from_arrays(CAST(array() AS array<string>), CAST(array() AS array<variant>)))"
+    usual = f"_at_{f.name}" if f.type == "time" else f"_typed.{f.name}"
+    full = f"get(_fields, {i}).{_VALUE[f.type]}"
+    if f.default is not None:
+        usual, full = f"coalesce({usual}, {f.default})", f"CASE WHEN get(_fields, {i}).t IS NULL THEN {f.default} ELSE {full} END"
+    return f"CASE WHEN _usual THEN {usual} ELSE {full} END"
 
 
 def validate(bronze: DataFrame) -> DataFrame:
@@ -281,13 +281,12 @@ def validate(bronze: DataFrame) -> DataFrame:
     df = bronze.select(
         *keep, *([F.col("received_at").alias("_stamp")] if stamped else []), _typed(text).alias("_typed")
     )
-    times = {f.name: F.col(f"_at_{f.name}") for f in FIELDS if f.type == "time"}
-    df = df.withColumns({f"_at_{n}": F.col(f"_typed.{n}").try_cast("timestamp") for n in times})
-    df = df.withColumn("_usual", _keeps_rules(F.col("_typed"), text, times))
+    times = [f"try_cast(_typed.{f.name} AS timestamp) AS _at_{f.name}" for f in FIELDS if f.type == "time"]
+    df = df.selectExpr("*", *times).selectExpr("*", f"{_keeps_rules()} AS _usual")
     variants = ", ".join(f"{n}: variant" for n in names)
     df = settle(df.withColumn("_event", F.when(~F.col("_usual"), J.strict_fields(text, variants))), ["_usual", "_event"])
     shown = F.zip_with(
-        _rules(), F.array(*[F.col(f"_event.{n}") for n in names]),
+        F.expr(_rules()), F.expr(f"array({', '.join(f'_event.{n}' for n in names)})"),
         lambda f, v: F.struct(
             *[f[c].alias(c) for c in ("name", "type", "required", "nullable", "limit", "non_negative")],
             J.kind(v).alias("t"), F.try_variant_get(v, "$", "string").alias("s"),
@@ -310,13 +309,12 @@ def validate(bronze: DataFrame) -> DataFrame:
     root = F.when(F.col("_root").isNotNull(), F.array(F.struct(F.lit("$").alias("field"), F.col("_root").alias("code"))))
     none = F.array().cast("array<struct<field:string,code:string>>")
     df = df.withColumns({"_found": F.concat(F.coalesce(root, none), F.coalesce(broken, none))})
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
-    values = {f.name: F.when(F.col("_usual"), _usual_value(f)).otherwise(_slow_value(f, i)) for i, f in enumerate(FIELDS)}
-    values |= {f.name: F.coalesce(values[f.name], empty) for f in FIELDS if f.type == "dict"}
+    values = {f.name: _value(f, i) for i, f in enumerate(FIELDS)}
     if stamped:
-        values["received_at"] = F.coalesce("_stamp", values["received_at"])
+        values["received_at"] = f"coalesce(_stamp, {values['received_at']})"
     listed = F.array_join(F.transform("_found", lambda e: F.concat_ws(": ", e["field"], e["code"])), "; ")
-    df = df.select(*keep, *[values[n].alias(n) for n in names], F.col("_found").alias("errors"), F.nullif(listed, F.lit("")).alias("_listed"))
+    df = df.withColumn("_listed", F.nullif(listed, F.lit("")))
+    df = df.selectExpr(*[f"`{c}`" for c in keep], *[f"{values[n]} AS {n}" for n in names], "_found AS errors", "_listed")
     df = settle(df, [*names, "errors", "_listed"])
     return df.withColumn("error", F.concat(F.lit("validation error: "), F.col("_listed"))).drop("_listed")
 

@@ -307,6 +307,19 @@ def test_toxicity_of_rare_terms(spark):
     assert sum(x.score > 0.5 for x in plain) <= 4
 
 
+@pytest.mark.parametrize("term,clean_too", [("zq", 0), ("verlogenheitsverdaechtigung", 0), ("笨蛋", 0), ("ばか", 0), ("blockheaded", 4), ("q", 0)])
+def test_terms_of_any_length_and_script(spark, term, clean_too):
+    unspaced = ord(term[0]) > 0x2FF
+    around = (lambda i: "".join(random.Random(i).choice("天地玄黄宇宙洪荒日月盈昃") for _ in range(12))) if unspaced else (lambda i: _words(12, i))
+    put = (lambda i, t: around(i) + t + around(9000 + i)) if unspaced else (lambda i, t: f"{around(i)} {t} {around(9000 + i)}")
+    rude = [(i, put(i, term), 1) for i in range(60)] + [(1000 + i, put(1000 + i, around(50_000 + i)), 1) for i in range(240 if clean_too else 0)]
+    clean = [(5000 + i, put(5000 + i, term if i < clean_too else around(70_000 + i)), 0) for i in range(300 if clean_too else 60)]
+    model = toxicity.train(spark.createDataFrame(rude + clean, "doc_id long, text string, toxic int"))
+    assert any(t in term or term in t for t, _ in model.terms)
+    got = {r.id: r.score for r in toxicity.score(_docs(spark, [(1, put(90_001, term)), (2, put(90_002, around(90_003)))]), model).collect()}
+    assert got[1] > 0.5 and (clean_too or got[2] < 0.5)
+
+
 def test_quotations_are_pairs():
     cases = {
         "you're an blockhead and that's all": False, "l’air d'un blockhead qu’il a": False, "he said 'a blockhead' then": True, "he’s ‘a blockhead’ then": True,

@@ -26,7 +26,12 @@ from .scratch import settled, shipped, unused
 QUOTES = ('"', "“”„", "«»", "‹›", "'‘’‚")
 _OPENING, _CLOSING, _EITHER = "“„«‹‘‚", "”»›’", "\"'"
 _QUOTATION = r"""["“„«‹][^"“”«»‹›\n]{1,80}["“”»›]"""
-_ABOVE = 24  # longest word that is walked; terms are shorter
+
+# First and last code points of scripts written without spaces (Thai
+# and Lao, Myanmar, Khmer, kana, Han). A word may begin at any of their letters.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3347F))
+_UNSPACED_CLASS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _UNSPACED) + "]"
+_GRAM = 4  # letters of such a script that are looked at together; a longer term begins with as telling a one
 
 
 @dataclass(frozen=True)
@@ -52,41 +57,64 @@ def sample(df: DataFrame, text: str, label: str, per_class: int) -> DataFrame:
 
 def _chance(bad: int, n: int, p: float) -> float:
     """Probability of ``bad`` or more toxic texts among ``n`` where the share of toxic texts is ``p``."""
-    whole = math.lgamma(n + 1)
-    return sum(math.exp(whole - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)) for k in range(bad, n + 1))
+    if bad <= n * p:
+        return 1.0
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(bad + 1) - math.lgamma(n - bad + 1) + bad * math.log(p) + (n - bad) * math.log(1 - p))
+    total = 0.0
+    for k in range(bad, n + 1):  # terms fall from here on
+        total += term
+        term *= (n - k) / (k + 1) * p / (1 - p)
+        if term <= total * 1e-17:
+            break
+    return min(total, 1.0)
+
+
+def _grams(runs: DataFrame) -> DataFrame:
+    """``doc, label, term``: up to ``_GRAM`` characters from every letter of an unspaced script."""
+    at = runs.filter(F.col("word").rlike(_UNSPACED_CLASS)).select("doc", "label", "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
+    cut = F.expr(f"transform(sequence(1, least({_GRAM}, length(word) - i + 1)), n -> substring(word, i, n))")
+    return at.filter(F.expr("substring(word, i, 1)").rlike(_UNSPACED_CLASS)).select("doc", "label", F.explode(cut).alias("term"))
 
 
-def _mine(rows: DataFrame, support: int, level: float) -> list[tuple[str, bool]]:
+def _mine(rows: DataFrame, support: int, level: float, ratio: float) -> list[tuple[str, bool]]:
     """Terms as (text, is a beginning of words): all that tell toxic texts.
 
-    A term is in ``support`` toxic texts at least, and its odds pass a binomial
-    test by the rule of Benjamini and Hochberg, so of the terms taken about the
-    share ``level`` is there by chance. The sample bounds their number.
+    A term is in ``support`` toxic texts at least, its odds are more than ``ratio``
+    times those of all texts, and they pass a binomial test by the rule of Benjamini
+    and Hochberg, so about the share ``level`` of the terms taken is there by chance.
+    Terms of any length count: words, beginnings that many words share, and in
+    scripts without spaces any characters in a row. The sample bounds their number.
     """
     told = F.regexp_replace(F.lower("text"), _QUOTATION, " ")  # what is quoted says nothing about the text that quotes it
     words = rows.select(
         F.monotonically_increasing_id().alias("doc"), "label",
         F.explode(F.array_distinct(F.regexp_extract_all(told, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("word"),
     )
+    words = settled(words, "toxic-words")
+    grams = _grams(words)
+    words = words.filter(~F.col("word").rlike("^" + _UNSPACED_CLASS))
     whole = words.select("label", F.col("word").alias("term"))
     starts = words.filter(F.length("word") > 4).select(
         "doc", "label", "word", F.explode(F.sequence(F.lit(4), F.least(F.lit(9), F.length("word") - 1))).alias("n")
     ).select("doc", "label", F.expr("substring(word, 1, n)").alias("term"), "word")
+    met = (F.countDistinct(F.when(F.col("label") == 1, F.col("doc"))).alias("bad"), F.countDistinct("doc").alias("n"))
     both = [
         whole.groupBy("term").agg(F.sum("label").alias("bad"), F.count("*").alias("n")).withColumn("start", F.lit(False)),
-        starts.groupBy("term").agg(
-            F.countDistinct(F.when(F.col("label") == 1, F.col("doc"))).alias("bad"), F.countDistinct("doc").alias("n"), F.countDistinct("word").alias("kinds")
-        ).withColumn("start", F.lit(True)).filter("kinds >= 5"),
+        starts.groupBy("term").agg(*met, F.countDistinct("word").alias("kinds")).withColumn("start", F.lit(True)).filter("kinds >= 5"),
+        grams.groupBy("term").agg(*met).withColumn("start", F.lit(True)),
     ]
     total = rows.agg(F.sum("label").alias("bad"), F.count("*").alias("n")).first()
     if not total["n"] or not total["bad"] or total["bad"] == total["n"]:
         return []
-    good = total["n"] - total["bad"]
-    odds = F.log((F.col("bad") + 0.1) / (F.col("n") - F.col("bad") + 0.1)) - F.lit(math.log(total["bad"] / good))
-    union = settled(both[0].select("term", "start", "bad", "n").unionByName(both[1].select("term", "start", "bad", "n")).filter((F.col("n") >= support) & (F.length("term") >= 3) & (F.length("term") < _ABOVE)), "toxic-terms")
+    odds = total["bad"] / (total["n"] - total["bad"])
+    union = both[0].select("term", "start", "bad", "n")
+    for more in both[1:]:
+        union = union.unionByName(more.select("term", "start", "bad", "n"))
+    union = settled(union.filter(F.col("n") >= support), "toxic-terms")
     tests = union.count()
-    likely = union.filter((F.col("bad") >= support) & (odds >= 3.0)).select("term", "start", "bad", "n").collect()  # no more than the sample has words in ``support`` texts
-    ranked = sorted((_chance(r["bad"], r["n"], total["bad"] / total["n"]), r["term"], r["start"], r["bad"]) for r in likely)
+    share, telling = odds / (1 + odds), ratio * odds / (1 + ratio * odds)
+    likely = union.filter((F.col("bad") >= support) & (F.col("bad") > F.col("n") * telling)).select("term", "start", "bad", "n").collect()  # no more than the sample has words in ``support`` texts
+    ranked = sorted((_chance(r["bad"], r["n"], share), r["term"], r["start"], r["bad"]) for r in likely)
     passed = max((k for k, r in enumerate(ranked, 1) if r[0] <= level * k / tests), default=0)
     found = [(term, start, bad) for _, term, start, bad in ranked[:passed]]
     # Of nested beginnings the one that catches most stays, the longest on ties; whole terms stay beside them.
@@ -110,7 +138,7 @@ def compile_terms(terms: list[tuple[str, bool]], fuzzy_from: int = 5, begin_from
     or more, whatever follows; other beginnings, and all if it is null, match
     exactly. Returns alphabet, step table, pattern of each state, patterns.
     """
-    least = {False: fuzzy_from, True: _ABOVE if begin_from is None else begin_from}
+    least = {False: fuzzy_from, True: 1 << 30 if begin_from is None else begin_from}
     alphabet = "".join(sorted({c for t, _ in terms for c in t}))
     children: list[dict[str, int]] = [{}]
     whole: dict[int, str] = {}
@@ -183,8 +211,16 @@ def compile_terms(terms: list[tuple[str, bool]], fuzzy_from: int = 5, begin_from
     return alphabet, np.array(rows, np.int32), np.array(hits, np.int32), tuple(patterns)
 
 
-def _hits(column: pa.Array, alphabet: str, step: np.ndarray, hit: np.ndarray):
-    """Words that end in an accepting state: pattern, row, word, start, end; and word counts."""
+def _reach(terms) -> int:
+    """Characters after which no whole term can end any more."""
+    return max((len(t) for t, _ in terms), default=0) + 2
+
+
+def _hits(column: pa.Array, alphabet: str, step: np.ndarray, hit: np.ndarray, reach: int):
+    """Words that end in an accepting state: pattern, row, word, start, end; and word counts.
+
+    In a script without spaces a word begins at every letter and is ``_GRAM`` long.
+    """
     points, offsets = T.codepoints(column)
     rows = len(offsets) - 1
     table = T.tables()
@@ -194,6 +230,18 @@ def _hits(column: pa.Array, alphabet: str, step: np.ndarray, hit: np.ndarray):
     if not starts.size:
         zero = np.zeros(0, np.int64)
         return zero, zero, zero, zero, zero, counts, points, offsets
+    unspaced = np.zeros(T._PLANE, bool)
+    for low, high in _UNSPACED:
+        unspaced[low : high + 1] = True
+    inner = np.flatnonzero(T.look(unspaced, points) & letters)
+    if inner.size:
+        run = np.searchsorted(starts, inner, "right") - 1
+        spaced = ~T.look(unspaced, points[starts])
+        starts, ends, row = (
+            np.concatenate([mine[spaced], more]) for mine, more in ((starts, inner), (ends, np.minimum(inner + _GRAM, ends[run])), (row, row[run]))
+        )
+        order = np.argsort(starts, kind="stable")
+        starts, ends, row = starts[order], ends[order], row[order]
     classes = np.zeros(T._PLANE, np.int32)
     for i, c in enumerate(alphabet):
         classes[ord(c)] = i + 1
@@ -207,7 +255,7 @@ def _hits(column: pa.Array, alphabet: str, step: np.ndarray, hit: np.ndarray):
             break
         state[live] = step[state[live], kind[starts[live] + t]]
         going = state[live] != 1
-        if t >= _ABOVE:  # only words that began with a term can still match
+        if t >= reach:  # only words that began with a term can still match
             going &= hit[state[live]] >= 0
             state[live[~going]] = 1
             break
@@ -291,17 +339,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50
     return b
 
 
-def train(df: DataFrame, text: str = "text", label: str = "toxic", per_class: int = 3000, support: int = 6, level: float = 0.05, window: int = 40) -> Model:
+def train(df: DataFrame, text: str = "text", label: str = "toxic", per_class: int = 3000, support: int = 6, level: float = 0.05, ratio: float = 2.0, window: int = 40) -> Model:
     """Learn lexicon and weights from at most ``per_class`` labelled texts of each class.
 
     Texts are chosen by a hash, so the sample does not depend on order or
-    partitioning. ``support`` is the number of toxic texts a term must occur in and
-    ``level`` the share of terms that may be there by chance; every such term is in
-    the lexicon. Rows with a null text or label are passed over. Without both classes, or without telling terms, no text has hits and
+    partitioning. ``support`` is the number of toxic texts a term must occur in,
+    ``ratio`` how many times the odds of all texts its own must be, and ``level`` the
+    share of terms that may be there by chance; every such term, however short or
+    long, is in the lexicon. Rows with a null text or label are passed over. Without both classes, or without telling terms, no text has hits and
     all score as the larger class.
     """
     rows = settled(sample(df, text, label, per_class), "toxic-sample")
-    lexicon = _mine(rows, support, level)
+    lexicon = _mine(rows, support, level, ratio)
     if not lexicon:
         mean = rows.agg(F.avg("label").alias("p")).first()["p"] or 0.0
         start = np.array([20.0 if mean > 0.5 else -20.0, 0, 0, 0, 0])
@@ -309,7 +358,7 @@ def train(df: DataFrame, text: str = "text", label: str = "toxic", per_class: in
     alphabet, step, hit, patterns = compile_terms(lexicon, begin_from=5)
     found, sizes, labels, at = [], [], [], 0
     for part in _pieces(rows):
-        pattern, row, _, start, end, counts, points, offsets = _hits(part.column("text"), alphabet, step, hit)
+        pattern, row, _, start, end, counts, points, offsets = _hits(part.column("text"), alphabet, step, hit, _reach(patterns))
         found.append(np.stack([pattern, row + at, _quoted(points, offsets, row, start, end, window)]).astype(np.int64))
         sizes.append(counts)
         labels.append(np.array(part.column("label").to_pylist(), float))
@@ -368,7 +417,7 @@ def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", w
         kinds = pa.array([k for _, k in m.terms], pa.string())
         for batch in batches:
             for part in T.slices(batch, scored_name):
-                pattern, row, _, start, end, counts, points, offsets = _hits(part.column(scored_name), m.alphabet, m.step, m.hit)
+                pattern, row, _, start, end, counts, points, offsets = _hits(part.column(scored_name), m.alphabet, m.step, m.hit, _reach(m.terms))
                 quoted = _quoted(points, offsets, row, start, end, window)
                 x = _features(pattern, row, quoted, m.weight, counts)
                 value = 1 / (1 + np.exp(-np.clip(x @ m.coef, -30, 30)))

@@ -171,16 +171,17 @@ def test_decontamination(spark):
         docs.append((200 + i, _words(300, 70 + i) + " " + " ".join(cut).title() + " " + _words(200, 80 + i)))
         half = len(w) // 2
         docs.append((300 + i, " ".join(w[:half]) + " " + _words(900, i) + " " + " ".join(w[half:])))
-    docs += [(400, items[0][1]), (401, items[1][1] + " ")]
+    docs += [(400, items[0][1]), (401, items[1][1] + " "), (402, f"{_words(40, 1)} {items[1][1].upper()}\n{_words(40, 2)}"), (403, items[1][1].rsplit(" ", 1)[0] + " x"), (404, f"{_words(9, 3)} {items[0][1]}")]
     found = decontamination.find(_docs(spark, docs), spark.createDataFrame(items, "item_id int, text string")).collect()
     want = set()
     for d, t in docs:
-        has = _shingles(t, 5)
         for i, x in items:
-            own = _shingles(x, 5)
+            size = min(5, max(1, len((x or "").split())))  # a short item is one shingle of all its words
+            has, own = _shingles(t, size), _shingles(x, size)
             if own and len(own & has) >= 0.8 * len(own):
                 want.add((d, i, len(own & has), len(own)))
     assert {(x.id, x.item, x.shared, x.size) for x in found} == want and len(found) == len(want)
+    assert {(402, 1), (404, 0)} <= {x[:2] for x in want} and (403, 1) not in {x[:2] for x in want}
     blocks = decontamination.find(_docs(spark, docs), spark.createDataFrame(items, "item_id int, text string"), block=2).collect()
     assert {(x.id, x.item) for x in blocks} == {x[:2] for x in want}
     assert decontamination.find(_docs(spark), spark.createDataFrame([], "item_id int, text string")).count() == 0

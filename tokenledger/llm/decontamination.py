@@ -28,7 +28,10 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Index:
     """``sets`` holds each item's distinct shingles; ``parts`` has, for each size
-    partition, B, and per permutation the items' sorted minima and their items."""
+    partition, B, and per permutation the items' sorted minima and their items.
+    ``short`` has, for each number of words below ``size``, the sorted shingles of
+    the items of so many words and these items: a partition whose window is one
+    shingle of its own length."""
 
     items: list
     sets: list[np.ndarray]
@@ -36,6 +39,7 @@ class Index:
     multipliers: np.ndarray
     threshold: float
     size: int
+    short: list[tuple[int, np.ndarray, np.ndarray]]
 
 
 def permutations_for(threshold: float, miss: float) -> int:
@@ -48,21 +52,28 @@ def permutations_for(threshold: float, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log(1 - shared / (1.25 + 0.5 - shared)))
 
 
-def index(items: list, texts: list[str | None], threshold: float = 0.8, size: int = 5, miss: float = 1e-6) -> Index:
-    """Index a block of items; items without words are left out."""
+def index(items: list, texts: list[str | None], threshold: float = 0.8, size: int = 5, miss: float = 1e-6, short: bool = False) -> Index:
+    """Index a block of items; items without words are left out. With ``short``, items of
+    fewer than ``size`` words are one shingle of their own length, found anywhere."""
     names, sets = [], []
+    by_length: dict[int, list[tuple[np.uint64, int]]] = {}
     for name, text in zip(items, texts):
         data, offsets = T.raw(pa.array([text or ""], pa.large_string()))
         words, _, _, row = T.word_hashes(data, offsets)
         found = np.unique(T.shingles(words, row, 1, size)[0])
+        if short and 0 < words.size < size:
+            found = T.shingles(words, row, 1, words.size)[0]
+            by_length.setdefault(words.size, []).append((found[0], len(names)))
         if found.size:
             names.append(name)
             sets.append(found)
     m = permutations_for(threshold, miss)
     multipliers = T.mix(np.arange(1, m + 1, dtype=np.uint64) * _GOLD) | np.uint64(1)
     classes: dict[int, list[int]] = {}
+    own_length = {i for held in by_length.values() for _, i in held}
     for i, s in enumerate(sets):
-        classes.setdefault(1 << (int(s.size).bit_length()), []).append(i)
+        if i not in own_length:
+            classes.setdefault(1 << (int(s.size).bit_length()), []).append(i)
     parts = []
     for bound, members in sorted(classes.items()):
         tables = []
@@ -73,7 +84,11 @@ def index(items: list, texts: list[str | None], threshold: float = 0.8, size: in
             bits[_low(least)] = True
             tables.append((least[order], np.array(members)[order], bits))
         parts.append((bound, tables))
-    return Index(names, sets, parts, multipliers, threshold, size)
+    shorter = []
+    for length, held in sorted(by_length.items()):
+        held.sort()
+        shorter.append((length, np.array([h for h, _ in held], np.uint64), np.array([i for _, i in held])))
+    return Index(names, sets, parts, multipliers, threshold, size, shorter)
 
 
 def _low(values: np.ndarray) -> np.ndarray:
@@ -118,9 +133,20 @@ def _candidates(shingle: np.ndarray, row: np.ndarray, ix: Index) -> set[tuple[in
     return found
 
 
+def _short(words: np.ndarray, row: np.ndarray, rows: int, ix: Index) -> set[tuple[int, int]]:
+    """Pairs (row, item) of short items whose words stand in a row somewhere."""
+    found: set[tuple[int, int]] = set()
+    for length, held, items in ix.short:
+        shingle, where, _ = T.shingles(words, row, rows, length)
+        left, right = np.searchsorted(held, shingle, "left"), np.searchsorted(held, shingle, "right")
+        for k in np.flatnonzero(left < right):
+            found.update((int(where[k]), int(i)) for i in items[left[k] : right[k]])
+    return found
+
+
 def matches(docs: DataFrame, ix: Index, keep: list[str], text: str = "text", into: str = "found") -> DataFrame:
     """The columns ``keep`` of every row and, as ``into``, the items it contains:
-    an array of ``item, shared, size`` in the order of the index."""
+    an array of ``item, shared, size`` in the order of the index, short items first."""
     spark = docs.sparkSession
     shared = shipped(spark, ix)
     kind = pa.array(ix.items).type if ix.items else pa.int64()
@@ -139,6 +165,8 @@ def matches(docs: DataFrame, ix: Index, keep: list[str], text: str = "text", int
                 words, _, _, row = T.word_hashes(data, offsets)
                 shingle, where, _ = T.shingles(words, row, count, own.size)
                 out: list[list[dict]] = [[] for _ in range(count)]
+                for r, i in sorted(_short(words, row, count, own)):
+                    out[r].append({"item": own.items[i], "shared": 1, "size": 1})
                 if shingle.size and own.parts:
                     begin = np.searchsorted(where, np.arange(count + 1))
                     held: tuple[int, np.ndarray | None] = (-1, None)
@@ -158,7 +186,7 @@ def matches(docs: DataFrame, ix: Index, keep: list[str], text: str = "text", int
     return rows.mapInArrow(work, f"{fields}, `{into}` array<struct<item:{name},shared:long,size:long>>")
 
 
-def blocks(items: DataFrame, item: str = "item_id", text: str = "text", block: int = 20_000, threshold: float = 0.8, size: int = 5):
+def blocks(items: DataFrame, item: str = "item_id", text: str = "text", block: int = 20_000, threshold: float = 0.8, size: int = 5, short: bool = False):
     """Indexes of all items, ``block`` at a time; together they hold every item.
 
     An index is broadcast, so its size is bounded by the block; more items mean
@@ -171,10 +199,10 @@ def blocks(items: DataFrame, item: str = "item_id", text: str = "text", block: i
     for r in rows.toLocalIterator():
         held.append(r)
         if len(held) == block:
-            yield index([x["item"] for x in held], [x["text"] for x in held], threshold, size)
+            yield index([x["item"] for x in held], [x["text"] for x in held], threshold, size, short=short)
             held = []
     if held:
-        yield index([x["item"] for x in held], [x["text"] for x in held], threshold, size)
+        yield index([x["item"] for x in held], [x["text"] for x in held], threshold, size, short=short)
 
 
 def find(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = 0.8, size: int = 5, block: int = 20_000) -> DataFrame:
@@ -182,12 +210,12 @@ def find(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "tex
     whose distinct shingles it holds at least the share ``threshold``.
 
     Shingles are runs of ``size`` words, words runs of non-space characters with A
-    to Z in lower case. A text with fewer words is one shingle of all its words, so
-    it is found only in a document that has exactly these words. Null or empty
+    to Z in lower case. An item with fewer words is one shingle of all its words,
+    looked for as a run of so many words anywhere. Null or empty
     texts hold and match nothing. Repeated documents or items give repeated pairs.
     """
     out = None
-    for ix in blocks(items, item, item_text, block, threshold, size):
+    for ix in blocks(items, item, item_text, block, threshold, size, short=True):
         found = matches(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")), ix, ["id"]).select("id", F.explode("found").alias("f"))
         pairs = found.select("id", "f.item", "f.shared", "f.size", (F.col("f.shared") / F.col("f.size")).alias("containment"))
         out = pairs if out is None else out.unionByName(pairs)
@@ -203,10 +231,11 @@ WITH words AS (
   SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
   UNION ALL
   SELECT 'i', item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') FROM benchmark
+), size AS (SELECT DISTINCT least(len(w), 5) AS k FROM words WHERE side = 'i' AND len(w) > 0
 ), shingle AS (
   SELECT DISTINCT side, id, s FROM (
-    SELECT side, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-      WHEN len(w) > 0 THEN [array_to_string(w, ' ') || ' #' || len(w)] ELSE [] END) AS s FROM words)
+    SELECT side, id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+    FROM words JOIN size ON len(w) >= k AND (side = 'd' OR k = least(len(w), 5)))
 ), sized AS (SELECT id, count(*) AS n FROM shingle WHERE side = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, n AS item_shingles, count(*) / n AS containment
 FROM shingle i JOIN shingle d ON d.s = i.s AND d.side = 'd' JOIN sized ON sized.id = i.id

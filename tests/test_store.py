@@ -5,6 +5,7 @@ import pytest
 from tokenledger.operators import dedupe
 from tokenledger.sources.store import LogStore
 from tokenledger.streaming.ingest import first_in_stream, gauges, ingest_batch, start_ingest
+from tokenledger.streaming.series import read_live_series, start_live_series
 
 
 def _frame(spark, *texts):
@@ -93,3 +94,27 @@ def test_shared_dir_needs_a_setting_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_dir(Cluster(), "x")
+
+
+def test_live_series_writes_what_changed(spark, tmp_path):
+    landing, out = tmp_path / "in", str(tmp_path / "out")
+    landing.mkdir()
+    schema = "started_at timestamp, latency_ms int, status string, ttft_ms int, total_tokens int, estimated_cost_usd double"
+
+    def arrives(name, *rows, watermark=None, at=tmp_path / "cp", to=out):
+        (landing / name).write_text("\n".join(f"2024-01-01T{t}Z,{ms},success,,5,0.5" for t, ms in rows))
+        logs = spark.readStream.schema(schema).csv(str(landing))
+        start_live_series(logs, to, str(at), 60, watermark=watermark).awaitTermination()
+        return [(r.bucket.minute, r.requests, r.p95_latency_ms, r.tokens) for r in read_live_series(spark, to).collect()]
+
+    assert arrives("1", ("10:00:01", 100), ("10:00:02", 100), ("10:05:00", 300)) == [(0, 2, 100, 10), (5, 1, 300, 5)]
+    assert arrives("2", ("10:00:59", 200)) == [(0, 3, 190, 15), (5, 1, 300, 5)]  # late, and only its bucket is written
+    written = spark.read.option("basePath", out).parquet(out)
+    assert {(r.batch_id, r.bucket.minute, r.latency_ms) for r in written.collect()} == {(0, 0, 100), (0, 5, 300), (1, 0, 200)}
+
+    other, cp = str(tmp_path / "bounded"), tmp_path / "cp2"
+    arrives("3", ("12:00:00", 100), watermark="10 minutes", at=cp, to=other)
+    before = read_live_series(spark, other).count()
+    arrives("4", ("12:01:00", 100), watermark="10 minutes", at=cp, to=other)
+    arrives("5", ("10:30:00", 100), watermark="10 minutes", at=cp, to=other)  # behind the watermark: dropped
+    assert read_live_series(spark, other).count() == before + 1

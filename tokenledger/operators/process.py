@@ -42,10 +42,11 @@ def check(
 ) -> Outcome:
     """Validate and enrich every event; nothing is dropped.
 
+    Events that :func:`validate` has typed already are not validated again.
     ``redact_again`` turns on the second redaction pass over previews and error
     text, whose hits are added to those the producer counted.
     """
-    df = validate(bronze)
+    df = bronze if "errors" in bronze.columns else validate(bronze)
     df = enrich(df, prices)
     df = df.withColumn(
         "client_metadata", overlaid(F.col("client_metadata"), F.col("tags"))

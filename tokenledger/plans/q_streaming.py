@@ -117,7 +117,16 @@ def _(spark, sf):
 def _(spark, sf):
     root = shared_dir(spark, "series")
     _finish(R.start_live_series(_log_stream(spark, sf), f"{root}/out", f"{root}/checkpoint", 3600))
-    return spark.read.parquet(f"{root}/out")
+    return R.read_live_series(spark, f"{root}/out")
+
+
+@query("j4_gauges_behind", """SELECT count(*) AS stream_depth, count(*) FILTER (WHERE event_id % 4 = 3) AS pending, 0::BIGINT AS dlq_depth FROM events""")
+def _(spark, sf):
+    """A quarter of what was published has not been read yet."""
+    store = LogStore(spark, shared_dir(spark, "behind"))
+    events = I.events_json(spark, sf)
+    N.ingest_batch(events.filter(F.col("event_id") % 4 != 3).select("value"), store, 0)
+    return N.gauges(events, store)
 
 
 @query("j4_gauges", f"""SELECT count(*) AS stream_depth, 0::BIGINT AS pending, count(*) FILTER (WHERE event_id % 50 IN {_INVALID} OR event_id % 50 IN {_REFUSED}) AS dlq_depth FROM events""")

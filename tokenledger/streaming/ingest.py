@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..functions.redact import Redactor
 from ..operators.process import check, to_dead_letters, to_logs
+from ..operators.validate import validate
 from ..sources.bronze import accepted_events, explode_envelopes, stamp
 from ..sources.store import LogStore
 
@@ -46,10 +47,14 @@ def ingest_batch(
 
 def ingest_envelopes(envelopes: DataFrame, store: LogStore, batch_id: int, at: Column | None = None, **options) -> None:
     """Store the events of the envelopes that are valid as a whole, all with one
-    arrival time; the other envelopes are refused. ``options`` go to
+    arrival time; the other envelopes are refused. Every event is validated once,
+    for its envelope's verdict and for its own row. ``options`` go to
     :func:`ingest_batch`."""
-    events = accepted_events(explode_envelopes(envelopes))
-    ingest_batch(stamp(events, at), store, batch_id, **options)
+    checked = validate(stamp(explode_envelopes(envelopes), at)).persist()
+    try:
+        ingest_batch(accepted_events(checked), store, batch_id, **options)
+    finally:
+        checked.unpersist()
 
 
 def start_ingest(

@@ -62,16 +62,26 @@ def start_live_series(
     trigger: dict | None = None,
     watermark: str | None = None,
 ) -> StreamingQuery:
-    """Keep the whole time series at ``path``, rewritten by every trigger.
+    """Write the counters that every trigger changes to ``path/batch_id=N``.
 
-    For a short series that is watched live. ``LogStore.series`` reads stored logs
-    of any number by window and counts a redelivered event once.
+    A trigger writes rows of the buckets and latencies it changed and nothing else,
+    each with all that was counted so far, so the last one of a bucket and latency
+    holds. A repeated trigger replaces its own folder. With a watermark, buckets
+    behind it leave the state and later events for them are dropped.
     """
     return (
         live_profile(logs, bucket_seconds, watermark)
-        .writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, _: fold_series(batch).write.mode("overwrite").parquet(path))
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}"))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def read_live_series(spark: SparkSession, path: str) -> DataFrame:
+    """The time series over the last counters of every bucket and latency."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    counters = [c for c in rows.columns if c not in ("bucket", "latency_ms", "batch_id")]
+    last = rows.groupBy("bucket", "latency_ms").agg(F.max_by(F.struct(*counters), "batch_id").alias("_last"))
+    return fold_series(last.select("bucket", "latency_ms", "_last.*")).orderBy("bucket")

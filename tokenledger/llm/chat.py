@@ -1,8 +1,9 @@
 """Reply trees as chat conversations.
 
 Messages point to the message they answer. Iterative self-joins double the
-distance each message looks up its tree, which gives every depth and path score
-in a logarithmic number of rounds. The best leaves of a tree are chosen by path
+distance each message looks up its tree, in a logarithmic number of rounds; a
+message that has no ancestor that far leaves. Leaves climb these jumps to their
+roots, which gives depths and path scores. The best leaves of a tree are chosen by
 score, their paths are listed with the same jumps, and each path becomes one
 conversation in a template whose control strings are escaped in texts.
 """
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import settled
+from .scratch import released, settled
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -69,27 +70,35 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)) if "score" in nodes.columns else F.lit(0.0)
     own = nodes.select("tree", "node", "parent", score.alias("score"))
     known = own.select(F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    jump = own.join(known, "parent", "left").select(
-        "node", F.when(F.col("_known"), F.col("parent")).alias("up"), F.col("_known").isNotNull().cast("long").alias("dist"), F.col("score").alias("total")
-    )
-    jump = settled(jump, "jump")
-    levels, n = [jump], jump.count()
-    while jump.filter("up is not null").limit(1).count() and (1 << len(levels)) <= 2 * n:
-        far = jump.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("dist").alias("_dist"), F.col("total").alias("_total"))
-        jump = settled(jump.join(far, "up", "left").select(
-            "node", F.col("_up").alias("up"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")
-        ), "jump")
-        levels.append(jump)
-    parents = levels[0].filter("up is not null").select(F.col("up").alias("node")).distinct()
-    leaves = own.select("tree", "node").join(parents, "node", "left_anti").join(jump.filter("up is null").select("node", "dist", "total"), "node")
-    w = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("dist"), "node")
-    best = leaves.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= branches)
-    chosen = settled(best.select("tree", "rank", F.col("node").alias("leaf"), F.col("dist").alias("place"), "node"), "paths")
-    for k, level in enumerate(levels[:-1] if len(levels) > 1 else []):
-        above = chosen.join(level.filter("up is not null").select("node", "up"), "node").select(
+    linked = settled(own.join(known, "parent", "left").select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), "score"), "nodes")
+    # Level k ties a message to the one 2**k above it; messages less deep have left.
+    levels, n = [settled(linked.filter("up is not null").select("node", "up", F.col("score").alias("part")), "jump")], linked.count()
+    while (1 << len(levels)) < n:  # more steps than messages: what is left is tied to a cycle
+        last = levels[-1]
+        above = last.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("part").alias("_part"))
+        far = settled(last.join(above, "up").select("node", F.col("_up").alias("up"), (F.col("part") + F.col("_part")).alias("part")), "jump")
+        if far.isEmpty():
+            released(far)
+            break
+        levels.append(far)
+    # Leaves climb to their roots by the longest jumps first.
+    parents = levels[0].select(F.col("up").alias("node")).distinct()
+    leaf = linked.join(parents, "node", "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("place"), F.lit(0.0).alias("total"))
+    for k, level in reversed(list(enumerate(levels))):
+        jumped = F.col("up").isNotNull()
+        leaf = leaf.join(level, "node", "left").select(
+            "tree", "leaf", F.coalesce("up", "node").alias("node"), (F.col("place") + F.when(jumped, F.lit(1 << k)).otherwise(0)).alias("place"), (F.col("total") + F.coalesce("part", F.lit(0.0))).alias("total")
+        )
+    roots = linked.filter("up is null").select("node", "score")
+    w = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("place"), "leaf")
+    ranked = leaf.join(roots, "node").withColumn("total", F.col("total") + F.col("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= branches)
+    chosen = settled(ranked.select("tree", "rank", "leaf", "place", F.col("leaf").alias("node")), "paths")
+    for k, level in enumerate(levels):  # a path's rows are written once, and only those deep enough are looked at again
+        above = chosen.filter(F.col("place") >= (1 << k)).join(level.select("node", "up"), "node").select(
             "tree", "rank", "leaf", (F.col("place") - F.lit(1 << k)).alias("place"), F.col("up").alias("node")
         )
-        chosen = settled(chosen.unionByName(above), "paths")
+        chosen = chosen.unionByName(settled(above, "paths"))
+    released(linked, *levels)
     return chosen
 
 

@@ -373,6 +373,18 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), mixing.rates(docs.limit(0))).count() == 0
 
 
+def test_joins_with_a_hot_centre_follow_no_aggregate(spark, monkeypatch):
+    """The adaptive join splits a hot key only where its sides are as they were shuffled."""
+    prepare(spark)
+    plans, write = [], components.settled
+    monkeypatch.setattr(components, "settled", lambda frame, name: plans.append(frame._jdf.queryExecution().optimizedPlan().toString()) or write(frame, name))
+    edges = spark.range(1, 100_000).select(F.when(F.col("id") < 99_999, 0).otherwise(F.col("id") - 1).alias("b"), F.col("id").alias("a"))
+    got = components.components(edges)
+    assert got.count() == 100_000 and got.filter("component <> 0").count() == 0
+    joins = [p[p.index("Join") :] for p in plans if "Join" in p]
+    assert joins and not any("Aggregate" in p for p in joins)
+
+
 def test_components(spark):
     prepare(spark)
     r = random.Random(1)
@@ -439,6 +451,34 @@ def test_reply_trees(spark):
     assert chat.paths(nodes.limit(0)).count() == 0
 
 
+def test_reply_trees_of_any_depth(spark):
+    prepare(spark)
+    r = random.Random(8)
+    parent = {i: (i - 1 if i % 70 else None) for i in range(140)}  # two chains
+    parent |= {i: (r.randrange(140, i) if i > 140 and r.random() < 0.9 else None) for i in range(140, 260)}
+    parent |= {i: (i + 1 if i < 269 else 260) for i in range(260, 270)} | {270: 265, 271: 270}  # a cycle and what hangs on it
+    score = {i: r.choice([0.0, 1.0, 2.0]) for i in parent}
+
+    def up(i):
+        found = [i]
+        while parent[found[-1]] is not None and len(found) <= len(parent):
+            found.append(parent[found[-1]])
+        return found if len(found) <= len(parent) else []
+
+    line = {i: up(i) for i in parent}
+    tree = {i: (x[-1] if x else -1) for i, x in line.items()}
+    ends: dict = {}
+    for i in set(parent) - set(parent.values()):
+        if line[i]:
+            ends.setdefault(tree[i], []).append((-sum(score[x] for x in line[i]), -len(line[i]), i))
+    want = sorted(
+        (t, k, i, place, node) for t, found in ends.items() for k, (_, _, i) in enumerate(sorted(found)[:3], 1) for place, node in enumerate(reversed(line[i]))
+    )
+    nodes = spark.createDataFrame([(tree[i], i, parent[i], score[i]) for i in parent], "tree int, node int, parent int, score double")
+    got = sorted((x.tree, x["rank"], x.leaf, x.place, x.node) for x in chat.paths(nodes, branches=3).collect())
+    assert got == want
+
+
 def test_long_conversation(spark):
     prepare(spark)
     said = spark.createDataFrame([(1, i, "user", f"{i}") for i in range(3000)] + [(None, 0, None, None), (2, 0, "a", "b"), (2, 0, "a", "b")], "conv_id int, turn int, role string, text string")

@@ -1,9 +1,10 @@
 """Connected components of an edge table, by alternating star contractions.
 
-Large and small stars tie every node to the smallest node it knows of. Each
-step takes two shuffles whose aggregates combine before them; joins on a node
-with very many edges are split by the adaptive skew join. Every round is written
-to the shared folder.
+Large and small stars tie every node to the smallest node it knows of. The
+aggregates combine before their shuffles and are written before the edges are
+joined with them: a join that follows an aggregate on its own key would leave a
+centre of very many edges to one task, while a join of two tables is split by the
+adaptive skew join. Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -21,15 +22,19 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large(edges: DataFrame) -> DataFrame:
     """Ties every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = _both(edges)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+    tied = settled(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+    released(least)
+    return tied
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Ties a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = settled(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    tied = settled(moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
+    released(least)
+    return tied
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -50,8 +55,9 @@ def components(edges: DataFrame, first: str = "a", second: str = "b", rounds: in
     for _ in range(rounds):
         if _stars(now):
             break
-        last, now = now, settled(_small(_large(now)), "edges")
-        released(last)
+        large = _large(now)
+        last, now = now, _small(large)
+        released(last, large)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     least = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -232,12 +232,14 @@ def _compare(entries: DataFrame, lattice: Lattice, least: float) -> DataFrame:
         name = None
 
         def close():
+            # Vectors of other lengths share a cell only where hashes collide.
+            for length in {len(h[7]) for h in held}:
+                meet([h for h in held if len(h[7]) == length])
+
+        def meet(held):
             if len(held) < 2 or not any(h[4] for h in held):
                 return
             home, side = np.array([h[4] for h in held]), np.array([h[3] for h in held])
-            # Vectors of other lengths never share a cell unless hashes collide.
-            if len({len(h[7]) for h in held}) > 1:
-                return
             links = _meet(name[0], home, side, [h[7] for h in held], lattice, least)
             if links is None or not links.any():
                 return
@@ -279,7 +281,8 @@ def near(df: DataFrame, id: str = "vec_id", vector: str = "embedding", least: fl
     counted = found.filter("other is null").groupBy("key").agg(F.sum("n").alias("others"))
     labels = components(found.filter("other is not null"), "key", "other").select(F.col("node").alias("key"), "component")
     placed = classes.select("key", "n", "least").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    lowest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Written first, so that the join can split a component of very many classes.
+    lowest = settled(placed.groupBy("component").agg(F.min("least").alias("component_id")), "lowest")
     by_class = placed.join(counted, "key", "left").join(lowest, "component").select(
         "key", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"
     )

@@ -200,12 +200,12 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[keep], number[column[keep]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    total = np.zeros((len(sets), len(sets)), np.float32)
+    total = np.zeros((len(sets), len(sets)), np.int64)  # 32-bit floats hold a block's counts exactly, not 100 times a long text's
     for begin in range(0, int(often.sum()), _COLUMNS):
         a, b = np.searchsorted(column, [begin, begin + _COLUMNS])
         part = np.zeros((len(sets), _COLUMNS), np.float32)
         part[owner[a:b], column[a:b] - begin] = 1
-        total += part @ part.T
+        total += (part @ part.T).astype(np.int64)
     return total
 
 
@@ -284,7 +284,7 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int =
     released(full, buckets, clusters, wanted, texts)
     member = labels.select(F.col("node").alias("key"), "component")
     placed = classes.join(member, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))
-    lowest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    lowest = settled(placed.groupBy("component").agg(F.min("least").alias("component_id")), "lowest")
     by_class = placed.join(lowest, "component").select("key", "component_id", "component")
     out = sets.select("id", "tag", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(by_class, "key", "left")
     found = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.caps import cap_events
+from ..session import written
 from .sampling import KeepAll, Sampler, sample
 
 MAX_EVENTS = 500
@@ -36,10 +37,12 @@ def to_envelopes(payload: DataFrame, size: int = 100) -> DataFrame:
     """``batch_id`` and an ``{"events": [...]}`` document of at most ``size`` events.
 
     Events next to each other in a partition share a document, so none is larger
-    than asked and a document never needs more than one task.
+    than asked and a document never needs more than one task. Numbers depend on
+    where an event lies, so they are written once: a task that runs again finds
+    its events under the same numbers.
     """
     if not 1 <= size <= MAX_EVENTS:
         raise ValueError(f"size must be between 1 and {MAX_EVENTS}, got {size!r}")
-    numbered = payload.withColumn("batch_id", F.floor(F.monotonically_increasing_id() / size))
+    numbered = written(payload.select("value", F.floor(F.monotonically_increasing_id() / size).alias("batch_id")), "envelopes")
     joined = F.array_join(F.collect_list("value"), ",")
     return numbered.groupBy("batch_id").agg(F.concat(F.lit('{"events":['), joined, F.lit("]}")).alias("value"))

@@ -114,6 +114,18 @@ def _(spark, sf):
     return store.logs().select("request_id", "latency_ms", "started_at")
 
 
+@query("a10_compacted_store", f"WITH {I.RAW_LOGS_SQL} SELECT request_id, latency_ms, started_at FROM raw")
+def _(spark, sf):
+    """All events in three batches, the last also holding the first's again; two of them packed, one as it came."""
+    store = LogStore(spark, shared_dir(spark, "store"))
+    sent = _events(spark, sf, False).select("value", F.pmod(F.xxhash64("value"), F.lit(3)).alias("part"))
+    for batch_id, parts in enumerate(((0,), (1,), (0, 2))):
+        ingest_batch(sent.filter(F.col("part").isin(*parts)).select("value"), store, batch_id)
+        store.compact(fan=2)
+    store.expire()
+    return store.logs().select("request_id", "latency_ms", "started_at")
+
+
 _MISSING_ALL = "; ".join(
     f"{n}: missing" for n in (
         "request_id", "service", "provider", "model", "status", "streamed", "started_at",

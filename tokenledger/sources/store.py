@@ -7,10 +7,16 @@ compared with them and never reads logs. A batch replaces only its
 own folders, so writing it again after a failure has no further effect. Batch ids
 come from the stream's checkpoint: a store belongs to one checkpoint, and a new
 checkpoint needs a new store.
+
+Compaction writes the batches it takes to ``packed/<table>/generation=G`` and then a
+manifest, one file, that names the generations in force and the last batch they
+hold. Readers take the newest manifest, its generations and all later batches.
+What a manifest replaced stays readable until ``expire``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -47,6 +53,19 @@ PROFILE = T.StructType(
     + [T.StructField("started_date", T.DateType()), T.StructField("batch_id", T.LongType())]
 )
 
+RUN = T.StructType(
+    [T.StructField(name, T.LongType()) for name in ("generation", "level", "through", "version")]
+)
+
+
+@dataclass(frozen=True)
+class Runs:
+    """Generations in force with their levels, and the last batch they hold."""
+
+    version: int = -1
+    live: tuple[tuple[int, int], ...] = ()
+    through: int = -1
+
 
 @dataclass(frozen=True)
 class LogStore:
@@ -71,8 +90,34 @@ class LogStore:
                 raise
             return False
 
+    def _versions(self) -> list[Runs]:
+        """All manifests, oldest first: a few numbers for each compaction since the last ``expire``."""
+        found: dict[int, list] = {}
+        for row in self._read("manifest", RUN).collect():
+            found.setdefault(row.version, []).append(row)
+        return [
+            Runs(version, tuple(sorted((r.generation, r.level) for r in rows)), max(r.through for r in rows))
+            for version, rows in sorted(found.items())
+        ]
+
+    def runs(self) -> Runs:
+        return (self._versions() or [Runs()])[-1]
+
+    def _current(self, table: str, schema: T.StructType, runs: Runs | None = None) -> DataFrame:
+        """A table as ``runs``, by default the newest manifest, has it."""
+        runs = runs or self.runs()
+        fresh = self._read(table, schema)
+        if runs.version >= 0:
+            # Both columns are folders, so files that don't count are not opened.
+            fresh = fresh.filter(F.col("batch_id") > runs.through)
+        if not runs.live:
+            return fresh
+        inside = T.StructType(schema.fields + [T.StructField("generation", T.LongType())])
+        packed = self._read(f"packed/{table}", inside).filter(F.col("generation").isin([g for g, _ in runs.live]))
+        return packed.select(*schema.names).unionByName(fresh.select(*schema.names))
+
     def logs(self) -> DataFrame:
-        return self._read("logs", schemas.STORED_LOGS)
+        return self._current("logs", schemas.STORED_LOGS)
 
     def dead_letters(self) -> DataFrame:
         schema = T.StructType(
@@ -96,7 +141,7 @@ class LogStore:
     def keys(self) -> DataFrame:
         """Request ids of all stored logs. A store without a key table gets them from its logs."""
         if self._holds("keys") or not self._holds("logs"):
-            return self._read("keys", KEYS)
+            return self._current("keys", KEYS)
         return self.logs().select(F.xxhash64("request_id").alias("key_hash"), "request_id", "batch_id")
 
     def _dated(self, rows: DataFrame, table: str, batch_id: int) -> None:
@@ -116,6 +161,9 @@ class LogStore:
 
     def append_logs(self, logs: DataFrame, batch_id: int, known_rows: int | None = None) -> int:
         """Store what is new in a batch, and its latency profile; returns the number of rows."""
+        if not self._holds("keys") and self._holds("logs"):  # a store of before there were key tables
+            earlier = self.logs().filter(F.col("batch_id") != batch_id)
+            hashed_keys(earlier).orderBy("key_hash").write.mode("overwrite").parquet(f"{self.root}/keys/batch_id=-1")
         rows = self.new_rows(logs, batch_id, known_rows).withColumn("started_date", F.to_date("started_at")).persist()
         try:
             self._dated(rows, "logs", batch_id)
@@ -128,7 +176,7 @@ class LogStore:
 
     def profile(self) -> DataFrame:
         """Counters of all stored logs per date, minute and latency. They add up."""
-        return self._read("profile", PROFILE)
+        return self._current("profile", PROFILE)
 
     def series(self, bucket_seconds: int = 60, since: Column | None = None) -> DataFrame:
         """The time series of the stored logs, read off their profile.
@@ -153,3 +201,80 @@ class LogStore:
         """Record what became of a batch; call it last."""
         row = [(received, stored, received - parked - stored, parked)]
         self.spark.createDataFrame(row, LEDGER[:4]).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/ledger/batch_id={batch_id}")
+
+    def compact(self, fan: int = 8) -> int:
+        """Pack the files of batches into few; returns how many batches came in.
+
+        Takes all batches before the newest noted one, which alone may be written
+        again. They become a generation of level 0; ``fan - 1`` generations of one
+        level and the new one become a generation of the next, so a row is
+        rewritten a logarithmic number of times and few generations are in force.
+        Logs and their profile are packed by date, keys by hash; counters of equal
+        date, minute and latency are added up. Run one compaction at a time; ingest
+        and readers may go on. A compaction that fails leaves no trace for readers.
+        """
+        if fan < 2:
+            raise ValueError(f"fan must be at least 2, got {fan!r}")
+        runs = self.runs()
+        batches = self.ledger().select("batch_id").filter(F.col("batch_id") > runs.through)
+        noted = batches.agg(F.max("batch_id").alias("last"), F.count_distinct("batch_id").alias("n")).first()
+        if noted.n < 2:
+            return 0
+        through, level, merged = noted.last - 1, 0, []
+        while len(same := [g for g, at in runs.live if at == level]) >= fan - 1:
+            merged, level = merged + same, level + 1
+        old = Runs(runs.version, tuple((g, at) for g, at in runs.live if g in merged), runs.through)
+        version = runs.version + 1
+        taken = F.col("batch_id") <= through
+
+        def folder(table: str) -> str:
+            return f"{self.root}/packed/{table}/generation={version}"
+
+        def dated(rows: DataFrame, table: str, time: str) -> None:
+            spread = rows.hint("rebalance", F.col("started_date")).sortWithinPartitions("started_date", time)
+            write = spread.write.mode("overwrite").option("partitionOverwriteMode", "static")
+            write.partitionBy("started_date").parquet(folder(table))
+
+        dated(self._current("logs", schemas.STORED_LOGS, old).filter(taken), "logs", "started_at")
+        counters = [f.name for f in PROFILE if f.name not in ("bucket", "latency_ms", "started_date", "batch_id")]
+        profile = self._current("profile", PROFILE, old).filter(taken).groupBy("started_date", "bucket", "latency_ms")
+        dated(profile.agg(*[F.sum(c).alias(c) for c in counters]).withColumn("batch_id", F.lit(through)), "profile", "bucket")
+        keys = self._current("keys", KEYS, old) if self._holds("keys") else self.keys()
+        keys.filter(taken).orderBy("key_hash").write.mode("overwrite").parquet(folder("keys"))
+        live = [(g, at, through) for g, at in runs.live if g not in merged] + [(version, level, through)]
+        # One file: readers see it whole or not at all.
+        self.spark.createDataFrame(live, RUN[:3]).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/version={version}")
+        return noted.n - 1
+
+    def expire(self, keep: int = 1) -> int:
+        """Delete what only manifests older than the last ``keep`` read; returns the number of folders.
+
+        Frames made before these manifests can't be read any more. With ``keep=1``
+        only the newest manifest stays, which suits a store that nobody reads just now.
+        """
+        if keep < 1:
+            raise ValueError(f"keep must be at least 1, got {keep!r}")
+        versions = self._versions()
+        kept = versions[-keep:]
+        if not kept:
+            return 0
+        live = {g for runs in kept for g, _ in runs.live}
+        gone = 0
+        for pattern, stays in (
+            ("keys/batch_id=*", lambda n: n > kept[0].through),
+            *((f"{table}/started_date=*/batch_id=*", lambda n: n > kept[0].through) for table in ("logs", "profile")),
+            *((f"packed/{table}/generation=*", lambda n: n in live or n > kept[-1].version) for table in ("logs", "profile", "keys")),
+            ("manifest/version=*", lambda n: n >= kept[0].version),
+        ):
+            gone += _delete(self.spark, f"{self.root}/{pattern}", stays)
+        return gone
+
+
+def _delete(spark: SparkSession, pattern: str, stays: Callable[[int], bool]) -> int:
+    """Delete folders named ``key=number`` that match a pattern, but for those whose number stays."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    gone = [x.getPath() for x in files.globStatus(path) or () if not stays(int(x.getPath().getName().partition("=")[2]))]
+    for folder in gone:
+        files.delete(folder, True)
+    return len(gone)

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -436,6 +437,42 @@ def test_urls_decode_links_and_remove_dot_segments(spark):
     assert {i for i, v in got.items() if v == "allow"} == {7}
 
 
+# Url and html of a page, and whether it is an alias of the blocked ``bad.net``.
+WRITTEN = [
+    ("http://b1.test/", '<link rel="alternate canonical" href="http://bad.net/p">', True),
+    ("http://b2.test/", '<base href="http://bad.net/d/"><link rel=canonical href="e">', True),
+    ("http://b3.test/", '<link rel=canonical href="http://bad.net:80/p">', True),
+    ("http://b4.test/", '<link rel=canonical href="http://bad.net">', True),
+    ("http://b5.test/", '<link title="a > b" rel=canonical href="http://bad.net/p">', True),
+    ("http://b6.test/", '<!-- <link rel=canonical href="http://bad.net/p"> -->', False),
+    ("http://b7.test", '<link rel=canonical href="http://bad.net/p">', True), ("http://b7.test/", "", True),
+    ("http://b8.test/", "<script>'<link rel=canonical href=http://bad.net/p>'</script>", False),
+    ("http://b9.test/", "<!-- x --><link rel=canonical href='http://me:pw@bad.net/p'>", True),
+    ("http://b10.test/", '<a title="<link rel=canonical href=http://bad.net/p>">', False),
+    ("http://b11.test/", '<link rel=canonical href="http://bad.net/p>', False),
+    ("http://b12.test/", "<meta http-equiv=refresh content=\"3;URL='http://bad.net/p'\">", True),
+    ("http://b13.test/", '<meta http-equiv=refresh content="3">', False),
+    ("http://b14.test/", '<link rel=canonical href="mailto:a@bad.net">', False),
+    ("http://b15.test/", '<link rel=canonical href=\n" http://bad.net/p\n">', True),
+    ("http://b16.test/", '<link rel="noncanonical" href="http://bad.net/p"><link rel=canonical>', False),
+    ("http://bad.net:80/q", '<link rel=canonical href="/q">', True), ("http://bad.net:81/q", '<link rel=canonical href="/q">', False),
+    ("http://b17.test/", '<!--><link rel=canonical href="http://bad.net/p">', True),
+    ("http://b18.test/", '<link rel=canonical href="http://b19.test/x"><link href=http://bad.net/ rel=canonical href=/>', True),
+    ("https://b19.test:443/x", "", True), ("http://b20.test/", '<p title="' + "x > y = ' " * 100_000 + '"><link rel=canonical href=http://bad.net/>', True),
+]
+
+
+def test_urls_read_links_as_html_does(spark):
+    prepare(spark)
+    pages = spark.createDataFrame([(i, url, html) for i, (url, html, _) in enumerate(WRITTEN)], "page_id int, url string, html string")
+    got = {r.id: r.verdict == "block" for r in urls.judge(pages, [("net/", "block")]).collect()}
+    assert [WRITTEN[i] for i in got if got[i] != WRITTEN[i][2]] == []
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id int, url text, html text)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [(i, url, html) for i, (url, html, _) in enumerate(WRITTEN)])
+    assert {r[0]: r[4] == "block" for r in con.execute(urls.SQL).fetchall()} == got
+
+
 def test_reply_trees(spark):
     prepare(spark)
     rows = [

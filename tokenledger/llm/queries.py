@@ -79,6 +79,31 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES).withColumnRenamed("id", "page_id")
 
 
+# Every page with two aliases, whose links are written in the ways that html allows; a comment, a script or another attribute holds none.
+_ALIASES = """
+SELECT page_id, url, html FROM {pages}
+UNION ALL SELECT -2 * page_id - 1, concat('http://mirror.test/', page_id), CASE page_id % 8
+  WHEN 0 THEN concat('<link rel="alternate canonical" href="', url, '">')
+  WHEN 1 THEN concat('<base href="http://hop.test/"><link rel=canonical href="', page_id, '">')
+  WHEN 2 THEN concat('<!-- <link rel="canonical" href="', url, '"> -->')
+  WHEN 3 THEN concat('<link title="a > b" rel="canonical" href="', url, '">')
+  WHEN 4 THEN concat('<meta http-equiv="refresh" content="0; url=', url, '">')
+  WHEN 5 THEN concat('<script>var a = ''<link rel="canonical" href="', url, '">'';</script>')
+  WHEN 6 THEN '<link href="http://user@mirror.test:80" rel="canonical">'
+  ELSE concat('<a title=''<link rel="canonical" href="', url, '">''>') END
+FROM {pages}
+UNION ALL SELECT -2 * page_id - 2, concat('http://hop.test/', page_id), concat('<meta http-equiv=Refresh content="5; URL=''', url, '''">')
+FROM {pages}
+"""
+
+
+@query("llm_url_aliases", urls.sql(_ALIASES.format(pages="pages")))
+def llm_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page and of aliases derived from it, so that blocks travel along links."""
+    pages = spark.sql(_ALIASES, pages=table(spark, sf_dir, "pages"))
+    return urls.judge(pages, RULES).withColumnRenamed("id", "page_id")
+
+
 @query("op8_mixing", mixing.SQL)
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents replicated to square-root source weights and shuffled."""

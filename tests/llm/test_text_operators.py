@@ -407,6 +407,24 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+def test_quality_lines_do_not_depend_on_pieces_or_neighbours():
+    r = random.Random(5)
+    texts = ["".join(r.choice(["a", "B", "é", "1", "!", "!", " ", "\n", "ab ", "漢", "\U0001f600"]) for _ in range(r.randrange(60))) for _ in range(40)] + [None, "", "\n\n", "w" * 300, "!!", "!!"]
+    x, row, size, rows = quality._lines(pa.array(texts))
+    for piece in (1, 2, 7, 64):
+        again = quality._lines(pa.array(texts), piece)
+        assert again[3] == rows and all((a == b).all() for a, b in zip(again[:3], (x, row, size)))
+    for i, text in enumerate(texts):
+        assert (quality._lines(pa.array([text], pa.string()))[0] == x[row == i]).all()
+        lines = [t for t in (text or "").split("\n") if t]
+        assert size[row == i].tolist() == list(map(len, lines))
+        doubled = [sum(a == b and not (a.isalnum() or a.isspace()) for a, b in zip(t, t[1:])) / len(t) for t in lines]
+        same = [sum(a.lower() == b.lower() for a, b in zip(t.split(), t.split()[1:])) / max(len(t.split()), 1) for t in lines]
+        fewer = [1 - len(set(t.lower().split())) / max(len(t.split()), 1) if t.split() else 1.0 for t in lines]
+        for k, want in ((8, doubled), (5, same), (6, fewer)):
+            assert np.allclose(x[row == i][:, k], want, atol=1e-6), (i, k)
+
+
 def test_urls(spark):
     prepare(spark)
     rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]

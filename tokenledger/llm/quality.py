@@ -19,6 +19,7 @@ from . import texts as T
 from .scratch import settled, shipped
 from .toxicity import _logistic, sample
 
+_PIECE = 1 << 20  # characters that are looked at together
 FEATURES = ("length", "upper", "digit", "symbol", "word_length", "repeated_next", "repeated_in_line", "seen_line", "doubled_symbols", "single_letters", "end_mark")
 
 
@@ -34,8 +35,35 @@ class Model:
     scale: np.ndarray
 
 
-def _lines(column: pa.Array):
-    """Features of all non-empty lines: matrix, row of each line, its length; number of rows."""
+class _Spans:
+    """Sums over spans of a sequence that comes piece by piece; starts and ends ascend."""
+
+    def __init__(self, starts: np.ndarray, ends: np.ndarray):
+        self.bounds = (starts, ends)
+        self.sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, name: str, total: np.ndarray, at: int) -> None:
+        """``total``: running sums before each place of the piece that begins ``at``, and behind it."""
+        sums = self.sums.setdefault(name, tuple(np.zeros(where.size, total.dtype) for where in self.bounds))
+        for where, out in zip(self.bounds, sums):
+            i, j = np.searchsorted(where, at, "left"), np.searchsorted(where, at + total.size - 1, "right")
+            out[i:j] = total[where[i:j] - at]
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        low, high = self.sums[name]
+        return high - low
+
+    def hashes(self) -> np.ndarray:
+        own = self["value"]
+        return T.mix(own + T.mix(self["place"] - own * self.bounds[0].astype(np.uint64)))
+
+
+def _lines(column: pa.Array, piece: int = _PIECE):
+    """Features of all non-empty lines: matrix, row of each line, its length; number of rows.
+
+    Characters are looked at in pieces, so beside its code points a long text holds
+    arrays of its lines and words only.
+    """
     points, offsets = T.codepoints(column)
     rows = len(offsets) - 1
     starts, ends, row = T.runs(points != 10, offsets)
@@ -43,44 +71,55 @@ def _lines(column: pa.Array):
     if not n:
         return np.zeros((0, len(FEATURES)), np.float32), row, ends - starts, rows
     table = T.tables()
-    letter, digit, upper = (T.look(table[x], points) for x in ("letter", "digit", "upper"))
-    space = T.look(table["space"], points)
-    symbol = ~(letter | digit | space)
-
-    def share(mask):
-        total = np.concatenate([[0], np.cumsum(mask)])
-        return (total[ends] - total[starts]).astype(np.float64)
-
-    size = (ends - starts).astype(np.float64)
-    letters = share(letter)
-    again = np.zeros(points.size, bool)
-    again[1:] = symbol[1:] & (points[1:] == points[:-1])
+    space = np.empty(points.size, bool)
+    for at in range(0, points.size, piece):
+        space[at : at + piece] = T.look(table["space"], points[at : at + piece])
     # Words and their hashes: a word is a run without white space.
     bounds = np.append(starts, points.size) if starts[0] == 0 else np.concatenate([[0], starts, [points.size]])
     w_start, w_end, _ = T.runs(~space, bounds)
+    lines, said = _Spans(starts, ends), _Spans(w_start, w_end)
+    heads = offsets[:-1]
+    carried: dict[str, np.generic] = {}
+    for at in range(0, points.size, piece):
+        part = points[at : at + piece]
+        letter, digit, upper = (T.look(table[x], part) for x in ("letter", "digit", "upper"))
+        symbol = ~(letter | digit | space[at : at + piece])
+        again = symbol.copy()
+        again[1:] &= part[1:] == part[:-1]
+        again[0] &= at > 0 and part[0] == points[at - 1]
+        again[heads[(heads >= at) & (heads < at + part.size)] - at] = False
+        value = T.mix(T.look(table["lower"], part).astype(np.uint64) + np.uint64(1))
+        place = value * np.arange(at + 1, at + 1 + part.size, dtype=np.uint64)
+        for name, found in (("letter", letter), ("digit", digit), ("upper", upper), ("symbol", symbol), ("again", again), ("value", value), ("place", place)):
+            total = np.zeros(part.size + 1, np.int64 if found.dtype == bool else np.uint64)
+            np.cumsum(found, out=total[1:])
+            total += carried.get(name, total[0])
+            carried[name] = total[-1]
+            lines.add(name, total, at)
+            if found.dtype != bool:
+                said.add(name, total, at)
+    size, letters = (ends - starts).astype(np.float64), lines["letter"].astype(np.float64)
+    word, short = said.hashes(), w_end - w_start == 1
     line = np.searchsorted(starts, w_start, "right") - 1
-    value = T.mix(T.look(table["lower"], points).astype(np.uint64) + np.uint64(1))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
-    places = np.concatenate([[np.uint64(0)], np.cumsum(value * (np.arange(points.size, dtype=np.uint64) + np.uint64(1)), dtype=np.uint64)])
-    own = total[w_end] - total[w_start]
-    word = T.mix(own + T.mix(places[w_end] - places[w_start] - own * w_start.astype(np.uint64)))
+    del said, w_start, w_end, space
     words = np.bincount(line, minlength=n).astype(np.float64)
     next_same = np.zeros(word.size, bool)
     next_same[1:] = (word[1:] == word[:-1]) & (line[1:] == line[:-1])
     key = T.mix(word ^ T.mix(line.astype(np.uint64) + np.uint64(7)))
+    del word
     order = np.argsort(key)
-    fresh = np.ones(word.size, bool)
-    fresh[order[1:]] = key[order[1:]] != key[order[:-1]]
+    key = key[order]
+    fresh = np.ones(key.size, bool)
+    fresh[order[1:]] = key[1:] != key[:-1]
+    del key, order
     distinct = np.bincount(line, fresh, n)
-    line_own = total[ends] - total[starts]
-    line_hash = T.mix(line_own + T.mix(places[ends] - places[starts] - line_own * starts.astype(np.uint64)))
-    line_hash = T.mix(line_hash ^ T.mix(row.astype(np.uint64) + np.uint64(11)))
+    line_hash = T.mix(lines.hashes() ^ T.mix(row.astype(np.uint64) + np.uint64(11)))
     _, inverse, count = np.unique(line_hash, return_inverse=True, return_counts=True)
     many = np.maximum(words, 1)
     x = np.stack([
-        np.log1p(size), share(upper) / np.maximum(letters, 1), share(digit) / size, share(symbol) / size, letters / many,
-        np.bincount(line, next_same, n) / many, 1 - distinct / many, np.log(count[inverse].astype(float)), share(again) / size,
-        np.bincount(line, (w_end - w_start) == 1, n) / many, np.isin(points[ends - 1], np.array([ord(c) for c in ".!?:;…\"”»"], np.uint32)),
+        np.log1p(size), lines["upper"] / np.maximum(letters, 1), lines["digit"] / size, lines["symbol"] / size, letters / many,
+        np.bincount(line, next_same, n) / many, 1 - distinct / many, np.log(count[inverse].astype(float)), lines["again"] / size,
+        np.bincount(line, short, n) / many, np.isin(points[ends - 1], np.array([ord(c) for c in ".!?:;…\"”»"], np.uint32)),
     ], 1)
     return x.astype(np.float32), row, ends - starts, rows
 

@@ -52,9 +52,9 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE):
 def codepoints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of a string column and the offsets of its rows in them."""
     data, offsets = raw(column)
-    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    sizes = [np.count_nonzero((data[a:b] & 0xC0) != 0x80) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
     points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-    return points, heads[offsets]
+    return points, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
 _PLANE = 0x33480  # no letter is assigned above

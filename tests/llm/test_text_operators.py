@@ -425,6 +425,18 @@ def test_quality_lines_do_not_depend_on_pieces_or_neighbours():
             assert np.allclose(x[row == i][:, k], want, atol=1e-6), (i, k)
 
 
+def test_word_hashes_do_not_depend_on_pieces():
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choice("abC\té") for _ in range(r.randrange(9))) for _ in range(r.randrange(20))) for _ in range(30)] + ["", None, "  ", "x" * 9000, "X" * 9000 + " x", "x" * 4096]
+    data, offsets = T.raw(pa.array(texts))
+    want = T.word_hashes(data, offsets)
+    spoken = [w.lower().encode() for t in texts for w in (t or "").split()]
+    assert [data[a:b].tobytes().lower() for a, b in zip(want[1], want[2])] == spoken
+    assert len(set(zip(want[0].tolist(), spoken))) == len(set(want[0].tolist())) == len(set(spoken))
+    for piece in (1, 3, 100, 4096):
+        assert all((a == b).all() for a, b in zip(T.word_hashes(data, offsets, piece=piece), want))
+
+
 def test_urls(spark):
     prepare(spark)
     rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]

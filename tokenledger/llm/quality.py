@@ -19,7 +19,6 @@ from . import texts as T
 from .scratch import settled, shipped
 from .toxicity import _logistic, sample
 
-_PIECE = 1 << 20  # characters that are looked at together
 FEATURES = ("length", "upper", "digit", "symbol", "word_length", "repeated_next", "repeated_in_line", "seen_line", "doubled_symbols", "single_letters", "end_mark")
 
 
@@ -35,30 +34,12 @@ class Model:
     scale: np.ndarray
 
 
-class _Spans:
-    """Sums over spans of a sequence that comes piece by piece; starts and ends ascend."""
+def _hashes(spans: T.Spans) -> np.ndarray:
+    own = spans["value"]
+    return T.mix(own + T.mix(spans["place"] - own * spans.bounds[0].astype(np.uint64)))
 
-    def __init__(self, starts: np.ndarray, ends: np.ndarray):
-        self.bounds = (starts, ends)
-        self.sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-    def add(self, name: str, total: np.ndarray, at: int) -> None:
-        """``total``: running sums before each place of the piece that begins ``at``, and behind it."""
-        sums = self.sums.setdefault(name, tuple(np.zeros(where.size, total.dtype) for where in self.bounds))
-        for where, out in zip(self.bounds, sums):
-            i, j = np.searchsorted(where, at, "left"), np.searchsorted(where, at + total.size - 1, "right")
-            out[i:j] = total[where[i:j] - at]
-
-    def __getitem__(self, name: str) -> np.ndarray:
-        low, high = self.sums[name]
-        return high - low
-
-    def hashes(self) -> np.ndarray:
-        own = self["value"]
-        return T.mix(own + T.mix(self["place"] - own * self.bounds[0].astype(np.uint64)))
-
-
-def _lines(column: pa.Array, piece: int = _PIECE):
+def _lines(column: pa.Array, piece: int = T.SLICE):
     """Features of all non-empty lines: matrix, row of each line, its length; number of rows.
 
     Characters are looked at in pieces, so beside its code points a long text holds
@@ -77,7 +58,7 @@ def _lines(column: pa.Array, piece: int = _PIECE):
     # Words and their hashes: a word is a run without white space.
     bounds = np.append(starts, points.size) if starts[0] == 0 else np.concatenate([[0], starts, [points.size]])
     w_start, w_end, _ = T.runs(~space, bounds)
-    lines, said = _Spans(starts, ends), _Spans(w_start, w_end)
+    lines, said = T.Spans(starts, ends), T.Spans(w_start, w_end)
     heads = offsets[:-1]
     carried: dict[str, np.generic] = {}
     for at in range(0, points.size, piece):
@@ -99,7 +80,7 @@ def _lines(column: pa.Array, piece: int = _PIECE):
             if found.dtype != bool:
                 said.add(name, total, at)
     size, letters = (ends - starts).astype(np.float64), lines["letter"].astype(np.float64)
-    word, short = said.hashes(), w_end - w_start == 1
+    word, short = _hashes(said), w_end - w_start == 1
     line = np.searchsorted(starts, w_start, "right") - 1
     del said, w_start, w_end, space
     words = np.bincount(line, minlength=n).astype(np.float64)
@@ -113,7 +94,7 @@ def _lines(column: pa.Array, piece: int = _PIECE):
     fresh[order[1:]] = key[1:] != key[:-1]
     del key, order
     distinct = np.bincount(line, fresh, n)
-    line_hash = T.mix(lines.hashes() ^ T.mix(row.astype(np.uint64) + np.uint64(11)))
+    line_hash = T.mix(_hashes(lines) ^ T.mix(row.astype(np.uint64) + np.uint64(11)))
     _, inverse, count = np.unique(line_hash, return_inverse=True, return_counts=True)
     many = np.maximum(words, 1)
     x = np.stack([

@@ -106,6 +106,25 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+class Spans:
+    """Sums over spans of a sequence that comes piece by piece; starts and ends ascend."""
+
+    def __init__(self, starts: np.ndarray, ends: np.ndarray):
+        self.bounds = (starts, ends)
+        self.sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, name: str, total: np.ndarray, at: int) -> None:
+        """``total``: running sums before each place of the piece that begins ``at``, and behind it."""
+        sums = self.sums.setdefault(name, tuple(np.zeros(where.size, total.dtype) for where in self.bounds))
+        for where, out in zip(self.bounds, sums):
+            i, j = np.searchsorted(where, at, "left"), np.searchsorted(where, at + total.size - 1, "right")
+            out[i:j] = total[where[i:j] - at]
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        low, high = self.sums[name]
+        return high - low
+
+
 # Word bytes and their hashes. Spaces are U+0020 and U+0009 to U+000D; A to Z
 # are lower-cased, all other bytes stay.
 _SPACE = np.zeros(256, bool)
@@ -117,26 +136,32 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4095, _BASE)]), dtype=np.uint64)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, piece: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of every row: hash, start byte, end byte, row.
 
-    ``space`` tells for each byte value whether it stands between words."""
+    ``space`` tells for each byte value whether it stands between words. Bytes are
+    looked at in pieces, so a long text holds arrays of its words only."""
     starts, ends, row = runs(~space[data], offsets)
     if not starts.size:
         return np.zeros(0, np.uint64), starts, ends, row
-    size = ends - starts
-    place = np.arange(data.size, dtype=np.int64)
-    place -= np.repeat(starts, np.diff(np.append(starts, data.size))) if starts[0] == 0 else np.concatenate(
-        [np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.append(starts, data.size)))]
-    )
-    value = _BYTE[data]
-    value[space[data]] = 0
-    value *= _POWERS[place & 4095]
-    if size.max() > 4096:  # later blocks of a very long word count under other powers
-        value = np.where(place > 4095, mix(value + (place >> 12).astype(np.uint64)), value)
-        value[space[data]] = 0
-    total = np.add.reduceat(value, starts)
-    return mix(total + size.astype(np.uint64) * _BASE), starts, ends, row
+    words = Spans(starts, ends)
+    carried = np.uint64(0)
+    for at in range(0, data.size, piece):
+        part = data[at : at + piece]
+        i, j = np.searchsorted(starts, (at, at + part.size))
+        # Place of a byte in its word; the first word here may have begun in an earlier piece.
+        begun = np.concatenate([[starts[i - 1] if i else at], starts[i:j]])
+        place = np.arange(at, at + part.size) - np.repeat(begun, np.diff(np.concatenate([[at], starts[i:j], [at + part.size]])))
+        value = _BYTE[part] * _POWERS[place & 4095]
+        far = place > 4095  # later blocks of a very long word count under other powers
+        value[far] = mix(value[far] + (place[far] >> 12).astype(np.uint64))
+        value[space[part]] = 0
+        total = np.zeros(part.size + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        total += carried
+        carried = total[-1]
+        words.add("value", total, at)
+    return mix(words["value"] + (ends - starts).astype(np.uint64) * _BASE), starts, ends, row
 
 
 def shingles(words: np.ndarray, row: np.ndarray, rows: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

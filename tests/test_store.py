@@ -159,6 +159,19 @@ def test_keyed_state_over_restarts(spark, tmp_path):
     assert arrives("2", ("b", 1), ("c", 9), ("a", 0)) == [("a", 2), ("b", 7), ("c", 9)]
 
 
+def test_keyed_state_is_not_asked_key_by_key(spark, tmp_path):
+    rows = spark.range(60_000).selectExpr("concat('k', id % 30000) AS request_id", "IF(id % 30000 = 7 AND id > 7, NULL, CAST(100000 - id AS INT)) AS at", "CAST(id AS STRING) AS note")
+    hot = spark.range(40_000).selectExpr("'hot' AS request_id", "CAST(abs(id - 25000) AS INT) AS at", "CAST(id AS STRING) AS note")
+    rows.unionByName(hot).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("request_id string, at int, note string").parquet(str(tmp_path / "in"))
+    found = first_in_stream(stream, ["at"])
+    assert "TransformWithState" not in (plan := found._jdf.queryExecution().logical().toString()) and "Deduplicate" in plan
+    found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = {r.request_id: (r["at"], r.note) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {f"k{i}": (70_000 - i, str(30_000 + i)) for i in range(30_000)} | {"k7": (None, "30007"), "hot": (0, "25000")}
+    assert got == want
+
+
 def test_second_pass_redaction(spark, event, tmp_path):
     store = LogStore(spark, str(tmp_path / "store"))
     ingest_batch(_frame(spark, event(input_preview="ask kim.lund@paper.example today", pii_redaction_count=2)), store, 0, redact_again=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -102,19 +103,67 @@ class FirstSeen(StatefulProcessor):
         pass
 
 
+#: Groups that a micro-batch is cut into by the hash of its keys. A task holds the keys of one.
+KEY_GROUPS = 1 << 14
+
+
+def _place(row: tuple) -> list:
+    """Nulls first, as in a sort."""
+    return [(v is not None, tuple(v.values()) if isinstance(v, dict) else v) for v in row]
+
+
+def _first_in_group(order: tuple[str, ...], key: str):
+    """The first row in ``order`` of every key of a group, read batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict = {}
+        kept: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            names = batch.column_names
+            rows = zip(batch.column(names.index(key)).to_pylist(), *[batch.column(names.index(c)).to_pylist() for c in order])
+            ahead: dict = {}
+            for i, (k, *at) in enumerate(rows):
+                at = _place(at)
+                if k not in best or at < best[k][0]:
+                    best[k] = (at, n)
+                    ahead[k] = i
+            if ahead:
+                taken = batch.take(pa.array(ahead.values(), pa.int64()))
+                for i, k in enumerate(ahead):
+                    best[k] = (best[k][0], n + i)
+                kept.append(taken)
+                n += taken.num_rows
+                if n > 2 * len(best) + 10_000:  # rows that a later one came before
+                    kept, n = [_taken(kept, best)], len(best)
+                    best = {k: (at, i) for i, (k, (at, _)) in enumerate(best.items())}
+        if best:
+            yield _taken(kept, best)
+
+    def _taken(kept: list[pa.RecordBatch], best: dict) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(kept).take(pa.array([i for _, i in best.values()], pa.int64()))
+        return whole.combine_chunks().to_batches()[0]
+
+    return run
+
+
 def first_in_stream(events: DataFrame, order: Sequence[str], key: str = "request_id", remember: timedelta | None = None) -> DataFrame:
     """First event per request across a whole stream, by keyed state.
 
     Within a micro-batch the first in ``order`` counts, across them the one that
     came first. State is one flag per key on disk, found by key, so a micro-batch
-    costs what it holds and not what came before it. ``remember`` frees a key that
+    costs what it holds and not what came before it. Copies inside a micro-batch are
+    taken out group by group in Arrow batches, and Spark's own keyed state does the rest;
+    a checkpoint of the state that ``remember`` uses doesn't fit it. ``remember`` frees a key that
     long after it was met (by the clock); without it keys stay for good. Keys must
-    not be null. Rows pass through Python; the columns should be few.
+    not be null. Rows pass through Python, with ``remember`` key by key; the columns should be few.
     """
-    ttl = None if remember is None else int(remember.total_seconds() * 1000)
-    return events.groupBy(key).transformWithState(
-        FirstSeen(tuple(order), ttl), events.schema, "append", "none" if ttl is None else "processingTime"
-    )
+    if remember is not None:
+        ttl = int(remember.total_seconds() * 1000)
+        return events.groupBy(key).transformWithState(FirstSeen(tuple(order), ttl), events.schema, "append", "processingTime")
+    group = F.pmod(F.xxhash64(key), F.lit(KEY_GROUPS)).alias("_group")
+    first = events.groupBy(group).applyInArrow(_first_in_group(tuple(order), key), events.schema)
+    return first.dropDuplicates([key])
 
 
 def dedupe_in_stream(events: DataFrame, delay: str, time: str = "received_at") -> DataFrame:

@@ -93,6 +93,19 @@ def test_caps(spark):
     assert _capped(spark, {"a": True, "b": 1.5, "c": None, "d": [1]}) == {"a": True, "b": 1.5, "c": None, "d": "[1]"}
 
 
+def test_map_entries_are_measured_once(spark):
+    frame = spark.range(1).select(F.create_map(F.lit("k"), F.lit("é😀").cast("variant")).alias("m"))
+    plan = frame.select(caps.cap_dict(F.col("m")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("to_json(") == 2  # the key's and the value's
+
+
+def test_escaped_length_follows_python(spark):
+    texts = ["", "plain", "é", "😀😀", "a😀é\u007f\n b", "é" * 300 + "z", "\u2028"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(J.escaped_length(F.col("t"))).collect()]
+    # Python leaves DEL and newline to the JSON text itself; here every one of them counts six.
+    assert got == [sum(1 if " " <= c <= "~" else 12 if ord(c) > 0xFFFF else 6 for c in t) for t in texts]
+
+
 def test_sampling(spark):
     df = spark.createDataFrame([(f"r{i}", s) for i, s in enumerate(["success"] * 50 + ["error", "cancelled"])], "request_id string, status string")
     assert S.sample(df, S.Probability(1.0)).count() == 52

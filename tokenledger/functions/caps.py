@@ -34,39 +34,52 @@ def cap_dict(entries: Column) -> Column:
         listed,
         lambda e: F.struct(e["key"].alias("key"), cap_value(e["value"]).alias("value")),
     )
+    # A lambda computes an expression as often as it names it; a field is read.
+    told = F.transform(
+        capped,
+        lambda e: F.struct(
+            e["key"].alias("key"), e["value"].alias("value"),
+            F.to_json(e["key"].cast("variant")).alias("_key"), F.to_json(e["value"]).alias("_value"),
+        ),
+    )
     # '{' and '}' are 2 bytes and n entries need n-1 separators of 2, which is
     # the same as 2 bytes per entry.
     sized = F.transform(
-        capped,
+        told,
         lambda e: F.struct(
             e["key"].alias("key"),
             e["value"].alias("value"),
             (
-                J.escaped_length(F.to_json(e["key"].cast("variant")))
-                + J.escaped_length(F.to_json(e["value"]))
+                J.escaped_length(e["_key"])
+                + J.escaped_length(e["_value"])
                 + F.lit(4)
             ).alias("size"),
         ),
     )
-    kept = F.aggregate(
-        sized,
-        F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("n"), F.lit(True).alias("open")),
-        lambda acc, e: F.struct(
-            (acc["bytes"] + e["size"]).alias("bytes"),
-            F.when(acc["open"] & (acc["bytes"] + e["size"] <= DICT_BYTES), acc["n"] + 1)
-            .otherwise(acc["n"])
-            .alias("n"),
-            (acc["open"] & (acc["bytes"] + e["size"] <= DICT_BYTES)).alias("open"),
-        ),
-        lambda acc: acc["n"],
-    )
+
+    def kept(entries: Column) -> Column:
+        return F.aggregate(
+            entries,
+            F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("n"), F.lit(True).alias("open")),
+            lambda acc, e: F.struct(
+                (acc["bytes"] + e["size"]).alias("bytes"),
+                F.when(acc["open"] & (acc["bytes"] + e["size"] <= DICT_BYTES), acc["n"] + 1)
+                .otherwise(acc["n"])
+                .alias("n"),
+                (acc["open"] & (acc["bytes"] + e["size"] <= DICT_BYTES)).alias("open"),
+            ),
+            lambda acc: acc["n"],
+        )
+
+    # As the one element of an array, entries are measured once and read twice.
+    prefix = F.get(F.transform(F.array(sized), lambda s: F.slice(s, F.lit(1), kept(s))), F.lit(0))
     empty = F.map_from_arrays(
         F.array().cast("array<string>"), F.array().cast("array<variant>")
     )
     return F.coalesce(
         F.map_from_entries(
             F.transform(
-                F.slice(sized, F.lit(1), kept),
+                prefix,
                 lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")),
             )
         ),

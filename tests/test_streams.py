@@ -81,6 +81,12 @@ def test_one_reply_spreads_over_tasks(spark, monkeypatch):
     assert row.output_text == text and row.output_preview == text.strip()[:280] and row.completed
 
 
+def test_chunks_are_dealt_out_by_count(spark):
+    chunks = _chunks(spark, {f"r{i}": b"data: x\n" * 40 for i in range(200)}, lambda: 9)
+    # Few bytes when compressed, which would all be merged into one task for each branch.
+    assert S.stream_lines(chunks).select(F.spark_partition_id().alias("p")).distinct().count() > 2
+
+
 def test_bodies_larger_than_a_variant(spark):
     pad = "y" * (1 << 20)
     body = F.concat(

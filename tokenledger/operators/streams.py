@@ -35,12 +35,16 @@ def stream_lines(chunks: DataFrame, keys: Sequence[str] = ("request_id",)) -> Da
 
     ``seq`` and ``at`` are those of the chunk that ended the line, ``index`` orders
     the lines of a chunk, and ``line`` has one character per byte: chunk borders
-    fall inside characters. What follows the last newline is no line.
+    fall inside characters. What follows the last newline is no line. Blocks are dealt
+    out over as many tasks as ``spark.sql.shuffle.partitions`` says: merged to a size in
+    compressed bytes, a task would sort many times that.
     """
+    parts = max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     block = F.floor(F.col("seq") / BLOCK_CHUNKS).alias("_block")
     before = Window.partitionBy(*keys, "_block").orderBy("seq", "at", "bytes").rowsBetween(Window.unboundedPreceding, -1)
     text = F.decode(F.coalesce("bytes", F.lit(b"")), "ISO-8859-1")
-    cut = settle(chunks.select(*keys, block, "seq", "at", "bytes").withColumn("_cut", F.split(text, "\n", -1)), ["_cut"])
+    dealt = chunks.select(*keys, block, "seq", "at", "bytes").repartition(parts, *keys, "_block")
+    cut = settle(dealt.withColumn("_cut", F.split(text, "\n", -1)), ["_cut"])
     numbered = cut.withColumn("_first", F.coalesce(F.sum(F.size("_cut") - 1).over(before), F.lit(0)))
     pieces = numbered.select(*keys, "_block", "seq", "at", "_first", F.size("_cut").alias("_n"), F.posexplode("_cut").alias("_i", "piece"))
     in_block = [*keys, "_block", "index"]

@@ -216,3 +216,26 @@ def test_live_series_writes_what_changed(spark, tmp_path):
     arrives("4", ("12:01:00", 100), watermark="10 minutes", at=cp, to=other)
     arrives("5", ("10:30:00", 100), watermark="10 minutes", at=cp, to=other)  # behind the watermark: dropped
     assert read_live_series(spark, other).count() == before + 1
+
+
+def test_a_batch_is_staged_and_not_cached(spark, event, tmp_path, monkeypatch):
+    """New rows are found by number, whichever side is few; nothing wide is kept in blocks."""
+    ids = [f"00000000-0000-4000-8000-{i:012x}" for i in range(12)]
+    sent = [event(request_id=x, latency_ms=1700 + n) for x in ids[:8] for n in (0, 1)] + ["{", event(latency_ms=1 << 31)]
+    cached = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before, seen, write = cached(), [], LogStore._dated
+    monkeypatch.setattr(LogStore, "_dated", lambda self, rows, *to: (seen.append(cached()), write(self, rows, *to)))
+    # Batch 0 keeps and drops many, batch 1 drops few, batch 2 keeps none.
+    monkeypatch.setattr(dedupe, "BROADCAST_KEYS", 2)
+    store = LogStore(spark, str(tmp_path / "store"))
+    ingest_batch(_frame(spark, *sent), store, 0)
+    assert max(seen) <= before
+    ingest_batch(_frame(spark, *(event(request_id=x) for x in ids[6:])), store, 1)
+    ingest_batch(_frame(spark, *(event(request_id=x) for x in ids[:3])), store, 2)
+    rows = store.logs().collect()
+    assert sorted(r.request_id for r in rows) == ids and {r.latency_ms for r in rows if r.batch_id == 0} == {1700}
+    assert not set(rows[0].asDict()) & {"_at", "_tie", "_dead", "pos"}
+    ledger = {r.batch_id: (r.received, r.stored, r.duplicates, r.parked) for r in store.ledger().collect()}
+    assert ledger == {0: (18, 8, 8, 2), 1: (6, 4, 2, 0), 2: (3, 0, 3, 0)}
+    assert sorted(r.stage for r in store.dead_letters().collect()) == ["processing", "validation"]
+    assert store.keys().count() == 12 and not list((tmp_path / "store").glob("staging/*"))

@@ -69,29 +69,50 @@ def check(
     )
 
 
+def _log_columns(events: DataFrame, processed_at: Column, given: Column | None = None) -> list[Column]:
+    """The stored columns of an event; null where ``given`` is not true."""
+    filled = {"received_at": F.coalesce(F.col("received_at"), processed_at), "processed_at": processed_at}
+
+    def value(name: str) -> Column:
+        column = filled.get(name, F.col(name))
+        return column if given is None else F.when(given, column)
+
+    return [
+        *[value(f.name).cast(f.dataType).alias(f.name) for f in INFERENCE_LOGS.fields],
+        *[value(c).alias(c) for c in ("pos",) if c in events.columns],
+    ]
+
+
 def to_logs(valid: DataFrame, processed_at: Column | None = None) -> DataFrame:
     """The stored columns, with both arrival times filled in."""
-    now = F.current_timestamp() if processed_at is None else processed_at
-    filled = valid.withColumns(
-        {"received_at": F.coalesce(F.col("received_at"), now), "processed_at": now}
-    )
-    return filled.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in INFERENCE_LOGS.fields],
-        *[c for c in ("pos",) if c in valid.columns],
-    )
+    return valid.select(*_log_columns(valid, F.current_timestamp() if processed_at is None else processed_at))
 
 
-def to_dead_letters(bad: DataFrame) -> DataFrame:
-    """Error text cut to 1000 characters, and the payload as JSON text.
-
-    Text that is no JSON is wrapped so that the payload column always is.
-    """
+def _dead_letter() -> list[Column]:
     unparseable = F.exists("errors", lambda e: e["code"] == "unparseable")
-    return bad.select(
+    return [
         F.substring("error", 1, ERROR_CHARS).alias("error"),
         F.when(
             unparseable, F.to_json(F.struct(F.col("value").alias("__unparseable__")))
         ).otherwise(F.col("value")).alias("data"),
-        "stage",
+        F.col("stage").alias("stage"),
         F.coalesce("received_at", F.current_timestamp()).alias("received_at"),
+    ]
+
+
+def to_dead_letters(bad: DataFrame) -> DataFrame:
+    """Error text cut to 1000 characters, and the payload as JSON text.
+
+    Text that is no JSON is wrapped so that the payload column always is.
+    """
+    return bad.select(*_dead_letter())
+
+
+def to_rows(checked: DataFrame, processed_at: Column) -> DataFrame:
+    """Good and bad events as one table: the columns of :func:`to_logs`, null for bad
+    ones, and ``_dead``, what :func:`to_dead_letters` makes of a bad one, else null.
+    Payloads of good events are left out."""
+    good = F.col("error").isNull()
+    return checked.select(
+        *_log_columns(checked, processed_at, good), F.when(~good, F.struct(*_dead_letter())).alias("_dead"), good.alias("_good")
     )

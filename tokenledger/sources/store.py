@@ -1,7 +1,8 @@
 """The log store: Parquet tables with idempotent batch writes.
 
 Layout: ``logs/started_date=D/batch_id=N``, ``profile/started_date=D/batch_id=N``,
-``keys/batch_id=N``, ``dead_letters/batch_id=N`` and ``ledger/batch_id=N``. Keys are
+``keys/batch_id=N``, ``dead_letters/batch_id=N`` and ``ledger/batch_id=N``, and for as
+long as a batch is written ``staging/batch_id=N``. Keys are
 the stored request ids with their hashes, in the order of the hashes; a batch is
 compared with them and never reads logs. A batch replaces only its
 own folders, so writing it again after a failure has no further effect. Batch ids
@@ -16,7 +17,8 @@ What a manifest replaced stays readable until ``expire``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -26,6 +28,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..operators.metrics import bucket_start, fold_series, latency_profile
+from ..operators import dedupe
 from ..operators.dedupe import first_wins, hashed_keys, unseen_keys
 
 LEDGER = T.StructType(
@@ -134,7 +137,8 @@ class LogStore:
         The batch's own earlier output does not count, otherwise a repeated
         attempt would find its rows already stored and write none.
         """
-        order = ["received_at", *[c for c in ("pos",) if c in logs.columns], "completed_at", "latency_ms"]
+        named = lambda name: [c for c in (name,) if c in logs.columns]
+        order = ["received_at", *named("pos"), "completed_at", "latency_ms", *named("_tie")]
         stored = self.keys().filter(F.col("batch_id") != batch_id)
         return unseen_keys(first_wins(logs, order).drop("pos"), stored, known_rows=known_rows)
 
@@ -159,20 +163,58 @@ class LogStore:
             .parquet(f"{self.root}/{table}")
         )
 
+    @contextmanager
+    def staged(self, rows: DataFrame, batch_id: int) -> Iterator[DataFrame]:
+        """The rows of a batch written to ``staging/batch_id=N``, to be read several times.
+
+        Adds ``_at``, a number per row, and ``_tie``, a hash of all columns that can be
+        hashed, by which equal events are told apart. The folder goes in the end; what
+        a failed attempt left is replaced.
+        """
+        path = f"{self.root}/staging/batch_id={batch_id}"
+        plain = [c for c, kind in rows.dtypes if not c.startswith("_") and "map<" not in kind and "variant" not in kind]
+        marked = rows.withColumns({"_tie": F.xxhash64(*plain), "_at": F.monotonically_increasing_id()})
+        marked.write.mode("overwrite").parquet(f"{path}/rows")
+        try:
+            yield self.spark.read.schema(marked.schema).parquet(f"{path}/rows")
+        finally:
+            _delete(self.spark, path, lambda _: False)
+
     def append_logs(self, logs: DataFrame, batch_id: int, known_rows: int | None = None) -> int:
         """Store what is new in a batch, and its latency profile; returns the number of rows."""
+        with self.staged(logs, batch_id) as rows:
+            return self.append_staged(rows, batch_id, known_rows)
+
+    def append_staged(self, logs: DataFrame, batch_id: int, known_rows: int | None = None) -> int:
+        """:meth:`append_logs` for logs of :meth:`staged`.
+
+        Keys, order and numbers of the rows alone decide what is new. Whole rows are
+        read once, by the writer of logs, and only shuffled before that if both
+        the new rows and the others are many.
+        """
         if not self._holds("keys") and self._holds("logs"):  # a store of before there were key tables
             earlier = self.logs().filter(F.col("batch_id") != batch_id)
             hashed_keys(earlier).orderBy("key_hash").write.mode("overwrite").parquet(f"{self.root}/keys/batch_id=-1")
-        rows = self.new_rows(logs, batch_id, known_rows).withColumn("started_date", F.to_date("started_at")).persist()
-        try:
-            self._dated(rows, "logs", batch_id)
-            hashed_keys(rows).orderBy("key_hash").write.mode("overwrite").parquet(f"{self.root}/keys/batch_id={batch_id}")
-            bucket = bucket_start(PROFILE_SECONDS).alias("bucket")
-            self._dated(latency_profile(rows, ["started_date", bucket]), "profile", batch_id)
-            return rows.count()
-        finally:
-            rows.unpersist()
+        given = logs.count() if known_rows is None else known_rows
+        order = [c for c in ("received_at", "pos", "completed_at", "latency_ms") if c in logs.columns]
+        path = f"{self.root}/staging/batch_id={batch_id}/new"
+        new = self.new_rows(logs.select("request_id", *order, "_tie", "_at"), batch_id, known_rows).select("_at")
+        new.write.mode("overwrite").parquet(path)
+        new = self.spark.read.schema(new.schema).parquet(path)
+        kept = new.count()
+        rows = logs
+        if kept < given:
+            few = dedupe.BROADCAST_KEYS
+            if given - kept <= few < kept:
+                rows = logs.join(F.broadcast(logs.select("_at").join(new, "_at", "left_anti")), "_at", "left_anti")
+            else:
+                rows = logs.join(F.broadcast(new) if kept <= few else new, "_at", "left_semi")
+        rows = rows.drop("pos", "_tie", "_at").withColumn("started_date", F.to_date("started_at"))
+        self._dated(rows, "logs", batch_id)
+        hashed_keys(rows).orderBy("key_hash").write.mode("overwrite").parquet(f"{self.root}/keys/batch_id={batch_id}")
+        bucket = bucket_start(PROFILE_SECONDS).alias("bucket")
+        self._dated(latency_profile(rows, ["started_date", bucket]), "profile", batch_id)
+        return kept
 
     def profile(self) -> DataFrame:
         """Counters of all stored logs per date, minute and latency. They add up."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.redact import Redactor
-from ..operators.process import check, to_dead_letters, to_logs
+from ..operators.process import check, to_rows
 from ..operators.validate import validate
 from ..sources.bronze import accepted_events, explode_envelopes, stamp
 from ..sources.store import LogStore
@@ -31,19 +31,16 @@ def ingest_batch(
     again with the same id after a failure replaces what was written.
     """
     now = F.lit(datetime.now(timezone.utc))
-    # Three writes read the checked events. Persisted blocks lost with an
-    # executor are computed again from the source.
-    checked = check(bronze, prices, redact_again, redactor).checked.persist()
-    try:
-        counts = checked.agg(
-            F.count(F.lit(1)).alias("received"), F.count("error").alias("parked")
+    # Checked once and written: later reads take the columns they need, in splits of
+    # files, whose size does not depend on how much a task of the source held.
+    with store.staged(to_rows(check(bronze, prices, redact_again, redactor).checked, now), batch_id) as rows:
+        counts = rows.agg(
+            F.count(F.lit(1)).alias("received"), F.count_if(~F.col("_good")).alias("parked")
         ).first()
-        good = to_logs(checked.filter(F.col("error").isNull()), processed_at=now)
-        stored = store.append_logs(good, batch_id, known_rows=counts.received - counts.parked)
-        store.park(to_dead_letters(checked.filter(F.col("error").isNotNull())), batch_id)
+        good = rows.filter("_good").drop("_dead", "_good")
+        stored = store.append_staged(good, batch_id, known_rows=counts.received - counts.parked)
+        store.park(rows.filter(~F.col("_good")).select("_dead.*"), batch_id)
         store.note(batch_id, counts.received, counts.parked, stored)
-    finally:
-        checked.unpersist()
 
 
 def ingest_envelopes(envelopes: DataFrame, store: LogStore, batch_id: int, at: Column | None = None, **options) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from tokenledger import schemas
 from tokenledger.operators import capture as X
 from tokenledger.operators import streams as S
+from tokenledger.plans import inputs as I
+from tokenledger.session import written
 
 START = datetime(2024, 1, 1)
 
@@ -106,3 +109,58 @@ def test_fields_of_other_kinds_do_not_hide_the_rest(spark):
     frame = spark.createDataFrame([(i, "openai", r[0]) for i, r in enumerate(rows)] + [(99, "openai", "[1]"), (98, "openai", '"text"')], "id int, provider string, request_body string")
     got = {r.id: (r.model, r.streaming, r.input_text) for r in X.parse_requests(frame).collect()}
     assert got == {i: r[1:] for i, r in enumerate(rows)}
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 50)
+    r = random.Random(4)
+    bodies = {f"r{i}": "".join(r.choices(["\n", "é", "x" * 30, "y"], k=60)).encode() for i in range(20)} | {"large": b"z" * 500 + b"\n"}
+    chunks = _chunks(spark, bodies, lambda: r.choice([1, 7, 20]))
+    assert S.chunk_blocks(chunks).filter(F.length("_text") >= 50 + 20).count() == 0
+    got: dict = {}
+    for row in S.stream_lines(chunks).collect():
+        got.setdefault(row.request_id, []).append((row.seq, row["index"], row.line))
+    for rid, body in bodies.items():
+        assert [l for *_, l in sorted(got.get(rid, []))] == body.decode("latin-1").split("\n")[:-1], rid
+
+
+def test_lines_are_cut_once_and_only_what_is_said_is_written(spark, monkeypatch):
+    body = b"".join(b'event: x\r\ndata: {"choices":[{"delta":{"content":"w%d "}}]}\r\n\r\n' % i for i in range(50))
+    chunks = _chunks(spark, {"a": body, "mute": b"\n\nevent: x\ndata: 5\n\n", "open": b"data: 1"}, lambda: 9)
+    frames = []
+    monkeypatch.setattr(X, "written", lambda frame, name: frames.append(frame) or written(frame, name))
+    asked = spark.createDataFrame([(k, "openai") for k in ("a", "mute", "open", "none")], "request_id string, provider string")
+    got = {r.request_id: (r.completed, r.output_text) for r in X.fold_streams(asked, chunks).collect()}
+    assert got == {"a": (False, "".join(f"w{i} " for i in range(50))), "mute": (False, None), "open": (None, None), "none": (None, None)}
+    lines = frames[0]
+    # Lines with text, and the first and last pieces of three replies, one of which has no newline.
+    assert lines.filter(F.col("_piece").isNull()).count() == 50 and lines.filter(F.col("_piece").isNotNull()).count() == 5
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1 and "Union" not in plan
+
+
+def test_a_body_is_cut_into_words_once_and_encoded_once(spark, tmp_path):
+    texts = ["one", "", "two  words ", "é 😀 \n x", None]
+    rows = [(c, 1, "assistant", t) for c in range(40) for t in [texts[c % 5]]]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    chunks = I.captures(spark, str(tmp_path))[1]
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    lambdas = re.findall(r"lambdafunction\((.*?), lambda [wx]_", plan)
+    assert lambdas and not any("split(" in x for x in lambdas)
+    assert "encode(" not in plan[: plan.index("Generate explode")]
+    bodies: dict = {}
+    for r in chunks.collect():
+        bodies.setdefault(r.request_id, {})[r.seq] = r.bytes
+    for rid, cut in bodies.items():
+        conv = int(rid[24:32], 16)
+        if texts[conv % 5] is None:
+            assert cut == {0: None}
+            continue
+        body = b"".join(bytes(cut[i]) for i in range(len(cut)))
+        words = texts[conv % 5].split(" ")
+        half = (conv * 7 + 1) % 11 in (5, 7)
+        said = [w if i == len(words) - 1 else w + " " for i, w in enumerate(words)][: -(-len(words) // 2) if half else None]
+        lines = [x.removeprefix(b"data: ") for x in body.split(b"\n") if b'"content"' in x or b'"text_delta"' in x]
+        docs = [json.loads(x) for x in lines]
+        got = [d["choices"][0]["delta"]["content"] if "choices" in d else d["message"]["content"] if "message" in d else d["delta"]["text"] for d in docs]
+        assert got == said, rid

@@ -69,8 +69,10 @@ def items_at(doc: Column, path: str) -> Column:
 def as_text(value: Column) -> Column:
     """A present JSON value as text; booleans and null the way Python names them."""
     raw = F.try_variant_get(value, "$", "string")
+    # Strings come first: every test looks the value up once more.
     return (
-        F.when(kind(value) == "VOID", F.lit("None"))
+        F.when(kind(value) == "STRING", raw)
+        .when(kind(value) == "VOID", F.lit("None"))
         .when(kind(value) == "BOOLEAN", F.initcap(raw))
         .otherwise(raw)
     )
@@ -81,9 +83,9 @@ def is_truthy(value: Column) -> Column:
     raw = F.try_variant_get(value, "$", "string")
     name = kind(value)
     return F.coalesce(
-        F.when(name.isNull() | (name == "VOID"), F.lit(False))
-        .when(name == "BOOLEAN", raw == "true")
+        F.when(name == "BOOLEAN", raw == "true")
         .when(name == "STRING", raw != "")
+        .when(name.isNull() | (name == "VOID"), F.lit(False))
         .when(name.rlike("^(ARRAY|OBJECT)"), ~raw.isin("[]", "{}"))
         .otherwise(F.coalesce(F.try_variant_get(value, "$", "double"), F.lit(1.0)) != 0),
         F.lit(False),

@@ -27,7 +27,7 @@ def rstrip(text: Column) -> Column:
 
 def strip_ascii(text: Column) -> Column:
     """Remove the ASCII white space that stripping a byte string removes."""
-    return F.regexp_replace(text, r"^[ \t\n\r\x0b\f]+|[ \t\n\r\x0b\f]+\z", "")
+    return F.btrim(text, F.lit(" \t\n\r\x0b\f"))
 
 
 def collapse_spaces(text: Column) -> Column:

@@ -15,7 +15,7 @@ from ..functions.redact import Redactor, redact_columns
 from ..functions.settle import settle
 from ..functions.text import preview, strip, strip_ascii
 from ..session import written
-from .streams import fold_lines, stream_lines, text_preview, whole_text
+from .streams import chunk_blocks, crossing_lines, cut_blocks, fold_lines, is_whole, text_preview, whole_text
 
 SDK_VERSION = "0.4.0"
 ERROR_CHARS = 500
@@ -326,18 +326,18 @@ _SAID = ("text", "usage", "prompt", "completion", "closes", "done")
 _REPLY = ("request_id", "provider")
 
 
-def parse_lines(lines: DataFrame, handlers: Sequence[Handler] = DEFAULT_HANDLERS) -> DataFrame:
-    """What every line of :func:`stream_lines` says, by its ``provider``.
-
-    Lines are decoded as a whole; one that is no UTF-8 or no payload says nothing.
-    """
+def _payloads(lines: DataFrame, handlers: Sequence[Handler]) -> DataFrame:
+    """Lines with their ``_payload`` instead of ``line``, null for no payload or no UTF-8."""
     text = strip_ascii(F.try_validate_utf8(F.encode("line", "ISO-8859-1").cast("string")))
     df = settle(lines.withColumn("_text", text).drop("line"), ["_text"])
     is_event = _per_handler(handlers, lambda h: F.lit(h.events))
     payload = F.when(~is_event, F.col("_text")).when(
         F.startswith("_text", F.lit("data:")), strip_ascii(F.substring("_text", 6, 1 << 30))
     )
-    df = settle(df.withColumn("_payload", payload).drop("_text"), ["_payload"])
+    return settle(df.withColumn("_payload", payload).drop("_text"), ["_payload"])
+
+
+def _parse_payloads(df: DataFrame, handlers: Sequence[Handler]) -> DataFrame:
     df = settle(df.withColumn("_doc", J.strict_json(F.col("_payload"))), ["_doc"])
     said = {h.name: h.stream(F.col("_doc"), F.col("_payload")) for h in handlers if h.stream}
     df = df.withColumns({n: _per_handler(handlers, lambda h: said[h.name][n] if h.stream else None) for n in _SAID})
@@ -345,6 +345,42 @@ def parse_lines(lines: DataFrame, handlers: Sequence[Handler] = DEFAULT_HANDLERS
     return settle(df.drop("_doc", "_payload").withColumns(flags), _SAID)
 
 
+def parse_lines(lines: DataFrame, handlers: Sequence[Handler] = DEFAULT_HANDLERS) -> DataFrame:
+    """What every line of :func:`stream_lines` says, by its ``provider``.
+
+    Lines are decoded as a whole; one that is no UTF-8 or no payload says nothing.
+    """
+    return _parse_payloads(_payloads(lines, handlers), handlers)
+
+
+def _said(chunks: DataFrame, asked: DataFrame, handlers: Sequence[Handler]) -> DataFrame:
+    """What the lines of the asked replies say, parsed once and written.
+
+    Lines that say nothing are left out, but for those that cross blocks, of which
+    every reply with a complete line has one.
+    """
+    # Blocks, not chunks, meet the providers; then they are dealt out once more.
+    blocks = chunk_blocks(chunks).join(asked.hint("shuffle_hash"), "request_id")
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut_blocks(blocks.repartition(tasks, *_REPLY, "_block", "_part"))
+    line = F.col("line")
+    pieces = cut.withColumns({"line": F.when(is_whole(), line), "_piece": F.when(~is_whole(), line)})
+    # Half of the lines are empty or name an event; they need no parsing.
+    spoken = _payloads(pieces, handlers).filter((F.col("_payload") != "") | F.col("_piece").isNotNull())
+    parsed = _parse_payloads(spoken, handlers)
+    says = (F.col("text") != "") | F.col("closes") | F.col("done")
+    for name in ("usage", "prompt", "completion"):
+        says = says | F.col(name).isNotNull()
+    # The cut is read twice, and written for it as what it says.
+    kept = written(parsed.filter(F.coalesce(says, F.lit(False)) | F.col("_piece").isNotNull()), "lines")
+    columns = [*_REPLY, "seq", "at", "index", *_SAID]
+    borders = kept.filter(F.col("_piece").isNotNull()).select(*_REPLY, "_block", "_part", "index", F.col("_piece").alias("line"), "_end")
+    crossing = parse_lines(crossing_lines(borders, _REPLY).repartition(tasks, *_REPLY, "seq"), handlers)
+    crossing = written(crossing.select(*columns), "lines")
+    whole = kept.filter(F.col("_piece").isNull()).withColumns({"seq": F.col("_end.seq"), "at": F.col("_end.at")})
+    return whole.select(*columns).unionByName(crossing)
+
+
 def fold_streams(
     streams: DataFrame, chunks: DataFrame, handlers: Sequence[Handler] = DEFAULT_HANDLERS, whole: bool = True
 ) -> DataFrame:
@@ -356,10 +392,7 @@ def fold_streams(
     lines has nulls.
     """
     asked = streams.select(*_REPLY).distinct()
-    # The narrow side is hashed, so chunks need no sort for this join.
-    lines = stream_lines(chunks.join(asked.hint("shuffle_hash"), "request_id"), _REPLY)
-    # Read by several aggregates, parsed once.
-    said = written(parse_lines(lines, handlers), "lines")
+    said = _said(chunks, asked, handlers)
     folded = fold_lines(said, _REPLY).join(
         text_preview(said, _REPLY).withColumnRenamed("preview", "output_preview"), list(_REPLY), "left"
     )

@@ -1,9 +1,8 @@
 """Streamed replies: chunks of any number and size, cut into lines and folded.
 
-A reply is dealt out in blocks of consecutive chunks. Chunks are cut at newlines on
-their own, and pieces of one line get the number of newlines before them in their
-block. Lines that cross blocks leave one piece in each; these few are numbered and
-put together in a second step. Lines are then ordinary rows, and what a reply says
+A reply is dealt out in blocks of consecutive chunks, bounded by count and bytes, and
+a block is cut at its newlines. Lines that cross blocks leave one piece in each; these
+few are numbered and put together in a second step. Lines are then ordinary rows, and what a reply says
 is an aggregate over them, so no task holds a reply.
 """
 
@@ -20,46 +19,80 @@ from ..functions.text import lstrip, rstrip
 #: Consecutive chunks whose texts one row holds on the way to a whole reply.
 BLOCK_CHUNKS = 4096
 
+#: Bytes of chunks after which a block that is cut into lines goes on in another row.
+BLOCK_BYTES = 1 << 20
 
-def _joined(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pieces of lines put together: as many in a row as one line has."""
-    item = F.when(F.col("piece") != "", F.struct("seq", "at", "piece"))
-    return pieces.groupBy(*keys).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda p: p["piece"]), "").alias("line"),
-        F.max(F.when(F.col("ends"), F.struct("seq", "at"))).alias("_end"), F.min("seq").alias("seq"), F.min("at").alias("at"),
-    )
 
+def _tasks(frame: DataFrame) -> int:
+    return max(1, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-def stream_lines(chunks: DataFrame, keys: Sequence[str] = ("request_id",)) -> DataFrame:
-    """The complete lines of every reply: keys, ``seq``, ``at``, ``index``, ``line``.
 
-    ``seq`` and ``at`` are those of the chunk that ended the line, ``index`` orders
-    the lines of a chunk, and ``line`` has one character per byte: chunk borders
-    fall inside characters. What follows the last newline is no line. Blocks are dealt
-    out over as many tasks as ``spark.sql.shuffle.partitions`` says: merged to a size in
-    compressed bytes, a task would sort many times that.
+def chunk_blocks(chunks: DataFrame, keys: Sequence[str] = ("request_id",)) -> DataFrame:
+    """Consecutive chunks of a reply as one text: keys, ``_block``, ``_part``, ``_text``, ``_ends``.
+
+    A row holds at most ``BLOCK_CHUNKS`` chunks and, but for its last one, fewer than
+    ``BLOCK_BYTES`` bytes. ``_text`` has one character per byte, since chunk borders fall
+    inside characters; ``_ends`` has ``seq`` and ``at`` of the chunk of each newline.
+    Blocks are dealt out over as many tasks as ``spark.sql.shuffle.partitions`` says:
+    merged to a size in compressed bytes, a task would sort many times that.
     """
-    parts = max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     block = F.floor(F.col("seq") / BLOCK_CHUNKS).alias("_block")
+    dealt = chunks.select(*keys, block, "seq", "at", F.coalesce("bytes", F.lit(b"")).alias("bytes")).repartition(_tasks(chunks), *keys, "_block")
     before = Window.partitionBy(*keys, "_block").orderBy("seq", "at", "bytes").rowsBetween(Window.unboundedPreceding, -1)
-    text = F.decode(F.coalesce("bytes", F.lit(b"")), "ISO-8859-1")
-    dealt = chunks.select(*keys, block, "seq", "at", "bytes").repartition(parts, *keys, "_block")
-    cut = settle(dealt.withColumn("_cut", F.split(text, "\n", -1)), ["_cut"])
-    numbered = cut.withColumn("_first", F.coalesce(F.sum(F.size("_cut") - 1).over(before), F.lit(0)))
-    pieces = numbered.select(*keys, "_block", "seq", "at", "_first", F.size("_cut").alias("_n"), F.posexplode("_cut").alias("_i", "piece"))
-    in_block = [*keys, "_block", "index"]
-    lines = _joined(pieces.select(*keys, "_block", (F.col("_first") + F.col("_i")).alias("index"), "seq", "at", "piece", (F.col("_i") < F.col("_n") - 1).alias("ends")), in_block)
-    # A block's first line may have begun and its last may end in another one.
-    inside = F.col("_end").isNotNull() & (F.col("index") > 0)
-    whole = lines.filter(inside).select(*keys, "_end.seq", "_end.at", "index", "line")
+    sized = dealt.withColumn("_part", F.floor(F.coalesce(F.sum(F.octet_length("bytes")).over(before), F.lit(0)) / BLOCK_BYTES))
+    text = F.decode("bytes", "ISO-8859-1")
+    newlines = F.octet_length("bytes") - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    item = F.struct("seq", "at", text.alias("text"), newlines.alias("n"))
+    rows = sized.groupBy(*keys, "_block", "_part").agg(F.sort_array(F.collect_list(item)).alias("_chunks"))
+    ending = F.filter("_chunks", lambda c: c["n"] > 0)
+    return rows.select(
+        *keys, "_block", "_part", F.array_join(F.transform("_chunks", lambda c: c["text"]), "").alias("_text"),
+        F.flatten(F.transform(ending, lambda c: F.array_repeat(F.struct(c["seq"].alias("seq"), c["at"].alias("at")), c["n"]))).alias("_ends"),
+    )
+
+
+def cut_blocks(blocks: DataFrame) -> DataFrame:
+    """Lines and pieces of lines of :func:`chunk_blocks`: its keys, ``index``, ``line``, ``_end``.
+
+    ``_end`` is null for what follows a block's last newline.
+    """
+    keys = [c for c in blocks.columns if c not in ("_text", "_ends")]
+    lines = F.arrays_zip(F.split("_text", "\n", -1).alias("line"), F.col("_ends").alias("_end"))
+    cut = blocks.select(*keys, F.posexplode(lines).alias("index", "_cut"))
+    return cut.select(*keys, F.col("index").cast("long").alias("index"), "_cut.line", "_cut._end")
+
+
+def is_whole() -> Column:
+    """Of :func:`cut_blocks`, the lines that cannot cross blocks: the first may have
+    begun and the last may end in another one."""
+    return F.col("_end").isNotNull() & (F.col("index") > 0)
+
+
+def crossing_lines(borders: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The complete lines among pieces of :func:`cut_blocks` that are not whole: keys,
+    ``seq``, ``at``, ``index``, ``line``. A reply's first complete line is one of them.
+    """
     ended = F.col("_end").isNotNull()
-    earlier = Window.partitionBy(*keys).orderBy("_block", "index").rowsBetween(Window.unboundedPreceding, -1)
-    borders = lines.filter(~inside).select(
-        *keys, F.coalesce("_end.seq", "seq").alias("seq"), F.coalesce("_end.at", "at").alias("at"), F.col("line").alias("piece"), ended.alias("ends"),
-        F.coalesce(F.sum(ended.cast("int")).over(earlier), F.lit(0)).alias("_line"),
+    earlier = Window.partitionBy(*keys).orderBy("_block", "_part", "index").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = borders.withColumn("_line", F.coalesce(F.sum(ended.cast("int")).over(earlier), F.lit(0)))
+    # As many pieces in a row as one line has.
+    item = F.when(F.col("line") != "", F.struct("_block", "_part", "line"))
+    joined = numbered.groupBy(*keys, "_line").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda p: p["line"]), "").alias("line"), F.max("_end").alias("_end")
     )
-    crossing = _joined(borders, [*keys, "_line"]).filter(ended)
-    return whole.unionByName(crossing.select(*keys, "_end.seq", "_end.at", F.lit(0).cast("long").alias("index"), "line"))
+    return joined.filter(ended).select(*keys, "_end.seq", "_end.at", F.lit(0).cast("long").alias("index"), "line")
+
+
+def stream_lines(chunks: DataFrame, keys: Sequence[str] = ("request_id",)) -> DataFrame:
+    """The complete lines of every reply: keys, ``seq``, ``at``, ``index``, ``line``.
+
+    ``seq`` and ``at`` are those of the chunk that ended the line, ``index`` orders
+    the lines of a chunk, and ``line`` has one character per byte. What follows the
+    last newline is no line.
+    """
+    cut = cut_blocks(chunk_blocks(chunks, keys))
+    whole = cut.filter(is_whole()).select(*keys, "_end.seq", "_end.at", "index", "line")
+    return whole.unionByName(crossing_lines(cut.filter(~is_whole()), keys))
 
 
 def _blocks(texts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -385,10 +385,12 @@ def _capture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _body(df: DataFrame) -> DataFrame:
     """Add the text of a streamed reply in its vendor's format."""
     words = F.split("text", " ", -1)
-    kept = F.when(F.col("half"), F.ceil(F.size(words) / 2)).otherwise(F.size(words)).cast("int")
-    spoken = F.transform(
-        F.slice(words, F.lit(1), kept),
-        lambda w, i: F.when(i == F.size(words) - 1, w).otherwise(F.concat(w, F.lit(" "))),
+    n_words = F.size(words)
+    kept = F.when(F.col("half"), F.ceil(n_words / 2)).otherwise(n_words).cast("int")
+    # Nothing in the lambda depends on the list, or every word would cut the text again.
+    spoken = F.concat(
+        F.transform(F.slice(words, F.lit(1), F.least(kept, n_words - 1)), lambda w: F.concat(w, F.lit(" "))),
+        F.slice(words, n_words, F.greatest(kept - n_words + 1, F.lit(0))),
     )
     p, n = F.col("prompt").cast("string"), F.col("completion").cast("string")
 
@@ -513,10 +515,9 @@ def captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
             "map<string,variant>",
         ).alias("tags"),
     )
-    cut = bodies.filter("streamed_ok").select(
-        "request_id", "started_at", F.encode("body", "UTF-8").alias("body"),
-        F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("seq"),
-    )
+    # Encoded before there are pieces, or every piece would encode the whole body again.
+    sent = bodies.filter("streamed_ok").select("request_id", "started_at", F.encode("body", "UTF-8").alias("body"), pieces.alias("pieces"))
+    cut = sent.select("request_id", "started_at", "body", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("seq"))
     chunks = cut.select(
         "request_id", "seq",
         F.timestamp_micros(F.unix_micros("started_at") + (F.col("seq") + 1) * _PIECE_MS * 1000).alias("at"),

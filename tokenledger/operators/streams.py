@@ -42,8 +42,9 @@ def chunk_blocks(chunks: DataFrame, keys: Sequence[str] = ("request_id",)) -> Da
     sized = dealt.withColumn("_part", F.floor(F.coalesce(F.sum(F.octet_length("bytes")).over(before), F.lit(0)) / BLOCK_BYTES))
     text = F.decode("bytes", "ISO-8859-1")
     newlines = F.octet_length("bytes") - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    item = F.struct("seq", "at", text.alias("text"), newlines.alias("n"))
-    rows = sized.groupBy(*keys, "_block", "_part").agg(F.sort_array(F.collect_list(item)).alias("_chunks"))
+    # Made before they are collected, or an aggregate would interpret them.
+    items = sized.select(*keys, "_block", "_part", F.struct("seq", "at", text.alias("text"), newlines.alias("n")).alias("_chunk"))
+    rows = items.groupBy(*keys, "_block", "_part").agg(F.sort_array(F.collect_list("_chunk")).alias("_chunks"))
     ending = F.filter("_chunks", lambda c: c["n"] > 0)
     return rows.select(
         *keys, "_block", "_part", F.array_join(F.transform("_chunks", lambda c: c["text"]), "").alias("_text"),

@@ -350,6 +350,8 @@ def _capture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = rows.select(
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked")
     )
+    # Rows are few bytes for the work they make, so they are dealt out by count.
+    rows = rows.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "conv_id", "turn")
     c, t = F.col("conv_id"), F.col("turn")
     call = F.col("role") == "assistant"
     df = rows.join(before, ["conv_id", "turn"], "left").withColumns(

@@ -65,6 +65,20 @@ def test_a_batch_reads_no_logs(spark, event, tmp_path, monkeypatch):
     assert sorted(r.request_id for r in store.new_rows(rows, 1, 6).collect()) == ids[5:]
 
 
+def test_many_keys_are_never_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "BROADCAST_KEYS", 2)
+    rows = spark.range(9).select(F.format_string("r%d", "id").alias("request_id"))  # few bytes, as Spark knows
+    for last, joins in ((5, "SortMergeJoin"), (1, "BroadcastHashJoin")):  # how many hashes are met is counted
+        keys = dedupe.hashed_keys(rows.filter(F.col("request_id") < f"r{last}"))
+        new = dedupe.unseen_keys(rows, keys, known_rows=9)
+        found, _, met = new._jdf.queryExecution().executedPlan().toString().partition("InMemoryRelation")
+        assert joins in found and "Broadcast" not in met
+        assert sorted(r.request_id for r in new.collect()) == [f"r{i}" for i in range(last, 9)]
+    # Without stored keys the new ones are not made.
+    broken = rows.select(F.raise_error(F.lit("made")).cast("string").alias("request_id"))
+    assert dedupe.unseen_keys(broken, keys.limit(0), known_rows=9).columns == ["request_id"]
+
+
 @pytest.fixture
 def stored(spark, event):
     """Writes one batch of a store: the events of some numbers, one date each for a hundred."""

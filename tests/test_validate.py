@@ -124,6 +124,15 @@ def test_batches_are_accepted_as_a_whole(spark, event):
     assert counts == {"good": 2, "full": 500}
 
 
+def test_accepted_batches_are_never_broadcast(spark, event):
+    text = '{"events": [' + event() + "]}"
+    batch = F.when(F.col("id") < 30, F.format_string("b%d", F.col("id") % 20))  # half of them come twice, ten have no id
+    events = B.explode_envelopes(spark.range(40).select(batch.alias("batch_id"), F.lit(text).alias("value")))
+    accepted = B.accepted_events(events)
+    assert "Broadcast" not in accepted._jdf.queryExecution().executedPlan().toString()
+    assert accepted.count() == 30 and accepted.filter("batch_id IS NULL").count() == 0
+
+
 def test_envelope_files(spark, event, tmp_path):
     (tmp_path / "a.json").write_text('{"events": [' + event() + ",\n" + event() + "]}")
     events = B.explode_envelopes(B.read_envelopes(spark, str(tmp_path)))

@@ -45,6 +45,15 @@ def unseen(
     return events.join(keys, key, "left_anti")
 
 
+def counted(keys: DataFrame, few: bool) -> DataFrame:
+    """The right side of a join: broadcast where its rows are known to be few, else shuffled.
+
+    Left to itself Spark goes by the bytes it expects. Behind maps, variants and
+    generators it expects far too few, and so would broadcast any number of keys.
+    """
+    return F.broadcast(keys) if few else keys.hint("merge")
+
+
 def hashed_keys(rows: DataFrame, key: str = "request_id") -> DataFrame:
     """``key_hash`` and ``key``: what a key table holds."""
     return rows.select(F.xxhash64(key).alias("key_hash"), key)
@@ -56,14 +65,17 @@ def unseen_keys(events: DataFrame, keys: DataFrame, key: str = "request_id", kno
     Looks at the hashes alone first, 8 bytes a stored key; only if some are met are
     the keys behind them read, which tells a stored key from a new one with the same
     hash. ``known_rows`` decides as in :func:`unseen` whether hashes are broadcast;
-    those met are at most as many. Runs a job to see whether any hash is met.
+    those met are counted. Runs a job to see whether there are keys at all, and if so
+    one that counts the hashes met.
     """
+    if not keys.limit(1).count():
+        return events
     few = known_rows is not None and known_rows <= BROADCAST_KEYS
-    small = F.broadcast if few else (lambda frame: frame)
     asked = events.select(F.xxhash64(key).alias("key_hash"))
-    met = keys.select("key_hash").join(small(asked), "key_hash", "left_semi").distinct().persist()
-    if not met.limit(1).count():
+    met = keys.select("key_hash").join(counted(asked, few), "key_hash", "left_semi").distinct().persist()
+    found = met.count()
+    if not found:
         met.unpersist()
         return events
-    stored = keys.join(small(met), "key_hash", "left_semi").select(key)
-    return events.join(small(stored), key, "left_anti")
+    stored = keys.join(counted(met, found <= BROADCAST_KEYS), "key_hash", "left_semi").select(key)
+    return events.join(counted(stored, found <= BROADCAST_KEYS), key, "left_anti")

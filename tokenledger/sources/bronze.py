@@ -86,7 +86,9 @@ def accepted_events(events: DataFrame) -> DataFrame:
     """Events of batches that are valid as a whole.
 
     Positions of 500 and more exist only in batches that are too large and are
-    left out before the join, so no batch brings more than 500 rows to it.
+    left out before the join, so no batch brings more than 500 rows to it. Accepted
+    batches grow with the input and Spark expects far too few of them, so they are
+    shuffled and never broadcast.
     """
-    good = judge_batches(events).filter("accepted").select("batch_id")
+    good = judge_batches(events).filter("accepted").select("batch_id").hint("shuffle_hash")
     return events.filter(F.col("pos") < MAX_BATCH).join(good, "batch_id", "left_semi")

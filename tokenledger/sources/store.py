@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..operators.metrics import bucket_start, fold_series, latency_profile
 from ..operators import dedupe
-from ..operators.dedupe import first_wins, hashed_keys, unseen_keys
+from ..operators.dedupe import counted, first_wins, hashed_keys, unseen_keys
 
 LEDGER = T.StructType(
     [
@@ -205,10 +205,11 @@ class LogStore:
         rows = logs
         if kept < given:
             few = dedupe.BROADCAST_KEYS
+            new = counted(new, kept <= few)
             if given - kept <= few < kept:
                 rows = logs.join(F.broadcast(logs.select("_at").join(new, "_at", "left_anti")), "_at", "left_anti")
             else:
-                rows = logs.join(F.broadcast(new) if kept <= few else new, "_at", "left_semi")
+                rows = logs.join(new, "_at", "left_semi")
         rows = rows.drop("pos", "_tie", "_at").withColumn("started_date", F.to_date("started_at"))
         self._dated(rows, "logs", batch_id)
         hashed_keys(rows).orderBy("key_hash").write.mode("overwrite").parquet(f"{self.root}/keys/batch_id={batch_id}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenledger.functions import json as J
 from tokenledger.operators import emit as E
 from tokenledger.operators.process import check
+from tokenledger.sources import bronze
 from tokenledger.sources.bronze import explode_envelopes, judge_batches
 from tokenledger.sources.store import LogStore
 from tokenledger.streaming.ingest import ingest_batch, ingest_envelopes
@@ -31,6 +32,31 @@ def test_envelopes_reach_the_store(spark, event, tmp_path):
         E.to_envelopes(payload, 501)
 
 
+@pytest.mark.parametrize(("few", "more_refused"), [(100, 0), (100, 5), (0, 0)])
+def test_envelopes_are_written_and_not_cached(spark, event, tmp_path, monkeypatch, few, more_refused):
+    """Refused batches are few, accepted ones are, or neither."""
+    ids = [f"00000000-0000-4000-8000-{i:012x}" for i in range(6)]
+    sent = [event(request_id=x) for x in ids]
+    envelope = lambda *events: '{"events": [' + ",".join(events) + "]}"
+    rows = [("a", envelope(sent[0])), ("a", envelope(sent[1])), ("b", envelope(sent[2], event(latency_ms=1 << 31))), ("none", envelope())]
+    rows += [(None, envelope(sent[3])), ("bad", envelope(sent[4], '{"status": 1}')), ("over", envelope(*[sent[5]] * 251)), ("over", envelope(*[sent[5]] * 250))]
+    rows += [(f"bad-{i}", "{") for i in range(2)] + [(f"bad-{i}", envelope("1")) for i in range(2, 2 + more_refused)]
+    cached = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before, seen, write = cached(), [], LogStore._dated
+    monkeypatch.setattr(LogStore, "_dated", lambda self, rows, *to: (seen.append(cached()), write(self, rows, *to)))
+    monkeypatch.setattr(bronze, "BROADCAST_BATCHES", few)
+    store = LogStore(spark, str(tmp_path / "store"))
+    for _ in range(2):  # the same batch once more
+        ingest_envelopes(spark.createDataFrame(rows, "batch_id string, value string"), store, 0)
+    assert max(seen) <= before
+    assert sorted(r.request_id for r in store.logs().collect()) == ids[:3]
+    assert [(r.stage, r.error, json.loads(r.data)["latency_ms"]) for r in store.dead_letters().collect()] == [
+        ("processing", "processing error: latency_ms out of range", 1 << 31)
+    ]
+    assert [(r.received, r.stored, r.parked) for r in store.ledger().collect()] == [(4, 3, 1)]
+    assert not list((tmp_path / "store").glob("arrived/*")) and not list((tmp_path / "store").glob("staging/*"))
+
+
 def test_series_counts_redelivered_events_once(spark, event, tmp_path):
     store = LogStore(spark, str(tmp_path / "store"))
     frame = spark.createDataFrame([(event(),), (event(),)], "value string")

@@ -70,7 +70,7 @@ def check(
 
 
 def _log_columns(events: DataFrame, processed_at: Column, given: Column | None = None) -> list[Column]:
-    """The stored columns of an event; null where ``given`` is not true."""
+    """The stored columns of an event; null where ``given`` is not true. A position stays."""
     filled = {"received_at": F.coalesce(F.col("received_at"), processed_at), "processed_at": processed_at}
 
     def value(name: str) -> Column:
@@ -79,7 +79,7 @@ def _log_columns(events: DataFrame, processed_at: Column, given: Column | None =
 
     return [
         *[value(f.name).cast(f.dataType).alias(f.name) for f in INFERENCE_LOGS.fields],
-        *[value(c).alias(c) for c in ("pos",) if c in events.columns],
+        *[F.col(c) for c in ("pos",) if c in events.columns],
     ]
 
 
@@ -108,11 +108,11 @@ def to_dead_letters(bad: DataFrame) -> DataFrame:
     return bad.select(*_dead_letter())
 
 
-def to_rows(checked: DataFrame, processed_at: Column) -> DataFrame:
+def to_rows(checked: DataFrame, processed_at: Column, *also: Column) -> DataFrame:
     """Good and bad events as one table: the columns of :func:`to_logs`, null for bad
     ones, and ``_dead``, what :func:`to_dead_letters` makes of a bad one, else null.
-    Payloads of good events are left out."""
+    Payloads of good events are left out. ``also`` are columns to keep besides."""
     good = F.col("error").isNull()
     return checked.select(
-        *_log_columns(checked, processed_at, good), F.when(~good, F.struct(*_dead_letter())).alias("_dead"), good.alias("_good")
+        *_log_columns(checked, processed_at, good), F.when(~good, F.struct(*_dead_letter())).alias("_dead"), good.alias("_good"), *also
     )

@@ -163,22 +163,30 @@ class LogStore:
             .parquet(f"{self.root}/{table}")
         )
 
+    @contextmanager
+    def held(self, rows: DataFrame, batch_id: int, folder: str) -> Iterator[DataFrame]:
+        """The rows of a batch written to ``folder/batch_id=N``, to be read several times.
+
+        The folder goes in the end; what a failed attempt left is replaced.
+        """
+        path = f"{self.root}/{folder}/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(f"{path}/rows")
+        try:
+            yield self.spark.read.schema(rows.schema).parquet(f"{path}/rows")
+        finally:
+            _delete(self.spark, path, lambda _: False)
+
     @contextmanager
     def staged(self, rows: DataFrame, batch_id: int) -> Iterator[DataFrame]:
-        """The rows of a batch written to ``staging/batch_id=N``, to be read several times.
+        """The rows of a batch :meth:`held` in ``staging/batch_id=N``.
 
         Adds ``_at``, a number per row, and ``_tie``, a hash of all columns that can be
-        hashed, by which equal events are told apart. The folder goes in the end; what
-        a failed attempt left is replaced.
+        hashed, by which equal events are told apart.
         """
-        path = f"{self.root}/staging/batch_id={batch_id}"
         plain = [c for c, kind in rows.dtypes if not c.startswith("_") and "map<" not in kind and "variant" not in kind]
         marked = rows.withColumns({"_tie": F.xxhash64(*plain), "_at": F.monotonically_increasing_id()})
-        marked.write.mode("overwrite").parquet(f"{path}/rows")
-        try:
-            yield self.spark.read.schema(marked.schema).parquet(f"{path}/rows")
-        finally:
-            _delete(self.spark, path, lambda _: False)
+        with self.held(marked, batch_id, "staging") as read:
+            yield read
 
     def append_logs(self, logs: DataFrame, batch_id: int, known_rows: int | None = None) -> int:
         """Store what is new in a batch, and its latency profile; returns the number of rows."""
